@@ -153,3 +153,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def ascii_upper(c: Column) -> Column:
     """Upper case for a-z only: independent of locale and of engines' Unicode tables."""
     return F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join rows, of which a few keys may hold most, to a table with one row per key.
+
+    The table is broadcast if it is counted to be small.  Else its rows are
+    repeated ``salts`` times and every key's rows are spread over that many tasks.
+    """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys, how)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(small, [*keys, "_salt"], how).drop("_salt")
