@@ -8,8 +8,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import balanced_sample, frozen_sample, top_n
-from sightline.runtime import table
+from sightline.functions import identity
+from sightline.llm import balanced_sample, entity_splits, frozen_sample, match_groups, top_n
+from sightline.runtime import Workspace, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +88,85 @@ SELECT source, track_id, frame, det_index FROM r WHERE rank <= 3
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     best = top_n.top_n(table(spark, d, "track_history"), ["source", "track_id"], "confidence", ["frame", "det_index"], 3, 0.0, 1.0)
     return best.select("source", "track_id", "frame", "det_index")
+
+
+# --- 4: pairwise matches to groups ---
+
+
+@query(
+    "p4_found",
+    """
+WITH RECURSIVE e AS (SELECT DISTINCT left_id AS a, right_id AS b FROM duplicate_pairs WHERE left_id <> right_id AND distance BETWEEN 0 AND 5),
+d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS image_id, a AS seen FROM d UNION SELECT r.image_id, d.b FROM r JOIN d ON r.seen = d.a)
+SELECT min(seen) AS group_id, image_id FROM r GROUP BY image_id
+""",
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "duplicate_pairs").where("distance BETWEEN 0 AND 5")
+    return match_groups.match_groups(links, "left_id", "right_id").select("group_id", F.col("id").alias("image_id"))
+
+
+# --- 6: splits that keep entities together ---
+
+#: Batches in which the manifest is taken, by time of ingest.
+P6_BATCHES = 2
+
+
+def image_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest images with what ties them: split_group, and id_prefix with the clip."""
+    prefixes = [r.id_prefix for r in table(spark, d, "roboflow_sources").select("id_prefix").where("id_prefix IS NOT NULL").distinct().limit(1001).collect()]
+    if len(prefixes) > 1000:
+        raise ValueError("the source registry is a small table; this one isn't")
+    prefix, stem = identity.split_export_id(F.col("image_id"), prefixes)
+    clip = F.concat(F.lit("c|"), prefix, F.lit("|"), identity.clip_id(stem))
+    group = F.concat(F.lit("g|"), F.col("split_group"))
+    return table(spark, d, "manifest").select(F.col("image_id").alias("record_id"), F.array(group, clip).alias("keys"), "ingested_at")
+
+
+def entity_table(spark: SparkSession, d: str) -> entity_splits.EntitySplits:
+    """The manifest's images, taken in batches by time of ingest."""
+    rows = image_keys(spark, d)
+    targets = {r.split: r.target_share for r in table(spark, d, "split_targets").limit(101).collect()}
+    store = entity_splits.EntitySplits(spark, Workspace(spark, "entity-splits").path, targets)
+    at = F.unix_micros("ingested_at")
+    q = rows.select(F.percentile_approx(at, [i / P6_BATCHES for i in range(1, P6_BATCHES)], 1000).alias("q")).first().q or []
+    edges = [None, *sorted(set(q)), None]
+    for lo, hi in zip(edges, edges[1:]):
+        here = F.lit(True) if hi is None else at <= hi
+        if lo is not None:
+            here = here & (at > lo)
+        store.apply(rows.where(F.coalesce(here, F.lit(lo is None))))
+    return store
+
+
+_P6_SQL = r"""
+WITH RECURSIVE m AS (SELECT DISTINCT image_id, split_group FROM manifest WHERE image_id IS NOT NULL),
+s AS (SELECT m.*, id_prefix, regexp_replace(regexp_extract(image_id[length(id_prefix) + 1:], '^(?:train|valid|val|test)-(.+)$', 1), '(?i)_(?:jpe?g|png|bmp|webp|tiff?)\.rf\.[0-9a-f]{32}$', '') AS base
+      FROM m LEFT JOIN (SELECT DISTINCT id_prefix FROM roboflow_sources) p ON starts_with(image_id, id_prefix) AND regexp_matches(image_id[length(id_prefix) + 1:], '^(?:train|valid|val|test)-.+$')),
+k AS (SELECT *, coalesce(nullif(regexp_extract(base, '(?i)^(.+?)[-_](?:mp4|avi|mov|mkv|webm)[-_]t[-_]\d+$', 1), ''), nullif(regexp_extract(base, '(?i)^(.*\bvideo\d+)_\d+$', 1), ''), nullif(regexp_extract(base, '(?i)^(.+?)[-_]?frame[-_]?\d+$', 1), '')) AS clip FROM s),
+n AS (SELECT image_id, 'g|' || split_group AS node FROM k WHERE split_group IS NOT NULL UNION SELECT image_id, 'c|' || id_prefix || '|' || clip FROM k WHERE clip IS NOT NULL),
+e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM n a JOIN n b USING (image_id)),
+r AS (SELECT DISTINCT node, node AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+c AS (SELECT node, min(seen) AS comp FROM r GROUP BY node),
+i AS (SELECT DISTINCT image_id, comp FROM n JOIN c USING (node))
+SELECT entity_id, image_id FROM (SELECT min(image_id) OVER (PARTITION BY comp) AS entity_id, image_id, count(*) OVER (PARTITION BY comp) AS k FROM i) WHERE k > 1
+"""
+
+
+@query("p6_found", _P6_SQL)
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return entity_table(spark, d).entities().select("entity_id", F.col("record_id").alias("image_id"))
+
+
+@query("p6_splits")
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every manifest image with its split, and the crops that go with it."""
+    images = entity_table(spark, d).records().select(F.col("record_id").alias("image_id"), "split")
+    crops = table(spark, d, "crops").where("image_id IS NOT NULL AND crop_id IS NOT NULL").groupBy("image_id").agg(F.count_distinct("crop_id").alias("crops"))
+    return images.join(crops, "image_id", "left").select("image_id", "split", F.coalesce("crops", F.lit(0)).alias("crops"))
+
+
+@query("p6_report")
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return entity_table(spark, d).report()
