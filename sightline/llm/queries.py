@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import identity
-from sightline.llm import balanced_sample, entity_splits, frozen_sample, match_groups, top_n
+from sightline.llm import balanced_sample, cross_split, entity_splits, frozen_sample, leak_search, match_groups, top_n
 from sightline.runtime import Workspace, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,44 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_report")
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return entity_table(spark, d).report()
+
+
+# --- 7: the same picture across splits ---
+
+_P7_SQL = """
+WITH i AS (SELECT DISTINCT image_id, dhash, contrast <= 4 AS blank, nullif(region, 'XX') AS region, CASE lower(trim(split)) WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' ELSE lower(trim(split)) END AS s
+  FROM image_hashes WHERE image_id IS NOT NULL AND dhash IS NOT NULL AND contrast IS NOT NULL AND split IS NOT NULL),
+p AS (SELECT t.image_id AS a, h.image_id AS b, bit_count(xor(t.dhash, h.dhash)) AS bits, t.region AS ra, h.region AS rb, t.blank
+  FROM i t JOIN i h ON t.s = 'train' AND h.s IN ('val', 'test') AND t.image_id <> h.image_id AND t.blank = h.blank),
+d AS (SELECT left_id AS a, right_id AS b, CASE lower(trim(left_split)) WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' ELSE lower(trim(left_split)) END AS s1,
+  CASE lower(trim(right_split)) WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' ELSE lower(trim(right_split)) END AS s2 FROM duplicate_pairs WHERE left_id <> right_id AND distance BETWEEN 0 AND 5)
+SELECT least(a, b) AS left_id, greatest(a, b) AS right_id FROM p WHERE bits = 0 OR (NOT blank AND bits <= CASE WHEN ra IS NOT NULL AND rb IS NOT NULL AND ra <> rb THEN 2 ELSE 5 END)
+UNION SELECT least(a, b), greatest(a, b) FROM d WHERE (s1 = 'train' AND s2 IN ('val', 'test')) OR (s2 = 'train' AND s1 IN ('val', 'test'))
+"""
+
+
+@query("p7_found", _P7_SQL)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split.cross_split_pairs(table(spark, d, "image_hashes"), table(spark, d, "duplicate_pairs"))
+
+
+@query("p7_report")
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    hashes = table(spark, d, "image_hashes")
+    return cross_split.coverage(cross_split.cross_split_pairs(hashes, table(spark, d, "duplicate_pairs")), hashes)
+
+
+# --- 8: evaluation texts in the corpus ---
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak_search.leaked_items(table(spark, d, "documents"), table(spark, d, "test_items"))
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items and leaking documents of each suite."""
+    items = table(spark, d, "test_items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("suite").alias("suite"))
+    found = p8_found(spark, d).join(items, "item_id", "right")
+    return found.groupBy("suite").agg(F.count_distinct("item_id").alias("items"), F.count_distinct(F.when(F.col("doc_id").isNotNull(), F.col("item_id"))).alias("leaked"), F.count_distinct("doc_id").alias("documents"))
