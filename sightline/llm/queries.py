@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import identity
-from sightline.llm import balanced_sample, cross_split, entity_splits, frozen_sample, leak_search, match_groups, top_n
+from sightline.llm import balanced_sample, cross_split, entity_splits, frozen_sample, leak_search, match_groups, source_mix, top_n
 from sightline.runtime import Workspace, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,25 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "test_items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("suite").alias("suite"))
     found = p8_found(spark, d).join(items, "item_id", "right")
     return found.groupBy("suite").agg(F.count_distinct("item_id").alias("items"), F.count_distinct(F.when(F.col("doc_id").isNotNull(), F.col("item_id"))).alias("leaked"), F.count_distinct("doc_id").alias("documents"))
+
+
+# --- 9: sources mixed to target shares ---
+
+
+def mixture(spark: SparkSession, d: str) -> source_mix.Mix:
+    return source_mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(spark, d).report.where("short").select("source")
+
+
+@query("p9_report")
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(spark, d).report
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(spark, d).documents()
