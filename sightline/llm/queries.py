@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import identity
-from sightline.llm import balanced_sample, cross_split, entity_splits, frozen_sample, leak_search, match_groups, source_mix, top_n
+from sightline.llm import balanced_sample, cross_split, entity_splits, frozen_sample, leak_search, match_groups, residue, source_mix, top_n
 from sightline.runtime import Workspace, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,23 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_mix")
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixture(spark, d).documents()
+
+
+# --- 10: template residue and error pages ---
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+@query("p10_report")
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents found, by source and reason."""
+    return residue.residue(table(spark, d, "documents")).groupBy("source", "reason").agg(F.count("*").alias("documents"))
+
+
+@query("p10_kept")
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay."""
+    return residue.without_residue(table(spark, d, "documents")).select("doc_id")
