@@ -12,6 +12,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline import runtime
 from sightline.functions.text import district_hint, normalize_plate
 
 # Codes of states and union territories on Indian plates.
@@ -195,5 +196,7 @@ def parse_plates(df: DataFrame, raw: str, out: str = "match", region: str | None
         b["text"].alias("text"), b["region"].alias("region"), format_name(b["text"], b["region"]).alias("format_name"), (-b["edits"]).alias("edits"), b["confidence"].alias("confidence"),
         components(b["text"], b["region"], hint).alias("components"), text.alias("original"),
     )
-    seen = seen.select("_raw", F.when(b["confidence"] >= min_confidence, match).alias(out))
-    return df.join(seen, df[raw] == seen["_raw"], "left").drop("_raw")
+    # A written table keeps later filters from being copied into these expressions, and is computed once.
+    seen = runtime.Workspace(df.sparkSession, "plates").cut(seen.select("_raw", F.when(b["confidence"] >= min_confidence, match).alias("_match")), "parsed")
+    rows = runtime.lookup(df.withColumn("_raw", F.col(raw)), seen, ["_raw"], how="left")
+    return rows.drop("_raw").withColumnRenamed("_match", out)

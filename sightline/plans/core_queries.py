@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline import runtime
-from sightline.operators import sessions
+from sightline.functions import geometry, grammar, identity, text
+from sightline.operators import cooldown, duplicates, evaluate, sampling, sessions, splits, stats, tracker, vote
+from sightline.plans import pipeline
+from sightline.runtime import table
+from sightline.sinks import files
+from sightline.sources import labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,9 +44,431 @@ r AS (SELECT plate, source, min(t) AS start_us, max(t) AS end_us, max(t) - min(t
 
 @query("p3_found", _SESSIONS_SQL + "SELECT plate, source, start_us, end_us FROM r")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.incremental_sessions(runtime.table(spark, d, "plate_events")).select("plate", "source", "start_us", "end_us")
+    return sessions.incremental_sessions(table(spark, d, "plate_events")).select("plate", "source", "start_us", "end_us")
 
 
 @query("p3_sessions", _SESSIONS_SQL + "SELECT * FROM r")
 def p3_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.incremental_sessions(runtime.table(spark, d, "plate_events"))
+    return sessions.incremental_sessions(table(spark, d, "plate_events"))
+
+
+# --- sightings: cooldown, votes, grammar, log ---
+
+_NORM = "regexp_replace(translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z0-9]', '', 'g')"
+_SIGHTINGS_SQL = f"""
+WITH s AS (SELECT DISTINCT {_NORM.format('plate')} AS plate, source, epoch_us(ts) AS ts_us, track_id, frame
+  FROM plate_events WHERE ts IS NOT NULL AND source IS NOT NULL AND {_NORM.format('plate')} <> '')
+"""
+
+
+def sightings(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.sighting_keys(table(spark, d, "plate_events")).drop("logged_at").distinct()
+
+
+@query(
+    "cooldown_log",
+    _SIGHTINGS_SQL
+    + """, w AS (SELECT *, lag(ts_us) OVER k AS prev, row_number() OVER k AS sighting FROM s WINDOW k AS (PARTITION BY plate ORDER BY ts_us, source, track_id NULLS FIRST, frame NULLS FIRST))
+SELECT plate, source, ts_us, track_id, frame, sighting, coalesce(ts_us - prev >= 300000000, true) AS accepted FROM w""",
+)
+def cooldown_log(spark: SparkSession, d: str) -> DataFrame:
+    return cooldown.cooldown(sightings(spark, d), "plate", "ts_us", ["source", "track_id", "frame"])
+
+
+@query("cooldown_history", _SIGHTINGS_SQL + "SELECT plate, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS sightings FROM s GROUP BY plate")
+def cooldown_history(spark: SparkSession, d: str) -> DataFrame:
+    return cooldown.history(sightings(spark, d), "plate", "ts_us")
+
+
+@query(
+    "cooldown_users",
+    """WITH w AS (SELECT user_id, event_id, epoch_us(ts) AS ts_us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+SELECT user_id, count(*) AS events, count(*) FILTER (WHERE prev IS NULL OR ts_us - prev >= 3600000000) AS logged FROM w GROUP BY user_id""",
+)
+def cooldown_users(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    return cooldown.cooldown(rows, "user_id", "ts_us", ["event_id"], 3_600_000_000).groupBy("user_id").agg(F.count("*").alias("events"), F.count_if("accepted").alias("logged"))
+
+
+_VOTE_SQL = f"""
+WITH r AS (SELECT source, track_id, {_NORM.format('plate')} AS t, CAST(confidence AS DECIMAL(18,9)) AS w, confidence AS c, length({_NORM.format('plate')}) AS len
+  FROM plate_events WHERE source IS NOT NULL AND track_id IS NOT NULL AND confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) AND {_NORM.format('plate')} <> ''),
+l AS (SELECT source, track_id, len, sum(w) AS lw, sum(c) AS lc, count(*) AS ln FROM r GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY source, track_id ORDER BY lw DESC, len DESC) AS k, sum(ln) OVER (PARTITION BY source, track_id) AS n FROM l),
+c AS (SELECT r.* FROM r JOIN b USING (source, track_id, len) WHERE k = 1 AND n >= 2),
+p AS (SELECT source, track_id, i AS pos, t[i] AS ch, sum(w) AS w FROM c, LATERAL (SELECT unnest(range(1, len + 1)) AS i) GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY source, track_id, pos ORDER BY w DESC, ch) AS k, sum(w) OVER (PARTITION BY source, track_id, pos) AS total FROM p),
+v AS (SELECT source, track_id, string_agg(ch, '' ORDER BY pos) AS text, avg(CASE WHEN total > 0 THEN CAST(w AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0 END) AS agreement FROM q WHERE k = 1 GROUP BY source, track_id),
+o AS (SELECT c.source, c.track_id, t, row_number() OVER (PARTITION BY c.source, c.track_id ORDER BY sum(w) DESC, t) AS k FROM c JOIN v USING (source, track_id) WHERE t <> text GROUP BY c.source, c.track_id, t)
+"""
+
+
+def plate_reads(spark: SparkSession, d: str) -> DataFrame:
+    plate = F.regexp_replace(runtime.ascii_upper(F.col("plate")), "[^A-Z0-9]", "")
+    return table(spark, d, "plate_events").where("source IS NOT NULL AND track_id IS NOT NULL").select("source", "track_id", plate.alias("text"), "confidence")
+
+
+@query("vote_plate", _VOTE_SQL + "SELECT source, track_id, text, ln AS reads, round(agreement, 3) AS agreement FROM v JOIN b USING (source, track_id) WHERE k = 1")
+def vote_plate(spark: SparkSession, d: str) -> DataFrame:
+    return vote.vote(plate_reads(spark, d), ["source", "track_id"]).select("source", "track_id", "text", "reads", "agreement")
+
+
+@query("vote_runner_up", _VOTE_SQL + "SELECT source, track_id, t AS runner_up FROM v LEFT JOIN (SELECT * FROM o WHERE k = 1) USING (source, track_id)")
+def vote_runner_up(spark: SparkSession, d: str) -> DataFrame:
+    return vote.vote(plate_reads(spark, d), ["source", "track_id"]).select("source", "track_id", "runner_up")
+
+
+@query("plate_parse")
+def plate_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Every recorded plate against the grammars."""
+    rows = grammar.parse_plates(table(spark, d, "plate_events").select("plate").where("plate IS NOT NULL").distinct(), "plate")
+    return rows.select("plate", "match.text", F.col("match.region").alias("region"), F.col("match.format_name").alias("format_name"), F.col("match.edits").alias("edits"), F.col("match.confidence").alias("confidence"), grammar.display(F.col("match")).alias("display"))
+
+
+_EXACT_SQL = f"""
+WITH d AS (SELECT DISTINCT plate, regexp_replace(regexp_replace(upper(plate), '[^A-Z0-9ÄÖÜ]', '', 'g'), '^IND([A-Z][A-Z][0-9])', '\\1') AS t FROM plate_events WHERE plate IS NOT NULL),
+i AS (SELECT plate, t, left(t, 2) IN ({', '.join(repr(s) for s in grammar.STATES)}) AS known FROM d WHERE length(t) BETWEEN 4 AND 11)
+SELECT plate, CASE WHEN regexp_matches(t, '{grammar.IN_BH}') THEN 1.0 WHEN regexp_matches(t, '{grammar.IN_STANDARD}') THEN CASE WHEN known THEN 1.0 ELSE 0.55 END END::DOUBLE AS confidence
+FROM i WHERE regexp_matches(t, '{grammar.IN_BH}') OR regexp_matches(t, '{grammar.IN_STANDARD}')
+"""
+
+
+@query("plate_exact_in", _EXACT_SQL)
+def plate_exact_in(spark: SparkSession, d: str) -> DataFrame:
+    """Plates that fit the Indian grammar as they are."""
+    rows = table(spark, d, "plate_events").select("plate").where("plate IS NOT NULL").distinct()
+    return grammar.parse_plates(rows, "plate", region="IN", max_edits=0, min_confidence=0.0).where("match IS NOT NULL").select("plate", F.col("match.confidence").alias("confidence"))
+
+
+@query("plate_log")
+def plate_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log of all tracks with readings: vote, grammar, cooldown."""
+    return _logged(spark, d)[0]
+
+
+@query("plate_log_stats")
+def plate_log_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _logged(spark, d)[1]
+
+
+def _logged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, d, "plate_events").where("source IS NOT NULL AND track_id IS NOT NULL AND ts IS NOT NULL")
+    tracks = events.groupBy("source", "track_id").agg(F.min("frame").alias("first_frame"), F.max(F.unix_micros("ts")).alias("ts_us"))
+    return pipeline.plate_log(tracks, plate_reads(spark, d))
+
+
+# --- identity, statistics, splits ---
+
+_CLIP_SQL = r"""coalesce(nullif(regexp_extract(base, '(?i)^(.+?)[-_](?:mp4|avi|mov|mkv|webm)[-_]t[-_]\d+$', 1), ''), nullif(regexp_extract(base, '(?i)^(.*\bvideo\d+)_\d+$', 1), ''), nullif(regexp_extract(base, '(?i)^(.+?)[-_]?frame[-_]?\d+$', 1), ''))"""
+_BASE_SQL = r"regexp_replace(image_id, '(?i)_(?:jpe?g|png|bmp|webp|tiff?)\.rf\.[0-9a-f]{32}$', '')"
+_KEYED_SQL = f"""
+WITH b AS (SELECT *, {_BASE_SQL} AS base FROM manifest), k AS (SELECT *, {_CLIP_SQL} AS clip FROM b),
+m AS (SELECT *, coalesce(split_group, clip, nullif(base, ''), image_id) AS group_key FROM k)
+"""
+
+
+@query("clip_identity", f"WITH b AS (SELECT DISTINCT image_id, {_BASE_SQL} AS base FROM manifest) SELECT image_id, base, {_CLIP_SQL} AS clip FROM b")
+def clip_identity(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "manifest").select("image_id").distinct()
+    return rows.select("image_id", identity.strip_export_suffix(F.col("image_id")).alias("base"), identity.clip_id(F.col("image_id")).alias("clip"))
+
+
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    return stats.with_group_key(table(spark, d, "manifest"))
+
+
+@query(
+    "dataset_stats",
+    _KEYED_SQL
+    + """, y AS (SELECT m.image_id, m.width, m.height, unnest(boxes) AS box FROM m)
+SELECT (SELECT count(*) FROM m) AS images, (SELECT count(*) FROM y) AS plates, (SELECT count(*) FROM m WHERE boxes IS NULL OR len(boxes) = 0) AS images_without_plates, (SELECT count(DISTINCT group_key) FROM m) AS groups,
+  count(*) FILTER (WHERE box.text <> '') AS with_text, count(*) FILTER (WHERE box.w * width < 32) AS tiny_plates, (SELECT count(*) FROM y)::DOUBLE / (SELECT count(*) FROM m) AS plates_per_image,
+  median(box.w * width) AS median_width, median(box.h * height) AS median_height FROM y""",
+)
+def dataset_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.dataset_stats(table(spark, d, "manifest"))
+
+
+@query("plates_by_region", "WITH y AS (SELECT unnest(boxes) AS box FROM manifest) SELECT box.region AS region, count(*) AS plates FROM y WHERE box.region <> '' GROUP BY 1")
+def plates_by_region(spark: SparkSession, d: str) -> DataFrame:
+    return stats.counts_by(stats.box_rows(table(spark, d, "manifest")), "region").withColumnRenamed("images", "plates")
+
+
+@query("images_by_source", "SELECT source, count(*) AS images FROM manifest WHERE source <> '' GROUP BY 1")
+def images_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return stats.counts_by(table(spark, d, "manifest"), "source")
+
+
+@query(
+    "region_slices",
+    """WITH m AS (SELECT image_id, boxes, row_number() OVER () AS row FROM manifest), x AS (SELECT row, unnest(boxes) AS box FROM m),
+p AS (SELECT row, box.region AS region, count(*) AS n FROM x WHERE box.region IS NOT NULL AND box.region <> 'XX' GROUP BY ALL),
+r AS (SELECT row, region, row_number() OVER (PARTITION BY row ORDER BY n DESC, region) AS k FROM p)
+SELECT coalesce(region, 'XX') AS region, count(*) AS images FROM m LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (row) GROUP BY 1""",
+)
+def region_slices(spark: SparkSession, d: str) -> DataFrame:
+    return manifest(spark, d).groupBy("region").agg(F.count("*").alias("images"))
+
+
+@query("exit_criteria")
+def exit_criteria(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "manifest")
+    return stats.exit_criteria(stats.dataset_stats(rows), plates_by_region(spark, d))
+
+
+@query("repeated_ids", "SELECT image_id, count(*) AS records FROM manifest GROUP BY 1 HAVING count(*) > 1")
+def repeated_ids(spark: SparkSession, d: str) -> DataFrame:
+    return labels.repeated_ids(table(spark, d, "manifest"))
+
+
+@query(
+    "box_geometry",
+    """WITH x AS (SELECT DISTINCT image_id, width, height, boxes FROM manifest), i AS (SELECT *, unnest(range(len(boxes))) AS box_index FROM x), y AS (SELECT image_id, width, height, box_index, boxes[box_index + 1] AS b FROM i)
+SELECT image_id, box_index, b.cx - b.w / 2 AS x1, b.cy - b.h / 2 AS y1, b.cx + b.w / 2 AS x2, b.cy + b.h / 2 AS y2, b.w * b.h AS area, b.w * width AS pixel_width,
+  CASE WHEN b.w * width < 32 AND b.w * width >= 0 THEN 'tiny (<32px)' WHEN b.w * width < 64 AND b.w * width >= 0 THEN 'small (32-64px)' WHEN b.w * width < 128 AND b.w * width >= 0 THEN 'medium (64-128px)' ELSE 'large (>=128px)' END AS bucket FROM y""",
+)
+def box_geometry(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "manifest").select("image_id", "width", "height", "boxes").distinct().select("image_id", "width", "height", F.posexplode("boxes").alias("box_index", "b"))
+    b = F.col("b")
+    wide = b["w"] * F.col("width")
+    return rows.select("image_id", "box_index", geometry.corners(b).alias("c"), geometry.box_area(b).alias("area"), wide.alias("pixel_width"), geometry.size_bucket(wide).alias("bucket")).select("image_id", "box_index", "c.*", "area", "pixel_width", "bucket")
+
+
+@query("owned_groups")
+def owned_groups(spark: SparkSession, d: str) -> DataFrame:
+    return splits.owned_groups(manifest(spark, d))
+
+
+@query("grouped_split")
+def grouped_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.grouped_split(manifest(spark, d))
+
+
+@query("split_counts")
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = manifest(spark, d)
+    return splits.split_counts(splits.assign(rows, splits.grouped_split(rows)))
+
+
+@query("split_problems")
+def split_problems(spark: SparkSession, d: str) -> DataFrame:
+    rows = manifest(spark, d)
+    return splits.coverage(rows, splits.grouped_split(rows))
+
+
+@query(
+    "label_lines",
+    """WITH x AS (SELECT DISTINCT image_id, boxes FROM manifest) SELECT image_id, coalesce(list_aggregate([printf('0 %.6f %.6f %.6f %.6f' || chr(10), b.cx, b.cy, b.w, b.h) FOR b IN boxes], 'string_agg', ''), '') AS body FROM x""",
+)
+def label_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "manifest").select("image_id", "boxes").distinct().select("image_id", files.label_body(F.col("boxes"), clip=False).alias("body"))
+
+
+@query("label_round_trip")
+def label_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes written as label lines and parsed again: records, boxes, and those that came back with an error."""
+    rows = table(spark, d, "manifest").where("boxes IS NOT NULL").select("image_id", F.size("boxes").alias("n"), labels.parse_label(files.label_body(F.col("boxes"))).alias("p"))
+    return rows.agg(F.count("*").alias("records"), F.sum("n").alias("boxes"), F.sum(F.size("p.boxes")).alias("parsed"), F.count_if(F.col("p.error").isNotNull()).alias("errors"))
+
+
+@query("manifest_lines")
+def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
+    return files.manifest_json(table(spark, d, "manifest")).distinct()
+
+
+@query("tree_fingerprint")
+def tree_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    rows = manifest(spark, d).dropDuplicates(["image_id"])
+    tree = files.label_tree(splits.assign(rows, splits.grouped_split(rows)))
+    return spark.createDataFrame([(stats.export_fingerprint(tree),)], "sha256 string")
+
+
+@query(
+    "redistributable_sources",
+    "SELECT source_tag, licence, NOT regexp_matches(upper(licence), '\\b(ND|NC)\\b') AS redistributable FROM roboflow_sources",
+)
+def redistributable_sources(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "roboflow_sources").select("source_tag", "licence", text.redistributable(F.col("licence")).alias("redistributable"))
+
+
+# --- near duplicates ---
+
+_HASH_SQL = """
+WITH i AS (SELECT DISTINCT image_id, dhash, contrast <= 4 AS blank, nullif(region, 'XX') AS region FROM image_hashes WHERE image_id IS NOT NULL AND dhash IS NOT NULL AND contrast IS NOT NULL),
+p AS (SELECT a.image_id AS left_id, b.image_id AS right_id, min(bit_count(xor(a.dhash, b.dhash)))::INT AS distance FROM i a JOIN i b ON a.image_id < b.image_id AND a.blank = b.blank
+  WHERE bit_count(xor(a.dhash, b.dhash)) <= CASE WHEN a.blank THEN 0 WHEN a.region <> b.region THEN 2 ELSE 5 END OR a.dhash = b.dhash GROUP BY ALL)
+"""
+
+
+@query("near_dup_pairs", _HASH_SQL + "SELECT left_id, right_id, distance FROM p")
+def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.duplicate_pairs(table(spark, d, "image_hashes"))
+
+
+@query(
+    "near_dup_clusters",
+    _HASH_SQL.replace("WITH i", "WITH RECURSIVE i", 1)
+    + """, e AS (SELECT left_id AS a, right_id AS b FROM p UNION SELECT right_id, left_id FROM p),
+r AS (SELECT DISTINCT a AS image_id, a AS seen FROM e UNION SELECT r.image_id, e.b FROM r JOIN e ON r.seen = e.a) SELECT image_id, 'dup:' || min(seen) AS cluster_id FROM r GROUP BY image_id""",
+)
+def near_dup_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.duplicate_clusters(table(spark, d, "image_hashes"))
+
+
+_PAIR_SQL = "WITH p AS (SELECT DISTINCT left_id, right_id, left_split, right_split FROM duplicate_pairs WHERE left_id <> right_id AND distance BETWEEN 0 AND 5 AND left_split IN ('train', 'val', 'test') AND right_split IN ('train', 'val', 'test'))"
+
+
+def recorded_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "duplicate_pairs").where("left_id <> right_id AND distance BETWEEN 0 AND 5 AND left_split IN ('train', 'val', 'test') AND right_split IN ('train', 'val', 'test')")
+    return rows.select("left_id", "right_id", "left_split", "right_split").distinct()
+
+
+@query(
+    "duplicate_report",
+    _PAIR_SQL + " SELECT count(*) AS pairs, count(*) FILTER (WHERE left_split = right_split) AS within, count(*) FILTER (WHERE left_split <> right_split) AS across, count(*) FILTER (WHERE left_split <> right_split AND 'train' IN (left_split, right_split)) AS contaminating FROM p",
+)
+def duplicate_report(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.duplicate_report(recorded_pairs(spark, d))
+
+
+@query(
+    "contaminated_images",
+    _PAIR_SQL + ", c AS (SELECT * FROM p WHERE left_split <> right_split AND 'train' IN (left_split, right_split)) SELECT left_split AS split, left_id AS image_id FROM c WHERE left_split <> 'train' UNION SELECT right_split, right_id FROM c WHERE right_split <> 'train'",
+)
+def contaminated_images(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.affected_images(recorded_pairs(spark, d))
+
+
+@query(
+    "clean_test_images",
+    _PAIR_SQL
+    + ", c AS (SELECT * FROM p WHERE left_split <> right_split AND 'train' IN (left_split, right_split)), h AS (SELECT DISTINCT image_id FROM image_hashes WHERE split = 'test') SELECT image_id FROM h WHERE image_id NOT IN (SELECT left_id FROM c WHERE left_split = 'test' UNION SELECT right_id FROM c WHERE right_split = 'test')",
+)
+def clean_test_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "image_hashes").where("split = 'test' AND image_id IS NOT NULL").select("image_id").distinct()
+    return duplicates.clean_subset(rows, recorded_pairs(spark, d), "test")
+
+
+@query("regrouped_images")
+def regrouped_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = manifest(spark, d).select("image_id", "group_key").distinct()
+    return duplicates.regroup(rows, near_dup_clusters(spark, d))
+
+
+@query("exact_dup_docs", "SELECT md5(text) AS digest, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+# --- evaluation ---
+
+
+def evaluation_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(truth, detections): manifest boxes, and boxes made from them by a rule."""
+    rows = table(spark, d, "manifest").dropDuplicates(["image_id"])
+    truth = evaluate.truth_boxes(rows)
+    k = F.pmod(F.crc32(F.concat("image_id", F.lit("#"), F.col("box_index").cast("string")).cast("binary")), F.lit(10))
+    shift = F.when(k < 6, 0.1).when(k < 8, 0.45).otherwise(0.9) * (F.col("x2") - F.col("x1"))
+    kept = truth.where(k < 9).select("image_id", F.col("box_index").alias("det_index"), (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2", (0.5 + k / 20).alias("confidence"))
+    stray = truth.where((F.col("box_index") == 0) & (k == 3)).select("image_id", F.lit(1000).alias("det_index"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.01).alias("x2"), F.lit(0.01).alias("y2"), F.lit(0.3).alias("confidence"))
+    return truth, kept.unionByName(stray)
+
+
+@query("detection_overall")
+def detection_overall(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.overall(evaluate.match_boxes(*evaluation_tables(spark, d)))
+
+
+@query("detection_by_size")
+def detection_by_size(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.by_size(evaluate.match_boxes(*evaluation_tables(spark, d)))
+
+
+@query("detection_worst")
+def detection_worst(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.worst_images(evaluate.match_boxes(*evaluation_tables(spark, d)))
+
+
+@query("detection_best")
+def detection_best(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_detections(*evaluation_tables(spark, d))
+
+
+_READ_SQL = f"""
+WITH e AS (SELECT source, plate AS reference, translate(display, ' -', '') AS hypothesis FROM plate_events WHERE plate IS NOT NULL AND display IS NOT NULL AND length(plate) = strlen(plate) AND length(display) = strlen(display))
+"""
+
+
+def reading_pairs(spark: SparkSession, d: str) -> DataFrame:
+    ascii_only = " AND ".join(f"length({c}) = octet_length({c})" for c in ("plate", "display"))
+    rows = table(spark, d, "plate_events").where(f"plate IS NOT NULL AND display IS NOT NULL AND {ascii_only}")
+    return rows.select("source", F.col("plate").alias("reference"), F.translate("display", " -", "").alias("hypothesis"))
+
+
+_REPORT_SQL = "count(*) AS samples, sum(levenshtein(reference, hypothesis))::BIGINT AS distance, sum(length(reference))::BIGINT AS characters, count(*) FILTER (WHERE reference = hypothesis) AS exact, count(*) FILTER (WHERE hypothesis = '') AS empty, sum(levenshtein(reference, hypothesis)) / nullif(sum(length(reference))::DOUBLE, 0) AS error_rate, count(*) FILTER (WHERE reference = hypothesis) / count(*)::DOUBLE AS accuracy FROM e"
+
+
+@query("cer_corpus", _READ_SQL + f"SELECT {_REPORT_SQL}")
+def cer_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.reading_report(reading_pairs(spark, d), "reference", "hypothesis")
+
+
+@query("cer_by_source", _READ_SQL + f"SELECT source, {_REPORT_SQL} WHERE source IS NOT NULL GROUP BY source")
+def cer_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.reading_report(reading_pairs(spark, d).where("source IS NOT NULL"), "reference", "hypothesis", "source")
+
+
+@query(
+    "cer_worst",
+    _READ_SQL + "SELECT reference, hypothesis, CASE WHEN reference = '' THEN CASE WHEN hypothesis = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(reference, hypothesis) / length(reference)::DOUBLE END AS error_rate FROM e WHERE reference <> hypothesis ORDER BY error_rate DESC, reference, hypothesis LIMIT 10",
+)
+def cer_worst(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.worst_readings(reading_pairs(spark, d), "reference", "hypothesis")
+
+
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    rows = reading_pairs(spark, d).select(F.col("reference").alias("truth"), F.col("hypothesis").alias("raw_text"))
+    return grammar.parse_plates(rows, "raw_text").select("truth", "raw_text", F.col("match.text").alias("final_text"))
+
+
+@query("grammar_gain")
+def grammar_gain(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.grammar_gain(graded(spark, d), "truth", "raw_text", "final_text")
+
+
+@query("outcome_report")
+def outcome_report(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.outcome_report(evaluate.outcomes(graded(spark, d)))
+
+
+@query(
+    "crop_round_robin",
+    """WITH c AS (SELECT DISTINCT bucket, crop_id FROM crops WHERE bucket IS NOT NULL AND crop_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('0:' || crop_id), crop_id) AS round FROM c) SELECT bucket, crop_id, round FROM r ORDER BY round, bucket LIMIT 200""",
+)
+def crop_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.round_robin(table(spark, d, "crops"), "bucket", "crop_id", 200)
+
+
+# --- tracks ---
+
+
+@query(
+    "best_sightings",
+    """WITH v AS (SELECT *, row_number() OVER (PARTITION BY source, track_id ORDER BY confidence DESC, frame, det_index) AS k FROM track_history WHERE source IS NOT NULL AND track_id IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence))
+SELECT source, track_id, confidence, frame, det_index FROM v WHERE k = 1""",
+)
+def best_sightings(spark: SparkSession, d: str) -> DataFrame:
+    return tracker.best_sightings(table(spark, d, "track_history"))
+
+
+@query("track_durations", "SELECT source, track_id, last_frame - first_frame + 1 AS duration FROM tracks WHERE last_frame IS NOT NULL")
+def track_durations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tracks").where("last_frame IS NOT NULL").select("source", "track_id", (F.col("last_frame") - F.col("first_frame") + 1).alias("duration"))
+
+
+@query("tracked_detections")
+def tracked_detections(spark: SparkSession, d: str) -> DataFrame:
+    """All recorded detections followed anew: the tracks, with their spans and hits."""
+    rows = table(spark, d, "track_history").groupBy("source", "frame", "det_index").agg(F.min(F.struct("x1", "y1", "x2", "y2")).alias("b")).select("source", "frame", "det_index", "b.*")
+    return tracker.track_table(tracker.follow(rows))

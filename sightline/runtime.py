@@ -163,6 +163,7 @@ def lookup(rows: DataFrame, small: DataFrame, keys: list[str], salts: int = 64,
     """
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), keys, how)
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]  # maps have no hash
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(small, [*keys, "_salt"], how).drop("_salt")
