@@ -138,6 +138,10 @@ class Workspace:
         out._sightline_at = at
         return out
 
+    def close(self) -> None:
+        """Remove everything, once no later plan reads it."""
+        delete(self.spark, self.path)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Remove tables of this workspace that no later plan reads."""
         for t in tables:

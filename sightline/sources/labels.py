@@ -102,8 +102,14 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_files(spark: SparkSession, folder: str) -> DataFrame:
     """Label files directly in ``folder``: stem and body."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(folder)
-    return files.select(F.regexp_replace(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1), r"\.txt$", "").alias("stem"), F.col("value").alias("body"))
+    from urllib.parse import unquote
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    stem = lambda name: F.regexp_replace(name, r"\.txt$", "").alias("stem")
+    read = files.select(stem(F.regexp_extract("path", "([^/]*)$", 1)), F.decode("content", "UTF-8").alias("body"))
+    # Readers skip empty files, which are labels without boxes; their names are in the listing that the driver holds anyway.
+    names = spark.createDataFrame([(unquote(f.rsplit("/", 1)[1]),) for f in files.inputFiles()], "name string").select(stem("name"))
+    return names.join(read, "stem", "left").select("stem", F.coalesce("body", F.lit("")).alias("body"))
 
 
 @dataclass
