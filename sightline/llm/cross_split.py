@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import runtime
+from sightline.operators.duplicates import near_hashes
 
 #: Bits that may differ; the same across known, differing regions; range of brightness up to which a picture is blank.
 MAX_BITS = 5
 MAX_BITS_ACROSS = 2
 BLANK_CONTRAST = 4
-#: First bit and length of each block.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 
 
 def split_side(split: Column) -> Column:
@@ -32,26 +31,13 @@ def split_side(split: Column) -> Column:
     return F.when(s == "train", "train").when(s.isin("val", "valid", "validation"), "val").when(s == "test", "test")
 
 
-def _suffixes(hashes: DataFrame, turned: bool) -> DataFrame:
-    entries = []
-    for k, (at, size) in enumerate(BLOCKS):
-        prefix = F.shiftrightunsigned(F.col("dhash"), at).bitwiseAND((1 << size) - 1)
-        flips = [F.lit(0)] + ([F.lit(1 << i) for i in range(size)] if turned else [])
-        entries += [F.struct(F.lit(k).alias("block"), prefix.bitwiseXOR(f.cast("long")).alias("prefix")) for f in flips]
-    return hashes.withColumn("e", F.explode(F.array(*entries))).select("*", "e.block", "e.prefix").drop("e")
-
-
 def near_hash_pairs(hashes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``train``, ``held`` and ``bits`` of all pairs of distinct hashes, one used in train and one held out, that differ in 1..``max_bits`` bits.
 
     ``hashes`` has ``dhash`` and ``in_train``, ``in_held``; every hash once.
     """
-    if max_bits > 5:
-        raise ValueError("three blocks with one turned bit find all pairs up to five bits")
-    a = _suffixes(hashes.where("in_train").select("dhash"), False).select(F.col("dhash").alias("train"), "block", "prefix")
-    b = _suffixes(hashes.where("in_held").select("dhash"), True).select(F.col("dhash").alias("held"), "block", "prefix")
-    bits = F.bit_count(F.col("train").bitwiseXOR(F.col("held")))
-    return a.join(b, ["block", "prefix"]).withColumn("bits", bits).where((bits >= 1) & (bits <= max_bits)).select("train", "held", "bits").distinct()
+    found = near_hashes(hashes.where("in_train"), hashes.where("in_held"), max_bits)
+    return found.select(F.col("left_hash").alias("train"), F.col("right_hash").alias("held"), "bits")
 
 
 def cross_split_pairs(hashes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline import runtime
+from sightline.operators.components import components
 
 QUARANTINE = "quarantine"
 #: A new component of more than 1/BIG of a batch is placed one by one; there are fewer than BIG of them.
@@ -24,41 +25,6 @@ _NODES = "node string, comp string"
 _COMPS = "comp string, root string, split string, size long, version long"
 
 
-def components(space: runtime.Workspace, edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of every node of ``edges`` (columns x, y), by hooking and pointer jumping.
-
-    Every node hooks onto its smallest neighbour if that is smaller; pointers
-    are then doubled until they rest at roots, edges are contracted to the
-    roots, and what is left is hooked again.  ``root`` is some node of the
-    component, alike for all.
-    """
-    levels = []
-    edges = space.cut(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
-    while not edges.isEmpty():
-        up = edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("root"))
-        low = edges.select(F.col("x").alias("node")).distinct().join(up, "node", "left_anti")
-        ptr = space.cut(up.unionByName(low.select("node", F.col("node").alias("root"))), "pointers")
-        while True:
-            step = ptr.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = space.cut(ptr.join(step, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "jumped")
-            moved = not jumped.where("moved").isEmpty()
-            space.drop(ptr)
-            ptr = jumped.select("node", "root")
-            ptr._sightline_at = jumped._sightline_at
-            if not moved:
-                break
-        levels.append(ptr)
-        rx, ry = ptr.select(F.col("node").alias("x"), F.col("root").alias("rx")), ptr.select(F.col("node").alias("y"), F.col("root").alias("ry"))
-        edges = space.cut(edges.join(rx, "x").join(ry, "y").where("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct(), "edges")
-    if not levels:
-        return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
-    out = levels.pop()
-    while levels:
-        above = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        out = levels.pop().join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return space.cut(out, "components")
-
-
 class EntitySplits:
     """The stored component table.  Each batch appends rows beside the old ones; a manifest renamed into place puts them in force together."""
 
@@ -135,6 +101,7 @@ class EntitySplits:
         versions = runtime.read_json(self.spark, f"{self.path}/manifests/{version}.json") if version else []
         if not runtime.write_json(self.spark, f"{self.path}/manifests/{version + 1}.json", [*versions, version + 1]):
             raise RuntimeError(f"another writer made version {version + 1}; apply the batch again")
+        space.close()
         return version + 1
 
     def _place(self, new: DataFrame, old: DataFrame) -> DataFrame:
