@@ -59,7 +59,8 @@ def match_groups(pairs: DataFrame, left: str, right: str, beta: float = 0.5, rou
 def _decompose(space: runtime.Workspace, edges: DataFrame, beta: float, rounds: int, seed: int) -> DataFrame:
     """A cluster ``c`` for every vertex ``v`` of ``edges``; clusters are named by their centres."""
     both = edges.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(edges.select(F.col("y").alias("src"), F.col("x").alias("dst")))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(2**52)) + 0.5) / float(2**52)
+    # The seed goes in as text: numbers are compiled into the code, which would then be compiled anew for every level.
+    u = (F.pmod(F.xxhash64(F.lit(f"level {seed}"), "v"), F.lit(2**52)) + 0.5) / float(2**52)
     start = F.greatest(F.lit(0.0), F.lit(float(rounds)) + F.log(u) / beta)
     state = both.select(F.col("src").alias("v")).distinct().withColumn("start", start)
     now = F.floor("start")
