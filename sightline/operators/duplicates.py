@@ -107,9 +107,11 @@ def regroup(records: DataFrame, clusters: DataFrame, key: str = "group_key") ->
 
     The closure runs over both relations, near duplicates and equal keys; a
     component is renamed only if hashing touched one of its images.  Equal
-    keys are a star around the key, not pairs.
+    keys are a star around the key, not pairs.  Clustered images that aren't
+    among the records play no part.
     """
     space = runtime.Workspace(records.sparkSession, "regroup")
+    clusters = clusters.join(records.select("image_id").distinct(), "image_id", "left_semi")
     img, grp = F.concat(F.lit("i:"), "image_id"), F.concat(F.lit("k:"), F.col(key))
     by_key = records.select(img.alias("x"), grp.alias("y"))
     by_hash = clusters.select(img.alias("x"), F.concat(F.lit("h:"), "cluster_id").alias("y"))

@@ -163,7 +163,7 @@ _CLIP_SQL = r"""coalesce(nullif(regexp_extract(base, '(?i)^(.+?)[-_](?:mp4|avi|m
 _BASE_SQL = r"regexp_replace(image_id, '(?i)_(?:jpe?g|png|bmp|webp|tiff?)\.rf\.[0-9a-f]{32}$', '')"
 _KEYED_SQL = f"""
 WITH b AS (SELECT *, {_BASE_SQL} AS base FROM manifest), k AS (SELECT *, {_CLIP_SQL} AS clip FROM b),
-m AS (SELECT *, coalesce(split_group, clip, nullif(base, ''), image_id) AS group_key FROM k)
+m AS (SELECT *, row_number() OVER () AS row, coalesce(split_group, clip, nullif(base, ''), image_id) AS group_key FROM k)
 """
 
 
@@ -210,7 +210,11 @@ def region_slices(spark: SparkSession, d: str) -> DataFrame:
     return manifest(spark, d).groupBy("region").agg(F.count("*").alias("images"))
 
 
-@query("exit_criteria")
+@query(
+    "exit_criteria",
+    """WITH y AS (SELECT unnest(boxes) AS box FROM manifest), r AS (SELECT unnest(['IN', 'EU']) AS region)
+SELECT 'plates >= 1000' AS criterion, count(*) >= 1000 AS passed FROM y UNION ALL SELECT 'region ' || r.region, EXISTS (SELECT 1 FROM y WHERE y.box.region = r.region) FROM r""",
+)
 def exit_criteria(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "manifest")
     return stats.exit_criteria(stats.dataset_stats(rows), plates_by_region(spark, d))
@@ -234,7 +238,13 @@ def box_geometry(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("image_id", "box_index", geometry.corners(b).alias("c"), geometry.box_area(b).alias("area"), wide.alias("pixel_width"), geometry.size_bucket(wide).alias("bucket")).select("image_id", "box_index", "c.*", "area", "pixel_width", "bucket")
 
 
-@query("owned_groups")
+_REGION_SQL = """, x AS (SELECT row, unnest(boxes) AS box FROM m), p AS (SELECT row, box.region AS region, count(*) AS n FROM x WHERE box.region IS NOT NULL AND box.region <> 'XX' GROUP BY ALL),
+r AS (SELECT row, region, row_number() OVER (PARTITION BY row ORDER BY n DESC, region) AS k FROM p),
+i AS (SELECT image_id, group_key, coalesce(region, 'XX') AS region FROM m LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (row))
+"""
+
+
+@query("owned_groups", _KEYED_SQL + _REGION_SQL + ", g AS (SELECT group_key, region, count(*) AS size FROM i GROUP BY ALL) SELECT group_key, min(region) AS region, arg_min(size, region) AS size FROM g GROUP BY group_key")
 def owned_groups(spark: SparkSession, d: str) -> DataFrame:
     return splits.owned_groups(manifest(spark, d))
 
@@ -349,7 +359,18 @@ def clean_test_images(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.clean_subset(rows, recorded_pairs(spark, d), "test")
 
 
-@query("regrouped_images")
+@query(
+    "regrouped_images",
+    _KEYED_SQL.replace("WITH b", "WITH RECURSIVE b", 1)
+    + _HASH_SQL.replace("WITH i", ", i", 1)
+    + """, ce AS (SELECT left_id AS a, right_id AS b FROM p UNION SELECT right_id, left_id FROM p),
+cr AS (SELECT DISTINCT a AS image_id, a AS seen FROM ce UNION SELECT cr.image_id, ce.b FROM cr JOIN ce ON cr.seen = ce.a), c AS (SELECT image_id, min(seen) AS cluster_id FROM cr GROUP BY image_id),
+ki AS (SELECT DISTINCT image_id, group_key FROM m), kc AS (SELECT DISTINCT group_key, cluster_id FROM ki JOIN c USING (image_id)),
+ke AS (SELECT DISTINCT x.group_key AS a, y.group_key AS b FROM kc x JOIN kc y USING (cluster_id)),
+kr AS (SELECT DISTINCT group_key AS node, group_key AS seen FROM kc UNION SELECT kr.node, ke.b FROM kr JOIN ke ON kr.seen = ke.a), kk AS (SELECT node AS group_key, min(seen) AS comp FROM kr GROUP BY node),
+n AS (SELECT comp, 'dup:' || min(image_id) AS new_group FROM ki JOIN kk USING (group_key) GROUP BY comp)
+SELECT image_id, ki.group_key, new_group FROM ki LEFT JOIN kk USING (group_key) LEFT JOIN n USING (comp)""",
+)
 def regrouped_images(spark: SparkSession, d: str) -> DataFrame:
     rows = manifest(spark, d).select("image_id", "group_key").distinct()
     return duplicates.regroup(rows, near_dup_clusters(spark, d))
@@ -363,33 +384,63 @@ def exact_dup_docs(spark: SparkSession, d: str) -> DataFrame:
 # --- evaluation ---
 
 
+# Detections are made from the truth by a rule on a digest of image and box: most are shifted a little, some far, some missing, some strays added.
+_IOU_SQL = "(least(t.x2, d.x2) - greatest(t.x1, d.x1)) * (least(t.y2, d.y2) - greatest(t.y1, d.y1))"
+_DETECTED_SQL = f"""
+WITH RECURSIVE m AS (SELECT DISTINCT image_id, width, boxes FROM manifest), i AS (SELECT *, unnest(range(len(boxes))) AS box_index FROM m),
+t AS (SELECT image_id, box_index, b.cx - b.w / 2 AS x1, b.cy - b.h / 2 AS y1, b.cx + b.w / 2 AS x2, b.cy + b.h / 2 AS y2, b.w * width AS pixel_width, ('0x' || md5(image_id || '#' || box_index)[1:4])::INT % 10 AS k FROM (SELECT *, boxes[box_index + 1] AS b FROM i)),
+s AS (SELECT *, CASE WHEN k < 6 THEN 0.1::DOUBLE WHEN k < 8 THEN 0.45::DOUBLE ELSE 0.9::DOUBLE END * (x2 - x1) AS shift FROM t),
+d AS (SELECT image_id, box_index AS det_index, x1 + shift AS x1, y1, x2 + shift AS x2, y2, 0.5::DOUBLE + k / 20::DOUBLE AS confidence FROM s WHERE k < 9
+  UNION ALL SELECT image_id, 1000, 0, 0, 0.01::DOUBLE, 0.01::DOUBLE, 0.3::DOUBLE FROM s WHERE box_index = 0 AND k = 3),
+o AS (SELECT d.image_id, d.det_index, d.confidence, t.box_index, CASE WHEN least(t.x2, d.x2) > greatest(t.x1, d.x1) AND least(t.y2, d.y2) > greatest(t.y1, d.y1)
+    THEN {_IOU_SQL} / ((t.x2 - t.x1) * (t.y2 - t.y1) + (d.x2 - d.x1) * (d.y2 - d.y1) - {_IOU_SQL}) ELSE 0 END AS overlap FROM d JOIN t USING (image_id)),
+l AS (SELECT image_id, det_index, list(box_index ORDER BY overlap DESC, box_index DESC) AS offers FROM o WHERE overlap >= 0.5 GROUP BY ALL),
+q AS (SELECT d.image_id, coalesce(offers, []) AS offers, row_number() OVER (PARTITION BY d.image_id ORDER BY d.confidence DESC, d.det_index) AS rank, count(*) OVER (PARTITION BY d.image_id) AS n FROM d LEFT JOIN l USING (image_id, det_index)),
+g AS (SELECT DISTINCT image_id, 0::BIGINT AS step, []::BIGINT[] AS claimed, n FROM q
+  UNION ALL SELECT g.image_id, g.step + 1, list_concat(g.claimed, [x FOR x IN q.offers IF NOT list_contains(g.claimed, x)][1:1]), g.n FROM g JOIN q ON q.image_id = g.image_id AND q.rank = g.step + 1),
+a AS (SELECT image_id, count(*) AS truths, max(pixel_width) AS widest FROM t GROUP BY 1),
+e AS (SELECT image_id, coalesce(claimed, []) AS claimed, coalesce(len(claimed), 0) AS tp, coalesce(n - len(claimed), 0) AS fp, coalesce(truths, 0) - coalesce(len(claimed), 0) AS fn, widest FROM a FULL JOIN (SELECT * FROM g WHERE step = n) USING (image_id))
+"""
+_RATES_SQL = "tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall, CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END::DOUBLE AS f1"
+_BUCKET_SQL = "CASE WHEN {0} >= 0 AND {0} < 32 THEN 'tiny (<32px)' WHEN {0} >= 32 AND {0} < 64 THEN 'small (32-64px)' WHEN {0} >= 64 AND {0} < 128 THEN 'medium (64-128px)' ELSE 'large (>=128px)' END"
+
+
 def evaluation_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(truth, detections): manifest boxes, and boxes made from them by a rule."""
-    rows = table(spark, d, "manifest").dropDuplicates(["image_id"])
-    truth = evaluate.truth_boxes(rows)
-    k = F.pmod(F.crc32(F.concat("image_id", F.lit("#"), F.col("box_index").cast("string")).cast("binary")), F.lit(10))
+    truth = evaluate.truth_boxes(table(spark, d, "manifest").select("image_id", "width", "boxes").distinct())
+    k = F.conv(F.substring(F.md5(F.concat("image_id", F.lit("#"), F.col("box_index").cast("string"))), 1, 4), 16, 10).cast("int") % 10
     shift = F.when(k < 6, 0.1).when(k < 8, 0.45).otherwise(0.9) * (F.col("x2") - F.col("x1"))
     kept = truth.where(k < 9).select("image_id", F.col("box_index").alias("det_index"), (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2", (0.5 + k / 20).alias("confidence"))
     stray = truth.where((F.col("box_index") == 0) & (k == 3)).select("image_id", F.lit(1000).alias("det_index"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.01).alias("x2"), F.lit(0.01).alias("y2"), F.lit(0.3).alias("confidence"))
     return truth, kept.unionByName(stray)
 
 
-@query("detection_overall")
+@query("detection_overall", _DETECTED_SQL + f", f AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM e) SELECT {_RATES_SQL} FROM f")
 def detection_overall(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.overall(evaluate.match_boxes(*evaluation_tables(spark, d)))
 
 
-@query("detection_by_size")
+@query(
+    "detection_by_size",
+    _DETECTED_SQL
+    + f""", u AS (SELECT {_BUCKET_SQL.format('pixel_width')} AS bucket, list_contains(claimed, box_index)::INT AS tp, 0 AS fp, 1 - list_contains(claimed, box_index)::INT AS fn FROM t JOIN e USING (image_id)
+  UNION ALL SELECT {_BUCKET_SQL.format('widest')}, 0, fp, 0 FROM e WHERE widest IS NOT NULL),
+f AS (SELECT bucket, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM u GROUP BY bucket) SELECT bucket, {_RATES_SQL} FROM f""",
+)
 def detection_by_size(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.by_size(evaluate.match_boxes(*evaluation_tables(spark, d)))
 
 
-@query("detection_worst")
+@query("detection_worst", _DETECTED_SQL + "SELECT image_id, tp, fp, fn, fp + fn AS errors FROM e ORDER BY errors DESC, image_id LIMIT 20")
 def detection_worst(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.worst_images(evaluate.match_boxes(*evaluation_tables(spark, d)))
 
 
-@query("detection_best")
+@query(
+    "detection_best",
+    _DETECTED_SQL
+    + ", w AS (SELECT *, row_number() OVER (PARTITION BY image_id, box_index ORDER BY overlap DESC, det_index DESC) AS r FROM o WHERE overlap >= 0.5) SELECT t.image_id, t.box_index, det_index, overlap, confidence FROM t LEFT JOIN (SELECT * FROM w WHERE r = 1) USING (image_id, box_index)",
+)
 def detection_best(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.best_detections(*evaluation_tables(spark, d))
 
