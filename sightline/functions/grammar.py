@@ -198,5 +198,8 @@ def parse_plates(df: DataFrame, raw: str, out: str = "match", region: str | None
     )
     # A written table keeps later filters from being copied into these expressions, and is computed once.
     seen = runtime.Workspace(df.sparkSession, "plates").cut(seen.select("_raw", F.when(b["confidence"] >= min_confidence, match).alias("_match")), "parsed")
-    rows = runtime.lookup(df.withColumn("_raw", F.col(raw)), seen, ["_raw"], how="left")
+    rows = df.withColumn("_raw", F.col(raw))
+    if out != raw:
+        rows = rows.drop(out)
+    rows = runtime.lookup(rows, seen, ["_raw"], how="left")
     return rows.drop("_raw").withColumnRenamed("_match", out)

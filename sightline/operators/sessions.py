@@ -8,6 +8,7 @@ one summary row per (key, chunk) is looked at along the whole key.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,7 +148,13 @@ class SessionTable:
         local = sessionize(rows, self.keys, "ts_us", self.identity, self.gap_us, self.chunk_us)
 
         # Stored days whose sessions reach within the gap of a day of the batch.
-        touched = {k: v for k, v in manifest["days"].items() if any(v["lo"] - self.gap_us <= (int(d) + 1) * DAY_US and int(d) * DAY_US <= v["hi"] + self.gap_us for d in fresh_days)}
+        new_days = sorted(map(int, fresh_days))
+
+        def near(v: dict) -> bool:
+            i = bisect_left(new_days, (v["lo"] - self.gap_us) // DAY_US - 1)
+            return i < len(new_days) and new_days[i] * DAY_US <= v["hi"] + self.gap_us
+
+        touched = {k: v for k, v in manifest["days"].items() if near(v)}
         if touched:
             stored = self._read([v["path"] for v in touched.values()], local.schema)
             local = merge_intervals(stored.unionByName(local), self.keys, self.gap_us, self.chunk_us)

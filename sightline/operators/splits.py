@@ -86,8 +86,7 @@ def coverage(records: DataFrame, assignment: DataFrame, ratios: dict[str, float]
     plan = assignment.select(F.col("group_key").alias("name")).distinct()
     used = assign(records, assignment, group).where("split IS NOT NULL").select("split").distinct()
     wanted = records.sparkSession.createDataFrame([(s,) for s, v in shares.items() if v > 0], "name string")
-    some = records.limit(1).select(F.lit(1).alias("one"))
-    empty = wanted.join(used, wanted["name"] == used["split"], "left_anti").join(F.broadcast(some), F.lit(1) == F.col("one"), "left_semi")
+    empty = wanted.limit(0) if records.isEmpty() else wanted.join(used, wanted["name"] == used["split"], "left_anti")
     parts = ((have.join(plan, "name", "left_anti"), "unassigned"), (plan.join(have, "name", "left_anti"), "stale"), (empty, "empty"))
     out = [p.select(F.lit(what).alias("problem"), "name") for p, what in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])

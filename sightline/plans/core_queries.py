@@ -274,7 +274,7 @@ def label_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "manifest").select("image_id", "boxes").distinct().select("image_id", files.label_body(F.col("boxes"), clip=False).alias("body"))
 
 
-@query("label_round_trip")
+@query("label_round_trip", "SELECT count(*) AS records, sum(len(boxes)) AS boxes, sum(len(boxes)) AS parsed, 0 AS errors FROM manifest WHERE boxes IS NOT NULL")
 def label_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Boxes written as label lines and parsed again: records, boxes, and those that came back with an error."""
     rows = table(spark, d, "manifest").where("boxes IS NOT NULL").select("image_id", F.size("boxes").alias("n"), labels.parse_label(files.label_body(F.col("boxes"))).alias("p"))

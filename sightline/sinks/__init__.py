@@ -1 +1 @@
-
+"""Writers of manifests, label trees, journals and workbooks."""

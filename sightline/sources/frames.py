@@ -46,8 +46,9 @@ def stills(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.format("image").option("dropInvalid", "false").load(folder)
     rows = files.select(F.col("image.origin").alias("source"), "image").where(F.lower(F.regexp_extract("source", r"(\.[^.]*)$", 1)).isin(list(STILL_TYPES)))
-    rows = rows.withColumn("frame", F.row_number().over(W.orderBy("source")) - 1)
-    return rows.where("image.width > 0").select("source", "frame", F.col("image.width").alias("width"), F.col("image.height").alias("height"), "image")
+    # Only names are ordered as a whole; the pictures stay where they are.
+    numbers = rows.select("source").withColumn("frame", F.row_number().over(W.orderBy("source")) - 1)
+    return rows.where("image.width > 0").join(numbers, "source").select("source", "frame", F.col("image.width").alias("width"), F.col("image.height").alias("height"), "image")
 
 
 def newest_only(frames: DataFrame, reader_ts: str = "read_us", capture_ts: str = "ts_us") -> DataFrame:

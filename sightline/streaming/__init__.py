@@ -1 +1 @@
-
+"""The pipeline on streams."""
