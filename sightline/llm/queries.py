@@ -199,8 +199,19 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 # --- 8: evaluation texts in the corpus ---
 
+_P8_SQL = r"""
+WITH b AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM test_items WHERE text IS NOT NULL),
+c AS (SELECT kind, id, regexp_replace(replace(replace(replace(replace(replace(text, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '[\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{206F}\x{FEFF}]', '', 'g') AS t FROM b),
+h AS (SELECT kind, id, regexp_replace(t, '([\p{L}\p{N}_])(?:-|\\-)[ \t]*\r?\n[ \t]*(?:%+[ \t]*)?([\p{L}\p{N}_])', '\1\2', 'g') AS t FROM c),
+m AS (SELECT kind, id, regexp_replace(regexp_replace(t, '\\[a-zA-Z]*cite[a-zA-Z]*\*?\s*(?:\[[^\]\\]*\]\s*)*\{[^{}]*\}', ' ', 'g'), '\\(?:begin|end)\s*\{[^{}]*\}', ' ', 'g') AS t FROM h),
+n AS (SELECT kind, id, regexp_replace(regexp_replace(t, '\\[a-zA-Z@]+\*?(?:\[[^\]\\\n]*\])?\{', '', 'g'), '\\[a-zA-Z@]+\*?', ' ', 'g') AS t FROM m),
+w AS (SELECT kind, id, regexp_extract_all(lower(regexp_replace(regexp_replace(t, '[{}]|\\-', '', 'g'), '([\p{L}\p{N}])[-‐‑]([\p{L}\p{N}])', '\1\2', 'g')), '[\p{L}\p{N}]+') AS ws FROM n),
+g AS (SELECT kind, id, array_to_string(ws[i:i + 11], ' ') AS run FROM (SELECT *, unnest(range(1, len(ws) - 10)) AS i FROM w WHERE len(ws) >= 12))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i USING (run) WHERE d.kind = 'd' AND i.kind = 'i'
+"""
+
 
-@query("p8_found")
+@query("p8_found", _P8_SQL)
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.leaked_items(table(spark, d, "documents"), table(spark, d, "test_items"))
 
