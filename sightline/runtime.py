@@ -159,15 +159,25 @@ def ascii_upper(c: Column) -> Column:
     return F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def lookup(rows: DataFrame, small: DataFrame, keys: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
-    """Join rows, of which a few keys may hold most, to a table with one row per key.
+#: A key of more than one row in HOT_SHARE is hot; there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 256
 
-    The table is broadcast if it is counted to be small.  Else its rows are
-    repeated ``salts`` times and every key's rows are spread over that many tasks.
+
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows, of which a few keys may hold most, to a table with one row per key (``how``: inner or left).
+
+    The table is broadcast if it is counted to be small.  Else the hot keys
+    are counted; their rows stay where they are and meet the few table rows of
+    hot keys by broadcast, and only all other rows are shuffled.
     """
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), keys, how)
-    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]  # maps have no hash
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(small, [*keys, "_salt"], how).drop("_salt")
+    spark = rows.sparkSession
+    counted = rows.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    top = counted.where(F.col("_n") * HOT_SHARE > total).drop("_n").collect()
+    if not top:
+        return rows.join(small, keys, how)
+    hot = F.broadcast(spark.createDataFrame(top, counted.drop("_n").schema))
+    few = F.broadcast(small.join(hot, keys, "left_semi"))
+    return rows.join(hot, keys, "left_semi").join(few, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(small, keys, how))

@@ -166,7 +166,7 @@ def test_shared_json(spark, tmp_path):
     assert runtime.read_json(spark, at) == {"x": [1]}
 
 
-def test_lookup_salted_and_broadcast(spark, monkeypatch):
+def test_lookup_of_hot_keys_and_by_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([("hot", i, {"m": "x"}) for i in range(50)] + [("cold", 1, None), (None, 2, None), ("none", 3, None)], "k string, i int, m map<string, string>")
     small = spark.createDataFrame([("hot", 1.0), ("cold", 2.0)], "k string, v double")
     for limit in (100, 1):
