@@ -80,7 +80,8 @@ class EntitySplits:
         held = comps.where("comp = root").select(F.col("comp").alias("label"), "split", "size")
         labels = space.cut(labels.join(held, "label", "left"), "labels")
 
-        fresh = firsts.where("old IS NULL").join(nodes.select(F.col("node").alias("first"), "label"), "first").groupBy("label").agg(F.count("*").alias("more"))
+        fresh = firsts.where("old IS NULL").groupBy("first").agg(F.count("*").alias("more"))  # a key may hold most records, so they are counted first
+        fresh = fresh.join(nodes.select(F.col("node").alias("first"), "label"), "first").groupBy("label").agg(F.sum("more").alias("more"))
         kept, splits = F.min(F.when(F.col("split").isNotNull(), F.col("label"))), F.collect_set("split")  # a set of split names: a handful
         whole = labels.join(fresh, "label", "left").groupBy("part").agg(
             F.coalesce(kept, F.min("label")).alias("root"), splits.alias("splits"), (F.coalesce(F.sum("size"), F.lit(0)) + F.coalesce(F.sum("more"), F.lit(0))).alias("size")

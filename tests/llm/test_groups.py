@@ -100,3 +100,21 @@ def test_shares_come_close(spark, tmp_path):
         assert abs(r.share - r.target_share) < 0.04
     with pytest.raises(ValueError):
         EntitySplits(spark, str(tmp_path / "z"), {"train": -1.0})
+
+
+def test_results_are_the_same_without_broadcasts(spark, tmp_path, monkeypatch):
+    from sightline import runtime
+
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    pairs = [("hub", f"s{i}") for i in range(60)] + [("a", "b"), ("b", "c"), ("x", None)]
+    got = {tuple(x) for x in match_groups(spark.createDataFrame(pairs, "l string, r string"), "l", "r").collect()}
+    assert got == brute(pairs)
+    store = EntitySplits(spark, str(tmp_path / "s"), TARGETS)
+    store.apply(batch(spark, [(f"i{i}", ["hot"]) for i in range(50)] + [(f"j{i}", [f"g{i % 5}"]) for i in range(20)] + [("k", None)]))
+    store.apply(batch(spark, [("i50", ["hot"]), ("j20", ["g1", "g2"])]))
+    sets = {}
+    for r in store.entities().collect():
+        sets.setdefault(r.entity_id, set()).add(r.record_id)
+    assert len(sets["i0"]) == 51
+    assert len(store.records().collect()) == 73
+    assert sum(map(len, sets.values())) == 72
