@@ -76,10 +76,15 @@ class Sequence:
     def advance(self, frame: int, boxes: list[tuple]) -> tuple[dict[int, Live], list[Live]]:
         """Take a frame's boxes; gives the track of each box (by place), and the confirmed tracks that ended."""
         s = self.settings
-        offers = [(-overlap(t.box, b), i, j) for i, t in enumerate(self.live) for j, b in enumerate(boxes)]
+        offers = []
+        for i, t in enumerate(self.live):
+            x1, y1, x2, y2 = t.box
+            for j, b in enumerate(boxes):
+                if b[0] < x2 and b[2] > x1 and b[1] < y2 and b[3] > y1 and (v := overlap(t.box, b)) >= s.iou:
+                    offers.append((-v, i, j))
         taken: dict[int, Live] = {}
         seen: set[int] = set()
-        for v, i, j in sorted(o for o in offers if -o[0] >= s.iou):
+        for _, i, j in sorted(offers):
             if i not in seen and j not in taken:
                 seen.add(i)
                 taken[j] = self.live[i]
@@ -110,6 +115,8 @@ def _follow(settings: Settings, last_frame: bool):
         place = {id(t): j for j, t in taken.items()}
         for t in seq.live:
             j = place.get(id(t))
+            if j is None and not t.confirmed:
+                continue  # nothing reads it, and it may never be seen again
             yield (*key, frame, t.ident, None if j is None else det[j], *t.box, t.hits, t.age, t.confirmed)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +158,7 @@ def _follow(settings: Settings, last_frame: bool):
 
 
 def follow(detections: DataFrame, settings: Settings = Settings(), lengths: DataFrame | None = None) -> DataFrame:
-    """A row for every track alive after every frame: source, frame, track_id, det_index (null where the frame didn't show it), its box, hits, age, confirmed.
+    """A row for every frame and every track that it shows or that is confirmed and alive: source, frame, track_id, det_index (null where the frame didn't show it), its box, hits, age, confirmed.
 
     ``detections`` has source, frame, det_index and x1, y1, x2, y2; frames are
     numbered without gaps, and those without rows have no detections.
@@ -181,9 +188,9 @@ def follow(detections: DataFrame, settings: Settings = Settings(), lengths: Data
 
 
 def track_table(live: DataFrame) -> DataFrame:
-    """A row per track: source, track_id, first_frame, last_frame, hits, duration, confirmed, ended_at (the frame after which it was alive no more)."""
+    """A row per track: source, track_id, first_frame, last_frame, hits, duration, confirmed, and of confirmed ones ended_at (the first frame in which it was alive no more)."""
     out = live.groupBy("source", "track_id").agg(
-        F.min("frame").alias("first_frame"), F.max(F.when(F.col("det_index").isNotNull(), F.col("frame"))).alias("last_frame"), F.max("hits").alias("hits"), F.max("confirmed").alias("confirmed"), (F.max("frame") + 1).alias("ended_at")
+        F.min("frame").alias("first_frame"), F.max(F.when(F.col("det_index").isNotNull(), F.col("frame"))).alias("last_frame"), F.max("hits").alias("hits"), F.max("confirmed").alias("confirmed"), F.when(F.max("confirmed"), F.max("frame") + 1).alias("ended_at")
     )
     return out.withColumn("duration", F.col("last_frame") - F.col("first_frame") + 1)
 

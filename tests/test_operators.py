@@ -296,7 +296,8 @@ def sequential(rows, settings, last):
             taken, _ = seq.advance(f, [x[3:] for x in d])
             place = {id(t): d[j][2] for j, t in taken.items()}
             for t in seq.live:
-                out[(s, f, t.ident)] = (place.get(id(t)), t.hits, t.age, t.confirmed)
+                if id(t) in place or t.confirmed:
+                    out[(s, f, t.ident)] = (place.get(id(t)), t.hits, t.age, t.confirmed)
     return out
 
 
