@@ -40,7 +40,8 @@ def near_hashes(left: DataFrame, right: DataFrame, max_bits: int = MAX_BITS) ->
     a = block_keys(left.select("dhash"), False).withColumnRenamed("dhash", "left_hash")
     b = block_keys(right.select("dhash"), True).withColumnRenamed("dhash", "right_hash")
     bits = hamming(F.col("left_hash"), F.col("right_hash"))
-    return a.join(b, ["block", "prefix"]).withColumn("bits", bits).where(F.col("bits").between(1, max_bits)).select("left_hash", "right_hash", "bits").distinct()
+    # The planner sizes the keys by the hashes they are made from, far too small for a choice to broadcast them.
+    return a.join(b.hint("merge"), ["block", "prefix"]).withColumn("bits", bits).where(F.col("bits").between(1, max_bits)).select("left_hash", "right_hash", "bits").distinct()
 
 
 def _clean(hashes: DataFrame) -> DataFrame:
