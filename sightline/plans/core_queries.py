@@ -523,3 +523,15 @@ def tracked_detections(spark: SparkSession, d: str) -> DataFrame:
     """All recorded detections followed anew: the tracks, with their spans and hits."""
     rows = table(spark, d, "track_history").groupBy("source", "frame", "det_index").agg(F.min(F.struct("x1", "y1", "x2", "y2")).alias("b")).select("source", "frame", "det_index", "b.*")
     return tracker.track_table(tracker.follow(rows))
+
+
+@query(
+    "crop_refs",
+    f"""WITH m AS (SELECT DISTINCT image_id, width, boxes FROM manifest), i AS (SELECT *, unnest(range(len(boxes))) AS k FROM m), x AS (SELECT image_id, k, boxes[k + 1].w * width AS wide FROM i),
+b AS (SELECT image_id || '#' || k AS crop_id, image_id, trunc(wide)::INT AS width_px, {_BUCKET_SQL.format('wide')} AS bucket FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('0:' || crop_id), crop_id) AS round FROM b), d AS (SELECT *, row_number() OVER (ORDER BY round, bucket) - 1 AS n FROM r QUALIFY n < 200)
+SELECT crop_id, image_id, printf('%04d.png', n) AS file_name, width_px, bucket FROM d""",
+)
+def crop_refs(spark: SparkSession, d: str) -> DataFrame:
+    """A labelling sample of the manifest's boxes."""
+    return sampling.crop_refs(table(spark, d, "manifest"), 200)
