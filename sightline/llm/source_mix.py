@@ -181,7 +181,8 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block
     run = lambda *by: F.coalesce(F.sum("n").over(W.partitionBy(by[0]).orderBy(by[1]).rowsBetween(*before)), F.lit(0))
     counts = counts.withColumn("start", run("number", "shard")).withColumn("first", run("shard", "number")).where("n > 0")
     slots = counts.select("shard", "number", "n", "start", "first").mapInPandas(fill, "shard long, slot long, source string, epoch long, block long")
-    slots = space.cut(slots.join(blocks, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "tokens"), "slots")
+    # The planner sizes the slots by the few draws they come from, and would broadcast them at any number.
+    slots = space.cut(slots.join(blocks.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "tokens"), "slots")
 
     sums = slots.groupBy("source").agg(F.sum("tokens").alias("drawn"), (F.max("epoch") + 1).alias("rounds"))
     one = pieces.groupBy("source").agg(F.sum("tokens").alias("tokens"))
