@@ -88,7 +88,7 @@ class EntitySplits:
         )
         kind = F.when(F.size("splits") == 0, None).when(F.size("splits") == 1, F.col("splits")[0]).otherwise(QUARANTINE)
         whole = space.cut(whole.select("part", "root", "size", kind.alias("split")), "whole")
-        placed = whole.where("split IS NOT NULL").unionByName(self._place(whole.where("split IS NULL"), comps.where("comp = root")))
+        placed = whole.where("split IS NOT NULL").unionByName(self._place(whole.where("split IS NULL"), held.join(labels.select("label"), "label", "left_anti").select("split", "size").unionByName(whole.where("split IS NOT NULL").select("split", "size"))))
         placed = space.cut(placed, "placed")
 
         # A stored name that has a new root takes all names along that pointed to it.
@@ -106,7 +106,10 @@ class EntitySplits:
         return version + 1
 
     def _place(self, new: DataFrame, old: DataFrame) -> DataFrame:
-        """Splits for new components: the large ones one by one where most is missing, the many small ones by hash in the proportions then missing."""
+        """Splits for new components: the large ones one by one where most is missing, the many small ones by hash in the proportions then missing.
+
+        ``old`` has split and size of the stored components as this batch leaves them; quarantined ones count for no split.
+        """
         sizes = {r.split: r.n for r in old.groupBy("split").agg(F.sum("size").alias("n")).collect()}
         total = new.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
         have = {s: sizes.get(s, 0) for s in self.targets}
