@@ -40,54 +40,85 @@ def near_hash_pairs(hashes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return found.select(F.col("left_hash").alias("train"), F.col("right_hash").alias("held"), "bits")
 
 
-def cross_split_pairs(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``left_id``, ``right_id`` (smaller first) of different images, one in train and one in val or test, that are nearly the same.
-
-    Either a recorded pair says so (distance 0..5 and both splits), or the
-    image hashes do: equal hashes of two blank pictures or of two that aren't,
-    or hashes 1..5 bits apart of pictures that aren't blank, 2 bits at most if
-    both regions are known (not null, not XX) and differ.
+def cross_split_ends(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of ``cross_split_pairs`` with ``held_id``, the end that is held out, and its ``split`` (val or test), each once.
 
-    Rows with a null id, hash, split or contrast don't count (a recorded pair
-    needs no contrast); splits are read without case and outer blanks; an
-    image with several rows pairs by any of them; empty tables give no rows.
+    The split is that of the row that makes the pair: the recorded one, or the
+    image's hash row.  A pair has several rows if rows of either end disagree.
 
     Hashes are compared once each: rows of one hash, region, blankness and
-    side are gathered only where a pair is given out.
+    split are gathered only where a pair is given out.
     """
     space = runtime.Workspace(hashes.sparkSession, "cross")
-    side = split_side(F.col("split"))
     region = F.when(F.col("region") != "XX", F.col("region"))
-    rows = hashes.select("image_id", "dhash", (F.col("contrast") <= BLANK_CONTRAST).alias("blank"), region.alias("region"), (side == "train").alias("train"))
-    rows = rows.where("image_id IS NOT NULL AND dhash IS NOT NULL AND blank IS NOT NULL AND train IS NOT NULL").distinct()
+    rows = hashes.select("image_id", "dhash", (F.col("contrast") <= BLANK_CONTRAST).alias("blank"), region.alias("region"), split_side(F.col("split")).alias("split"))
+    rows = rows.where("image_id IS NOT NULL AND dhash IS NOT NULL AND blank IS NOT NULL AND split IS NOT NULL").distinct()
     rows = space.cut(rows, "rows")
 
-    t, h = rows.where("train").alias("t"), rows.where("NOT train").alias("h")
-    two = [F.least("t.image_id", "h.image_id").alias("left_id"), F.greatest("t.image_id", "h.image_id").alias("right_id")]
-    equal = t.join(h, (F.col("t.dhash") == F.col("h.dhash")) & (F.col("t.blank") == F.col("h.blank"))).where("t.image_id <> h.image_id").select(*two)
+    t, h = rows.where("split = 'train'").alias("t"), rows.where("split <> 'train'").alias("h")
+    ends = [F.least("t.image_id", "h.image_id").alias("left_id"), F.greatest("t.image_id", "h.image_id").alias("right_id"), F.col("h.image_id").alias("held_id"), F.col("h.split").alias("split")]
+    equal = t.join(h, (F.col("t.dhash") == F.col("h.dhash")) & (F.col("t.blank") == F.col("h.blank"))).where("t.image_id <> h.image_id").select(*ends)
 
-    distinct = rows.where("NOT blank").groupBy("dhash").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_held"))
+    train = F.col("split") == "train"
+    distinct = rows.where("NOT blank").groupBy("dhash").agg(F.max(train).alias("in_train"), F.max(~train).alias("in_held"))
     near = space.cut(near_hash_pairs(distinct), "near")
     close = (
         near.alias("n").join(t.where("NOT t.blank"), F.col("n.train") == F.col("t.dhash"))
         .join(h.where("NOT h.blank"), F.col("n.held") == F.col("h.dhash"))
         .where(f"t.image_id <> h.image_id AND (bits <= {MAX_BITS_ACROSS} OR t.region IS NULL OR h.region IS NULL OR t.region = h.region)")
-        .select(*two)
+        .select(*ends)
     )
     a, b = split_side(F.col("left_split")), split_side(F.col("right_split"))
     said = pairs.where(f"left_id <> right_id AND distance BETWEEN 0 AND {MAX_BITS}").where((a == "train") != (b == "train"))
-    said = said.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
+    said = said.select(
+        F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"),
+        F.when(a == "train", F.col("right_id")).otherwise(F.col("left_id")).alias("held_id"), F.when(a == "train", b).otherwise(a).alias("split"),
+    )
     return equal.unionByName(close).unionByName(said).distinct()
 
 
-def coverage(found: DataFrame, hashes: DataFrame) -> DataFrame:
+def cross_split_pairs(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``left_id``, ``right_id`` (smaller first) of different images, one in train and one in val or test, that are nearly the same.
+
+    Either a recorded pair says so (distance 0..5 and both splits), or the
+    image hashes do: equal hashes of two blank pictures or of two that aren't,
+    or hashes 1..5 bits apart of pictures that aren't blank, 2 bits at most if
+    both regions are known (not null, not XX) and differ.
+
+    Rows with a null id, hash, split or contrast don't count (a recorded pair
+    needs no contrast); splits are read without case and outer blanks; an
+    image with several rows pairs by any of them; empty tables give no rows.
+    """
+    return cross_split_ends(hashes, pairs).select("left_id", "right_id").distinct()
+
+
+def _source_of(image_id: Column, sources: DataFrame) -> Column:
+    """``source_tag`` of the longest ``id_prefix`` that an id begins with; null if none does."""
+    rows = sources.where("id_prefix IS NOT NULL AND source_tag IS NOT NULL").groupBy("id_prefix").agg(F.min("source_tag").alias("source_tag")).limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("the source registry is a small table; this one isn't")
+    longest = sorted(rows, key=lambda r: (-len(r.id_prefix), r.id_prefix))
+    return F.coalesce(*(F.when(image_id.startswith(r.id_prefix), r.source_tag) for r in longest), F.lit(None).cast("string"))
+
+
+def coverage(found: DataFrame, hashes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Held-out images that are also in train: ``split``, ``source_tag``, ``pairs``, ``images``, for each held-out split and source.
 
-    An image's split and source_tag are those of its hash rows (the smallest,
-    if they differ); images without such rows count under null.
+    ``found`` is what ``cross_split_ends`` gives; only held-out ends count, an
+    image of two held-out splits under each.  The source_tag is that of the
+    image's hash rows (the smallest, if they differ), else that of the longest
+    ``id_prefix`` in ``sources`` (id_prefix, source_tag) that its id has, else
+    null.
+
+    Bare pairs (``cross_split_pairs``) don't say which end is held out: there,
+    the splits of the hash rows do, and an end without any counts under null.
     """
-    side = split_side(F.col("split"))
-    info = hashes.where("image_id IS NOT NULL").groupBy("image_id").agg(F.min(side).alias("split"), F.min("source_tag").alias("source_tag"))
-    ends = found.select(F.explode(F.array("left_id", "right_id")).alias("image_id"))
-    n = ends.groupBy("image_id").agg(F.count("*").alias("pairs")).join(info, "image_id", "left").where("split IS NULL OR split <> 'train'")
+    known = hashes.where("image_id IS NOT NULL")
+    if "held_id" not in found.columns:
+        sides = known.select(F.col("image_id").alias("held_id"), split_side(F.col("split")).alias("split")).where("split IS NOT NULL").distinct()
+        found = found.select("left_id", "right_id", F.explode(F.array("left_id", "right_id")).alias("held_id")).join(sides, "held_id", "left").where("split IS NULL OR split <> 'train'")
+    n = found.groupBy(F.col("held_id").alias("image_id"), "split").agg(F.count("*").alias("pairs"))
+    n = n.join(known.groupBy("image_id").agg(F.min("source_tag").alias("source_tag")), "image_id", "left")
+    if sources is not None:
+        n = n.withColumn("source_tag", F.coalesce("source_tag", _source_of(F.col("image_id"), sources)))
     return n.groupBy("split", "source_tag").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("images"))

@@ -194,7 +194,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_report")
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     hashes = table(spark, d, "image_hashes")
-    return cross_split.coverage(cross_split.cross_split_pairs(hashes, table(spark, d, "duplicate_pairs")), hashes)
+    ends = cross_split.cross_split_ends(hashes, table(spark, d, "duplicate_pairs"))
+    return cross_split.coverage(ends, hashes, table(spark, d, "roboflow_sources"))
 
 
 # --- 8: evaluation texts in the corpus ---

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sightline.llm.cross_split import coverage, cross_split_pairs
+from sightline.llm.cross_split import coverage, cross_split_ends, cross_split_pairs
 from sightline.llm.leak_search import WINDOW, leaked_items, words
 
 HASHES = "image_id string, dhash long, contrast int, region string, split string, source_tag string, bits int, train string"
@@ -50,6 +50,40 @@ def test_cross_split_pairs_equal_brute_force(spark):
     assert cross_split_pairs(h.limit(0), p.limit(0)).count() == 0
 
 
+def brute_coverage(hashes, pairs, sources):
+    held = set()
+    rows = [h for h in set(hashes) if None not in (h[0], h[1], h[2]) and side(h[4])]
+    for t in rows:
+        for h in rows:
+            if side(t[4]) == "train" != side(h[4]) and brute([t, h], []):
+                held.add((tuple(sorted((t[0], h[0]))), h[0], side(h[4])))
+    for x, y, d, s, t, *_ in pairs:
+        if brute([], [(x, y, d, s, t)]):
+            held.add((tuple(sorted((x, y))), *((y, side(t)) if side(s) == "train" else (x, side(s)))))
+    out = {}
+    for _, i, split in held:
+        tags = sorted(h[5] for h in hashes if h[0] == i and h[5] is not None) or [t for p, t in sorted(sources, key=lambda s: -len(s[0])) if i.startswith(p)] or [None]
+        k = out.setdefault((split, tags[0]), [0, set()])
+        k[0] += 1
+        k[1].add(i)
+    return {(*k, n, len(ids)) for k, (n, ids) in out.items()}
+
+
+def test_coverage_counts_held_out_ends(spark):
+    hashes = [("co-1", 7, 90, None, "train", "a", 1, "t"), ("co-2", 7, 90, None, "val", "a", 1, "t"), ("co-2", 7, 90, None, "test", None, 1, "t"), ("co-3", 7, 90, None, "train", None, 1, "t"), ("co-3", 8, 90, None, "val", None, 1, "t"), ("x-6", 7, 2, None, "val", "b", 1, "t"), ("co-1", None, None, None, None, "0", 1, "t")]
+    pairs = [("co-8", "co-night-9", 3, " Train", "VALID", 1), ("co-night-9", "co-8", 2, "validation", "train", 1), ("y-1", "co-1", 0, "test", "train", 1), ("co-9", "y-1", 1, "train", "val", 1), ("co-9", "x-6", 6, "train", "val", 1), ("x-6", "co-9", 5, "test ", "train", 1), ("co-4", "co-5", 1, "val", "test", 1), ("co-4", "co-5", 1, None, "test", 1)]
+    sources = [("co-", "coast"), ("co-night-", "night")]
+    h, p, s = spark.createDataFrame(hashes, HASHES), spark.createDataFrame(pairs, PAIRS), spark.createDataFrame(sources, "id_prefix string, source_tag string")
+    ends = cross_split_ends(h, p)
+    got = [tuple(x) for x in coverage(ends, h, s).collect()]
+    assert ("val", "night", 1, 1) in got and ("test", None, 1, 1) in got
+    assert len(got) == len(set(got))
+    assert set(got) == brute_coverage(hashes, pairs, sources)
+    assert set(map(tuple, coverage(ends, h).collect())) == brute_coverage(hashes, pairs, [])
+    assert set(map(tuple, ends.select("left_id", "right_id").collect())) == brute(hashes, pairs)
+    assert coverage(cross_split_ends(h.limit(0), p.limit(0)), h, s).count() == 0
+
+
 def brute_leaks(docs, items):
     out = set()
     for d, t, *_ in docs:
