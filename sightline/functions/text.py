@@ -1,4 +1,4 @@
-"""Strings: plate normalisation, distance and error rate, outcomes, licences."""
+"""Strings: plate normalisation, distance and error rate, outcomes, split names, licences."""
 
 from __future__ import annotations
 
@@ -31,6 +31,12 @@ def classify(truth: Column, raw: Column, final: Column) -> Column:
     return F.when(final.isNull(), REJECTED).when(final == truth, CORRECT).when(raw == truth, CORRUPTED).otherwise(OCR_ERROR)
 
 
+def split_side(split: Column) -> Column:
+    """``train``, ``val`` or ``test`` for the spellings in use; null for anything else."""
+    s = F.lower(F.trim(split))
+    return F.when(s == "train", "train").when(s.isin("val", "valid", "validation"), "val").when(s == "test", "test")
+
+
 def redistributable(licence: Column) -> Column:
     """Whether a licence has neither a no-derivatives nor a non-commercial clause, as words of their own."""
     return ~F.upper(licence).rlike(r"\b(ND|NC)\b")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import runtime
+from sightline.functions.text import split_side
 from sightline.operators.duplicates import near_hashes
 
 #: Bits that may differ; the same across known, differing regions; range of brightness up to which a picture is blank.
@@ -25,12 +26,6 @@ MAX_BITS_ACROSS = 2
 BLANK_CONTRAST = 4
 
 
-def split_side(split: Column) -> Column:
-    """``train``, ``val`` or ``test`` for the spellings in use; null for anything else."""
-    s = F.lower(F.trim(split))
-    return F.when(s == "train", "train").when(s.isin("val", "valid", "validation"), "val").when(s == "test", "test")
-
-
 def near_hash_pairs(hashes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``train``, ``held`` and ``bits`` of all pairs of distinct hashes, one used in train and one held out, that differ in 1..``max_bits`` bits.
 

@@ -329,8 +329,10 @@ _PAIR_SQL = "WITH p AS (SELECT DISTINCT left_id, right_id, left_split, right_spl
 
 
 def recorded_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "duplicate_pairs").where("left_id <> right_id AND distance BETWEEN 0 AND 5 AND left_split IN ('train', 'val', 'test') AND right_split IN ('train', 'val', 'test')")
-    return rows.select("left_id", "right_id", "left_split", "right_split").distinct()
+    """Recorded near pairs with both splits, in whatever spelling; the SQL beside the queries still takes exact spellings only."""
+    rows = table(spark, d, "duplicate_pairs").where("left_id <> right_id AND distance BETWEEN 0 AND 5")
+    rows = rows.select("left_id", "right_id", *(text.split_side(F.col(c)).alias(c) for c in ("left_split", "right_split")))
+    return rows.where("left_split IS NOT NULL AND right_split IS NOT NULL").distinct()
 
 
 @query(
@@ -355,7 +357,7 @@ def contaminated_images(spark: SparkSession, d: str) -> DataFrame:
     + ", c AS (SELECT * FROM p WHERE left_split <> right_split AND 'train' IN (left_split, right_split)), h AS (SELECT DISTINCT image_id FROM image_hashes WHERE split = 'test') SELECT image_id FROM h WHERE image_id NOT IN (SELECT left_id FROM c WHERE left_split = 'test' UNION SELECT right_id FROM c WHERE right_split = 'test')",
 )
 def clean_test_images(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "image_hashes").where("split = 'test' AND image_id IS NOT NULL").select("image_id").distinct()
+    rows = table(spark, d, "image_hashes").where((text.split_side(F.col("split")) == "test") & F.col("image_id").isNotNull()).select("image_id").distinct()
     return duplicates.clean_subset(rows, recorded_pairs(spark, d), "test")
 
 
