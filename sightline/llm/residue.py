@@ -5,7 +5,8 @@ quoted is dropped; title, authors, abstract, sections and the body that is
 left are looked at where they stand.  Short bodies without sections are
 compared across the whole corpus: a response that several hosts (sources)
 repeat, and that shares no term with the title or the address slug of its
-record, needs less evidence in its own words than a single one.
+record, needs less evidence in its own words than a single one, and none if
+it is repeated word for word.  A record without title and slug shares no term.
 """
 
 from __future__ import annotations
@@ -81,6 +82,9 @@ _SECTION = re.compile(r"\\(?:sub)*section\*?\s*\{[^{}]*\}(?:\s*\\label\{[^{}]*\}
 _TAIL = re.compile(r"\\begin\{thebibliography\}|\\bibliography(?:style)?\{|\\end\{document\}|\\appendix\b")
 _LAYOUT = re.compile(r"\\(?:input|include|label|cite|ref|bibliography|usepackage|documentclass|documentstyle)\s*(?:\[[^\]]*\])?\{[^{}]*\}|\\maketitle\b|<[^<>]{0,200}>")
 _PARAGRAPH = re.compile(r"\n\s*\n")
+_HTML_TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.I | re.S)
+# Commands with what they take, where that is no text to read.
+_SETUP = re.compile(r"\\(?:input|include)\s+[^\s\\{}]+|\\[a-zA-Z]+\*?(?:\[[^\]]*\]|\{[^{}\s]*\})*|[{}]")
 _COMMAND = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?|[{}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _TERM = re.compile(r"[^\W\d_]{4,}")
@@ -116,8 +120,8 @@ def is_filler(paragraph: str) -> bool:
 
 
 def inspect(text: str | None, slug: str | None = None) -> dict:
-    """What a text shows: ``field``, ``filler``, ``strong``, ``weak``, ``apart`` (no term shared with title and slug), and ``body``, the bare form of a body low in information."""
-    out = {"field": False, "filler": False, "strong": False, "weak": False, "apart": False, "body": None}
+    """What a text shows: ``field``, ``filler``, ``strong``, ``weak``, ``apart`` (no term shared with title and slug), and of a body low in information ``body``, the bare form, and ``exact``, the same with short numbers as they are (null if the text is cut off)."""
+    out = {"field": False, "filler": False, "strong": False, "weak": False, "apart": False, "body": None, "exact": None}
     if not text or not text.strip():
         return out
     text = _LINE_END.sub("\n", text)
@@ -160,23 +164,27 @@ def inspect(text: str | None, slug: str | None = None) -> dict:
         words = _WORD.findall(bare)
         if 0 < len(words) <= LOW_WORDS:
             out["strong"], out["weak"] = bool(_STRONG.search(bare)), bool(_WEAK.search(bare))
-            terms = set(_TERM.findall(bare.lower()))
-            about = set(_TERM.findall(" ".join([*heads.get("title", ()), slug or ""]).lower()))
-            out["apart"] = bool(about) and not terms & about
-            out["body"] = " ".join(re.sub(r"\b[0-9a-f]{6,}\b|\d+", "#", bare.lower()).split())
+            own = _LAYOUT.sub(" ", _HTML_TITLE.sub(" ", parts[0]))
+            terms = set(_TERM.findall(own.lower()))
+            about = set(_TERM.findall(" ".join([*heads.get("title", ()), *_HTML_TITLE.findall(parts[0]), slug or ""]).lower()))
+            out["apart"] = not terms & about
+            out["body"] = " ".join(re.sub(r"\b[0-9a-f]{6,}\b|\d+", "#", (own if _WORD.search(own) else bare).lower()).split())
+            said = _SETUP.sub(" ", own)
+            if _WORD.search(said) and (not tex or "\\end{document}" in body):
+                out["exact"] = " ".join(re.sub(r"\b[0-9a-f]{6,}\b|\d{4,}", "#", said.lower()).split())
     return out
 
 
 _FLAGS = ("field", "filler", "strong", "weak", "apart")
-_OUT = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *((f, pa.bool_()) for f in _FLAGS), ("body", pa.int64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *((f, pa.bool_()) for f in _FLAGS), ("body", pa.int64()), ("exact", pa.int64())])
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, sources, slugs, texts = b.column(0), b.column(1), b.column(2), b.column(3)
         seen = [inspect(texts[i].as_py(), slugs[i].as_py()) for i in range(len(ids))]
-        bodies = [None if s["body"] is None else xxhash.xxh64_intdigest(s["body"]) - 2**63 for s in seen]
-        yield pa.RecordBatch.from_arrays([ids, sources, *(pa.array([s[f] for s in seen], pa.bool_()) for f in _FLAGS), pa.array(bodies, pa.int64())], schema=_OUT)
+        bodies = [pa.array([None if s[k] is None else xxhash.xxh64_intdigest(s[k]) - 2**63 for s in seen], pa.int64()) for k in ("body", "exact")]
+        yield pa.RecordBatch.from_arrays([ids, sources, *(pa.array([s[f] for s in seen], pa.bool_()) for f in _FLAGS), *bodies], schema=_OUT)
 
 
 def residue(docs: DataFrame, slug_col: str = "paper_key") -> DataFrame:
@@ -184,17 +192,18 @@ def residue(docs: DataFrame, slug_col: str = "paper_key") -> DataFrame:
 
     Null, empty, cut-off and merely short texts aren't found; rows without
     doc_id are left out; a null source counts as a host of its own, a null
-    slug as no evidence; repeated rows give one row per doc_id and reason's
+    slug, as a missing title, as no shared term; repeated rows give one row per doc_id and reason's
     first in the order given; other columns are ignored.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(slug_col).alias("slug"), "text")
-    flags = "doc_id long, source string, " + ", ".join(f"{f} boolean" for f in _FLAGS) + ", body long"
+    flags = "doc_id long, source string, " + ", ".join(f"{f} boolean" for f in _FLAGS) + ", body long, exact long"
     seen = rows.mapInArrow(_run, flags).where("field OR filler OR body IS NOT NULL")
     seen = runtime.Workspace(docs.sparkSession, "residue").cut(seen, "seen")
-    repeated = seen.where("body IS NOT NULL").groupBy("body").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("hosts"))
-    repeated = repeated.where((F.col("n") >= REPEATED) & (F.col("hosts") >= HOSTS)).select("body", F.lit(True).alias("again"))
-    seen = runtime.lookup(seen, repeated, ["body"], how="left")
-    error = F.col("strong") | (F.col("weak") & F.col("apart") & F.coalesce("again", F.lit(False)))
+    for key, name in (("body", "again"), ("exact", "same")):
+        repeated = seen.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("hosts"))
+        repeated = repeated.where((F.col("n") >= REPEATED) & (F.col("hosts") >= HOSTS)).select(key, F.lit(True).alias(name))
+        seen = runtime.lookup(seen, repeated, [key], how="left").withColumn(name, F.coalesce(name, F.lit(False)))
+    error = F.col("strong") | (F.col("apart") & (F.col("same") | (F.col("weak") & F.col("again"))))
     reason = F.when(F.col("field"), "field").when(F.col("filler"), "filler").when(error, "error")
     found = seen.select("doc_id", "source", reason.alias("reason")).where("reason IS NOT NULL")
     return found.groupBy("doc_id").agg(F.min("source").alias("source"), F.max_by("reason", F.when(F.col("reason") == "field", 2).when(F.col("reason") == "filler", 1).otherwise(0)).alias("reason"))

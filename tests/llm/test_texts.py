@@ -123,3 +123,14 @@ def test_residue_on_a_table(spark):
     assert got == {**{i: "error" for i in range(6)}, 11: "error", 14: "filler", 15: "field"}
     assert {r.doc_id for r in without_residue(df).collect()} == {None, 10, 12, 13, 16}
     assert residue(df.limit(0)).count() == 0
+
+
+def test_untitled_responses_are_found_by_their_repetition(spark):
+    html = "<html><head><title>Plates {0}</title></head><body><p>The viewer could not retry.</p></body></html>"
+    said = ["The quota of this mirror is used up. Ticket 48{0}17.", "Please retry this in {0} minutes.", html, "\\documentclass{{a}}\\title{{T}}\\begin{{document}}\\pagestyle{{empty}}\n\\input main\n\\end{{document}}", "\\documentclass{{a}}\\begin{{document}}\nWe show", "This note corrects table {0}: the rotor is {0}.5 m."]
+    rows = [(10 * k + i, t.format(i), "ab"[i % 2], f"pre-00-{i:06d}", 1, "") for k, t in enumerate(said) for i in range(6)]
+    rows += [(100 + i, said[0].format(i).replace("mirror", "host"), "a", None, 1, "") for i in range(6)]  # a single host
+    rows += [(110 + i, said[0].format(i).replace("mirror", "paper"), "ab"[i % 2], "paper-quota", 1, "") for i in range(6)]
+    rows += [(120 + i, html.format("viewer"), "ab"[i % 2], None, 1, "") for i in range(6)]
+    got = {r.doc_id for r in residue(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {10 * k + i for k in range(3) for i in range(6)}
