@@ -36,3 +36,14 @@ def test_readings_that_are_not_ascii_are_scored(spark, tmp_path):
     raw, corrected = brute(pairs), brute([(t, f or "") for t, f in final])
     assert (gain.raw_error_rate, gain.raw_accuracy, gain.error_rate, gain.accuracy) == (raw[5], raw[6], corrected[5], corrected[6])
     assert q.outcome_report(spark, d).first().total == len(pairs)
+
+
+def test_plate_log_keeps_umlauts_and_separators(spark, tmp_path):
+    d = str(tmp_path)
+    tracks = [("WÜ-AB 12", "WÜAB12", "WÜ-AB 12"), ("H-HA 123", "HHA123", "H-HA 123"), ("HHA124", "HHA124", "HH-A 124"), ("MH 12 AB 1234", "MH12AB1234", "MH 12 AB 1234")]
+    rows = [("cam", i, f, t, 0.9, 10**9 * i) for i, (t, *_) in enumerate(tracks) for f in range(3)]
+    df = spark.createDataFrame(rows, "source string, track_id int, frame int, plate string, confidence double, s long")
+    df.selectExpr("source", "track_id", "frame", "plate", "confidence", "CASE WHEN frame = 0 OR track_id > 0 THEN timestamp_seconds(s) END AS ts").write.parquet(f"{d}/plate_events.parquet")
+    got = {r.track_id: (r.plate, r.display) for r in q.plate_log(spark, d).collect()}
+    assert got == {i: x[1:] for i, x in enumerate(tracks)}
+    assert tuple(q.plate_log_stats(spark, d).first()) == (4, 0, 0, 0, 4)
