@@ -217,6 +217,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.leaked_items(table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
+@query("p8_steps")
+def p8_steps(spark: SparkSession, d: str) -> DataFrame:
+    """How many windows, or places of them, each step of the search leaves."""
+    return leak_search.search(table(spark, d, "documents"), table(spark, d, "test_items")).steps
+
+
 @query("p8_report")
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items and leaking documents of each suite."""

@@ -1,9 +1,10 @@
 import random
 
-import pytest
+import numpy as np
 
+from sightline.llm import bitmap
 from sightline.llm.cross_split import coverage, cross_split_ends, cross_split_pairs
-from sightline.llm.leak_search import WINDOW, leaked_items, words
+from sightline.llm.leak_search import WINDOW, leaked_items, search, words
 
 HASHES = "image_id string, dhash long, contrast int, region string, split string, source_tag string, bits int, train string"
 PAIRS = "left_id string, right_id string, distance int, left_split string, right_split string, dhash int"
@@ -101,8 +102,29 @@ def test_words_as_compared():
     assert words("") == []
 
 
-@pytest.mark.parametrize("block", [10, 10**6])
-def test_leaks_equal_brute_force(spark, block):
+def test_filter_finds_every_code(spark):
+    r = np.random.default_rng(3)
+    codes = r.integers(-(2**63), 2**63, 5000)
+    rows = spark.createDataFrame([(int(c),) for c in codes] + [(int(codes[0]),), (None,)], "code long")
+    bits, words_ = bitmap.build(rows, "code")
+    assert len(bitmap.members(bits, words_, codes.view(np.uint64))) == 5000
+    others = r.integers(0, 2**63, 20000).astype(np.uint64)
+    assert len(bitmap.members(bits, words_, others)) < 200
+    bits, words_ = bitmap.build(rows.limit(0), "code")
+    assert not words_.any() and bits == bitmap.LEAST
+
+
+def test_search_counts_its_steps(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, " ".join(text.split()[:12]) + " x"), (3, " ".join(text.split()[3:11]))], "doc_id long, text string")
+    found = search(docs, spark.createDataFrame([(1, text), (2, text), (3, "a " * 12)], "item_id long, text string"))
+    assert {tuple(x) for x in found.pairs.collect()} == {(d, i) for d in (1, 2) for i in (1, 2)}
+    # 29 windows of the text and one more; the prefixes of all 29 are met in document 1, at their only place, that of the first also in 2.
+    assert [x.windows for x in found.steps.orderBy("step").collect()][:3] == [30, 29, 29]
+    assert found.steps.where("step LIKE '6%'").first().windows == 30
+
+
+def test_leaks_equal_brute_force(spark):
     r = random.Random(1)
     vocab = [f"w{i}" for i in range(400)]
     items = [(i, " ".join(r.choices(vocab, k=r.choice([5, 12, 13, 60])))) for i in range(30)]
@@ -118,7 +140,7 @@ def test_leaks_equal_brute_force(spark, block):
             ws[at:at] = w[s : s + n]
         docs.append((d, r.choice([" ", "\n", ", "]).join(ws)))
     docs += [(900, None), (901, ""), (902, "a " * 12), (903, "a " * 11), (904, items[3][1] * 200), (None, items[3][1])]
-    got = [tuple(x) for x in leaked_items(spark.createDataFrame([(*x, "p", 1) for x in docs], "doc_id long, text string, words string, item_id int"), spark.createDataFrame([(*x, "q") for x in items], "item_id long, text string, doc_id string"), block).collect()]
+    got = [tuple(x) for x in leaked_items(spark.createDataFrame([(*x, "p", 1) for x in docs], "doc_id long, text string, words string, item_id int"), spark.createDataFrame([(*x, "q") for x in items], "item_id long, text string, doc_id string")).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_leaks(docs, items)
     empty = spark.createDataFrame([], "doc_id long, text string")
