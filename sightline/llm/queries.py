@@ -267,6 +267,12 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).groupBy("source", "reason").agg(F.count("*").alias("documents"))
 
 
+@query("p10_evidence")
+def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Rows found by each reason and set of evidence."""
+    return residue.evidence(table(spark, d, "documents")).groupBy("reason", "bare", "apart", "hosts", "same", "phrase").agg(F.count("*").alias("documents"))
+
+
 @query("p10_kept")
 def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     """The documents that stay."""

@@ -2,11 +2,15 @@
 
 Every text is taken apart once: what is commented out, listed as code or
 quoted is dropped; title, authors, abstract, sections and the body that is
-left are looked at where they stand.  Short bodies without sections are
-compared across the whole corpus: a response that several hosts (sources)
-repeat, and that shares no term with the title or the address slug of its
-record, needs less evidence in its own words than a single one, and none if
-it is repeated word for word.  A record without title and slug shares no term.
+left are looked at where they stand.
+
+Responses are told by what they speak of.  The terms of all titles and address
+slugs are the corpus's subjects (without the frame words that many titles
+have), and a body with hardly a subject among its terms is thin, however long it is
+and whatever sections it has.  A thin body that shares no term with its own
+title and slug is an error page or notice if the rest of the evidence says so:
+hosts (sources) that use the same terms in thin bodies, or repeat the same
+body, or phrases of its own.
 """
 
 from __future__ import annotations
@@ -15,17 +19,26 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline import runtime
+from sightline.llm import bitmap
 
-#: Words up to which a body without sections is low in information.
-LOW_WORDS = 60
+#: A body with fewer subjects than this share of its terms is thin.
+THIN = 1 / 8
+#: Share of titles from which on a term frames titles instead of naming a subject, and the number of titles that it is at least.
+FRAME, FRAME_TITLES = 0.05, 3
 #: Records and sources that repeat a response before it counts as duplicated.
 REPEATED, HOSTS = 5, 2
+#: Thin records and sources that use a term before it counts as a term of responses, how many times as often thin bodies
+#: must have it as others, and the share of a body's terms that have to be such.
+TERM_RECORDS, TERM_HOSTS, TERM_TIMES, TERM_SHARE = 3, 2, 5, 0.5
+#: Where there are no titles to compare with: words without sections for which one phrase speaks.
+PHRASE_WORDS = 60
 
 _LINE_END = re.compile(r"\r\n?")
 _OFF = re.compile(r"\\iffalse\b.*?\\fi\b|\\begin\{(verbatim\*?|lstlisting|minted|comment|quote|quotation)\}.*?\\end\{\1\}", re.S)
@@ -87,13 +100,43 @@ _HTML_TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.I | re.S)
 _SETUP = re.compile(r"\\(?:input|include)\s+[^\s\\{}]+|\\[a-zA-Z]+\*?(?:\[[^\]]*\]|\{[^{}\s]*\})*|[{}]")
 _COMMAND = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?|[{}]")
 _WORD = re.compile(r"[^\W\d_]+")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]{3,}")
+_LONG_TERM = re.compile(r"[^\W\d_]{4,}")
+#: Titles in the JVM's regular expressions: a group with groups inside.
+TITLE = r"\\title\s*(?:\[[^\]]*\])?\s*\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
+
+
+def stem(term: str) -> str:
+    """A term without the ending of a plural."""
+    if term.endswith("ies") and len(term) > 5:
+        return term[:-3] + "y"
+    if term.endswith("es") and len(term) > 5:
+        return term[:-2]
+    return term[:-1] if term.endswith("s") and len(term) > 4 else term
+
+
+def code(term: str) -> int:
+    return xxhash.xxh64_intdigest(stem(term)) - 2**63
+
+
+class Subjects(dict):
+    """Whether a term is a subject, by a membership filter; what was asked is remembered up to a bound."""
+
+    def __init__(self, bits: int, words):
+        super().__init__()
+        self.bits, self.words = bits, words
+
+    def __missing__(self, term: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        at = np.array([code(term)], np.int64).view(np.uint64)
+        known = self[term] = bool(len(bitmap.members(self.bits, self.words, at)))
+        return known
 
 
 def is_field(value: str) -> bool:
     """Whether a field's whole value is an unfilled template field."""
-    value = value.strip()
-    return 0 < len(value) <= 120 and _FIELD.fullmatch(value) is not None
+    return _FIELD.fullmatch(value.strip()) is not None
 
 
 def is_filler(paragraph: str) -> bool:
@@ -119,9 +162,17 @@ def is_filler(paragraph: str) -> bool:
     return top >= 3 and top > 0.6 * len(sentences)
 
 
-def inspect(text: str | None, slug: str | None = None) -> dict:
-    """What a text shows: ``field``, ``filler``, ``strong``, ``weak``, ``apart`` (no term shared with title and slug), and of a body low in information ``body``, the bare form, and ``exact``, the same with short numbers as they are (null if the text is cut off)."""
-    out = {"field": False, "filler": False, "strong": False, "weak": False, "apart": False, "body": None, "exact": None}
+def inspect(text: str | None, slug: str | None = None, subjects: Subjects | None = None) -> dict:
+    """What a text shows.
+
+    ``field``, ``filler``; and of a thin body ``bare`` (no
+    subject among its terms), ``strong`` and ``weak`` (phrases and words of
+    responses), ``apart`` (no term shared with title and slug), ``body``, its
+    bare form, and ``exact``, the same with short numbers as they are (null if
+    the text is cut off).  ``terms`` are those of any body.  Without subjects,
+    bodies without sections are taken as thin.
+    """
+    out = {"field": False, "filler": False, "strong": False, "weak": False, "apart": False, "bare": False, "terms": None, "body": None, "exact": None}
     if not text or not text.strip():
         return out
     text = _LINE_END.sub("\n", text)
@@ -151,40 +202,151 @@ def inspect(text: str | None, slug: str | None = None) -> dict:
     else:
         body = text
     body = _ABSTRACT.sub("\n\n", body)
-    parts = _SECTION.split(_TAIL.split(body, 1)[0])
+    main = _TAIL.split(body, 1)[0]
+    parts = _SECTION.split(main)
     for part in parts:
         for p in _PARAGRAPH.split(part):
             p = p.replace("\\maketitle", "").strip()
-            if p and not out["field"] and len(p) <= 120 and is_field(p):
+            if p and not out["field"] and is_field(p):
                 out["field"] = True
             if p and not out["filler"] and is_filler(p):
                 out["filler"] = True
-    if len(parts) == 1:
-        bare = _LAYOUT.sub(" ", parts[0])
-        words = _WORD.findall(bare)
-        if 0 < len(words) <= LOW_WORDS:
-            out["strong"], out["weak"] = bool(_STRONG.search(bare)), bool(_WEAK.search(bare))
-            own = _LAYOUT.sub(" ", _HTML_TITLE.sub(" ", parts[0]))
-            terms = set(_TERM.findall(own.lower()))
-            about = set(_TERM.findall(" ".join([*heads.get("title", ()), *_HTML_TITLE.findall(parts[0]), slug or ""]).lower()))
-            out["apart"] = not terms & about
-            out["body"] = " ".join(re.sub(r"\b[0-9a-f]{6,}\b|\d+", "#", (own if _WORD.search(own) else bare).lower()).split())
-            said = _SETUP.sub(" ", own)
-            if _WORD.search(said) and (not tex or "\\end{document}" in body):
-                out["exact"] = " ".join(re.sub(r"\b[0-9a-f]{6,}\b|\d{4,}", "#", said.lower()).split())
+    if subjects is None:
+        if len(parts) > 1:
+            return out
+    else:  # markup only adds terms that are no subjects: what has subjects enough with it has enough without
+        rough = set(_TERM.findall(main.lower()))
+        if sum(map(subjects.__getitem__, rough)) >= THIN * len(rough) > 0:
+            out["terms"] = rough
+            return out
+    main = "\n\n".join(parts)
+    bare = _LAYOUT.sub(" ", main)
+    own = set(_TERM.findall(bare.lower()))
+    if not _WORD.search(bare):
+        return out
+    out["terms"] = own
+    hits = 0 if subjects is None else sum(map(subjects.__getitem__, own))
+    if hits and hits >= THIN * len(own):
+        return out
+    phrases = len(_STRONG.findall(bare)) if subjects is None else 0
+    out["strong"] = phrases * PHRASE_WORDS >= len(_WORD.findall(bare)) if subjects is None else bool(_STRONG.search(bare))
+    out["weak"], out["bare"] = bool(_WEAK.search(bare)), not hits
+    said = _LAYOUT.sub(" ", _HTML_TITLE.sub(" ", main))
+    about = set(_LONG_TERM.findall(" ".join([*heads.get("title", ()), *_HTML_TITLE.findall(main), slug or ""]).lower()))
+    out["apart"] = not about.intersection(_LONG_TERM.findall(said.lower()))
+    out["body"] = " ".join(re.sub(r"\b[0-9a-f]{6,}\b|\d+", "#", (said if _WORD.search(said) else bare).lower()).split())
+    plain = _SETUP.sub(" ", said)
+    if _WORD.search(plain) and (not tex or "\\end{document}" in body):
+        out["exact"] = " ".join(re.sub(r"\b[0-9a-f]{6,}\b|\d{4,}", "#", plain.lower()).split())
     return out
 
 
-_FLAGS = ("field", "filler", "strong", "weak", "apart")
-_OUT = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *((f, pa.bool_()) for f in _FLAGS), ("body", pa.int64()), ("exact", pa.int64())])
+def _title_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A pass over (titles, slug): each record's terms once, and 0 for a record that has any."""
+    for b in batches:
+        out: list[int] = []
+        for titles, slug in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            named = " ".join([*(_COMMAND.sub(" ", t) for t in titles or () if t and not is_field(t)), slug or ""])
+            own = {code(t) for t in _TERM.findall(named.lower())}
+            out += own
+            out += [0] if own else []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["code"])
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, sources, slugs, texts = b.column(0), b.column(1), b.column(2), b.column(3)
-        seen = [inspect(texts[i].as_py(), slugs[i].as_py()) for i in range(len(ids))]
-        bodies = [pa.array([None if s[k] is None else xxhash.xxh64_intdigest(s[k]) - 2**63 for s in seen], pa.int64()) for k in ("body", "exact")]
-        yield pa.RecordBatch.from_arrays([ids, sources, *(pa.array([s[f] for s in seen], pa.bool_()) for f in _FLAGS), *bodies], schema=_OUT)
+def subjects_of(docs: DataFrame, slug_col: str = "paper_key") -> tuple[int, np.ndarray] | None:
+    """The filter of the corpus's subjects: terms of titles and slugs, without those that frame titles; None if there are none."""
+    titles = docs.select(F.regexp_extract_all("text", F.lit(TITLE), 1).alias("titles"), F.col(slug_col).alias("slug")).where("size(titles) > 0 OR slug IS NOT NULL")
+    named = titles.mapInArrow(_title_terms, "code long").groupBy("code").agg(F.count("*").alias("n"))
+    named = runtime.Workspace(docs.sparkSession, "subjects").cut(named, "named")
+    titled = named.where("code = 0").first()
+    if titled is None:
+        return None
+    subjects = named.where((F.col("code") != 0) & (F.col("n") <= max(FRAME_TITLES, FRAME * titled.n)))
+    return None if subjects.isEmpty() else bitmap.build(subjects, "code")
+
+
+_FLAGS = ("field", "filler", "strong", "weak", "apart", "bare")
+_CODES = ("body", "exact")
+_SEEN = "doc_id long, source string, " + ", ".join(f"{f} boolean" for f in _FLAGS) + ", " + ", ".join(f"{c} long" for c in _CODES) + ", terms array<bigint>, docs long"
+_NAMES = ["doc_id", "source", *_FLAGS, *_CODES, "terms", "docs"]
+_TYPES = [pa.int64(), pa.string(), *[pa.bool_()] * len(_FLAGS), *[pa.int64()] * len(_CODES), pa.list_(pa.int64()), pa.int64()]
+
+
+def _inspector(shared, phrases: bool):
+    """A pass over (doc_id, source, slug, text): the documents to look at, and, in rows without doc_id, in how many others each term lies (term 0: how many there are)."""
+
+    def counted(counts: Counter) -> pa.RecordBatch:
+        blank = [None] * (len(_NAMES) - 2)
+        rows = [(*blank, [code(t) if t else 0], n) for t, n in counts.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Subjects(*shared.value) if shared is not None else None
+        counts: Counter = Counter()
+        for b in batches:
+            rows: list[tuple] = []
+            for i, source, slug, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                s = inspect(text.as_py(), slug, known)
+                if s["body"] is None and s["terms"]:
+                    counts.update(s["terms"])
+                    counts[""] += 1
+                if s["field"] or s["filler"] or s["body"] is not None:
+                    said = [s[f] and (phrases or f not in ("strong", "weak")) for f in _FLAGS]
+                    terms = sorted({code(t) for t in s["terms"] or ()}) if s["body"] is not None else []
+                    rows.append((i, source, *said, *(None if s[k] is None else xxhash.xxh64_intdigest(s[k]) - 2**63 for k in _CODES), terms, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+            if len(counts) > 200_000:
+                yield counted(counts)
+                counts.clear()
+        if counts:
+            yield counted(counts)
+
+    return run
+
+
+def evidence(docs: DataFrame, slug_col: str = "paper_key", phrases: bool = True) -> DataFrame:
+    """Every document found, and why: ``doc_id``, ``source``, ``reason``, and for each kind of evidence whether it is there.
+
+    ``hosts``: half of the terms at least are terms of responses, which thin
+    bodies of several hosts use, and far more often than other bodies do; ``same``: several hosts repeat the body word
+    for word; ``phrase``: it says what error pages and notices say, or words of
+    theirs in a body that several hosts repeat but for its numbers.  A thin
+    body without any subject needs one of them, one with a few subjects a
+    phrase of its own or two of them.
+    ``hosts`` needs subjects to compare with.  ``phrases``: whether the list
+    of phrases is used at all.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(slug_col).alias("slug"), "text")
+    space = runtime.Workspace(docs.sparkSession, "residue")
+    known = subjects_of(rows, "slug")
+    shared = docs.sparkSession.sparkContext.broadcast(known) if known else None
+    told = space.cut(rows.mapInArrow(_inspector(shared, phrases), _SEEN).withColumn("row", F.monotonically_increasing_id()), "told")
+    seen, others = told.where("doc_id IS NOT NULL").drop("docs"), told.where("doc_id IS NULL").select(F.col("terms")[0].alias("code"), "docs")
+    host = F.coalesce("source", F.lit(""))
+    for key, name in (("body", "again"), ("exact", "same")):
+        repeated = seen.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(host).alias("hosts"))
+        repeated = repeated.where((F.col("n") >= REPEATED) & (F.col("hosts") >= HOSTS)).select(key, F.lit(True).alias(name))
+        seen = space.cut(runtime.lookup(seen, repeated, [key], how="left").withColumn(name, F.coalesce(name, F.lit(False))), name)
+    if known:
+        thin = seen.where("body IS NOT NULL AND NOT field AND NOT filler")
+        used = thin.select("row", "source", F.explode("terms").alias("code"))
+        spread = used.groupBy("code", host.alias("host")).agg(F.count("*").alias("n")).groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"))
+        others = others.groupBy("code").agg(F.sum("docs").alias("docs"))
+        whole = others.where("code = 0").first()
+        usual = F.coalesce("docs", F.lit(0)) / F.lit(float(whole.docs if whole else 1))
+        spread = spread.where((F.col("n") >= TERM_RECORDS) & (F.col("hosts") >= TERM_HOSTS)).join(others, "code", "left")
+        spread = space.cut(spread.where(F.col("n") / F.lit(float(max(1, thin.count()))) >= TERM_TIMES * usual).select("code"), "spread")
+        shown = runtime.lookup(used.select("row", "code"), spread, ["code"]).groupBy("row").agg(F.count("*").alias("spread"))
+        seen = seen.join(shown, "row", "left").withColumn("hosts", F.coalesce("spread", F.lit(0)) >= F.greatest(F.size("terms") * TERM_SHARE, F.lit(1)))
+    else:
+        seen = seen.withColumn("hosts", F.lit(False))
+    seen = seen.withColumn("phrase", F.col("strong") | (F.col("apart") & F.col("weak") & F.col("again")))
+    kinds = F.col("hosts").cast("int") + F.col("same").cast("int") + F.col("phrase").cast("int")
+    # Without any subject, phrases also speak where the page's title says the same.
+    told = F.when(F.col("bare"), F.col("strong") | (F.col("apart") & (kinds >= 1))).otherwise(F.col("apart") & (F.col("strong") | (kinds >= 2)))
+    reason = F.when(F.col("field"), "field").when(F.col("filler"), "filler").when(F.col("body").isNotNull() & told, "error")
+    return seen.withColumn("reason", reason).where("reason IS NOT NULL").select("doc_id", "source", "reason", "bare", "apart", "hosts", "same", "phrase")
 
 
 def residue(docs: DataFrame, slug_col: str = "paper_key") -> DataFrame:
@@ -192,20 +354,11 @@ def residue(docs: DataFrame, slug_col: str = "paper_key") -> DataFrame:
 
     Null, empty, cut-off and merely short texts aren't found; rows without
     doc_id are left out; a null source counts as a host of its own, a null
-    slug, as a missing title, as no shared term; repeated rows give one row per doc_id and reason's
-    first in the order given; other columns are ignored.
+    slug, as a missing title, as no shared term; repeated rows give one row per
+    doc_id and reason's first in the order given; other columns are ignored;
+    an empty table gives no rows.
     """
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(slug_col).alias("slug"), "text")
-    flags = "doc_id long, source string, " + ", ".join(f"{f} boolean" for f in _FLAGS) + ", body long, exact long"
-    seen = rows.mapInArrow(_run, flags).where("field OR filler OR body IS NOT NULL")
-    seen = runtime.Workspace(docs.sparkSession, "residue").cut(seen, "seen")
-    for key, name in (("body", "again"), ("exact", "same")):
-        repeated = seen.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("hosts"))
-        repeated = repeated.where((F.col("n") >= REPEATED) & (F.col("hosts") >= HOSTS)).select(key, F.lit(True).alias(name))
-        seen = runtime.lookup(seen, repeated, [key], how="left").withColumn(name, F.coalesce(name, F.lit(False)))
-    error = F.col("strong") | (F.col("apart") & (F.col("same") | (F.col("weak") & F.col("again"))))
-    reason = F.when(F.col("field"), "field").when(F.col("filler"), "filler").when(error, "error")
-    found = seen.select("doc_id", "source", reason.alias("reason")).where("reason IS NOT NULL")
+    found = evidence(docs, slug_col)
     return found.groupBy("doc_id").agg(F.min("source").alias("source"), F.max_by("reason", F.when(F.col("reason") == "field", 2).when(F.col("reason") == "filler", 1).otherwise(0)).alias("reason"))
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sightline.llm.residue import inspect, is_field, is_filler, residue, without_residue
+from sightline.llm.residue import evidence, inspect, is_field, is_filler, residue, without_residue
 from sightline.llm.source_mix import VOCABULARY, encoder, mix, permuted
 
 DOCS = "doc_id long, text string, source string, paper_key string, body long, block string"
@@ -134,3 +134,22 @@ def test_untitled_responses_are_found_by_their_repetition(spark):
     rows += [(120 + i, html.format("viewer"), "ab"[i % 2], None, 1, "") for i in range(6)]
     got = {r.doc_id for r in residue(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {10 * k + i for k in range(3) for i in range(6)}
+
+
+def test_terms_and_hosts_decide_without_phrases(spark):
+    """Titles tell what the corpus is about; pages that speak of nothing of it, alike on several hosts, are found without a phrase, whatever their length and form."""
+    subject = [a + b for a in ("rotor", "beam", "plate", "lattic", "basin", "grain") for b in ("an", "el", "ic", "or", "uk", "ia", "en", "ux", "ym", "ok")]
+    paper = "\\documentclass{{a}}\\title{{On the {0} of {1}s}}\\begin{{document}}\\section{{One}}\nThe {0} of this paper couples a {1} with each {2}.\n\\end{{document}}"
+    rows = [(i, paper.format(subject[i % 60], subject[(7 * i + 1) % 60], subject[(i + 4) % 60]), "abc"[i % 3], f"pre-00-{i:06d}", 1, "") for i in range(80)]
+    gone = "The shelf of this mirror stays shut until {0}. Come back then, or write to the keeper."
+    rows += [(100 + i, gone.format(f"{i + 1} May"), "abc"[i % 3], None, 1, "") for i in range(9)]
+    nav = "<html><body><ul>" + "".join(f"<li>Shelf {w} keeper mirror</li>" for w in ("one", "two", "ten", "six")) * 30 + "</ul><p>" + gone.format("June") + "</p></body></html>"
+    rows += [(200, nav, "b", None, 1, "")]  # 500 words
+    rows += [(201, "\\documentclass{a}\\title{On the rotor of beams}\\begin{document}\\section{Shelf}\n" + gone.format("July") + "\\end{document}", "a", None, 1, "")]  # in a section
+    rows += [(300 + i, f"Erratum. In the {subject[i % 60]} of the paper, read {i} for {i + 1}.", "abc"[i % 3], None, 1, "") for i in range(9)]  # notes that speak of something
+    rows += [(400, "Le tiroir reste vide.", "a", None, 1, ""), (401, "", "a", None, 1, ""), (402, None, None, None, 1, "")]
+    df = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r for r in evidence(df, phrases=False).collect()}
+    assert set(found) == {*range(100, 109), 200, 201}
+    assert all(r.reason == "error" and r.bare and r.hosts and not r.phrase for r in found.values())
+    assert {r.doc_id for r in residue(df).collect()} == set(found)
