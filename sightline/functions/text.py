@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 # Outcomes of one plate, in the order in which stages can lose it.
 CORRECT, MISSED, OCR_ERROR, REJECTED, CORRUPTED = "correct", "detection_miss", "ocr_error", "grammar_rejected", "grammar_corrupted"
 
+# What stays of a reading, the strip that is no part of a plate, and how a district is set off.
+NO_PLATE, STRIP, HINT = "[^A-Z0-9ÄÖÜ]", r"^IND(?=[A-Z]{2}\d)", r"^\s*([A-ZÄÖÜ]{1,3})\s*[-–—.\s]\s*(?=[A-Z])"
+
 
 def normalize_plate(raw: Column) -> Column:
     """Upper-case letters (with AE, OE, UE umlauts) and digits of a reading, without a leading IND strip; null stays null."""
-    kept = F.regexp_replace(F.upper(raw), "[^A-Z0-9ÄÖÜ]", "")
-    return F.regexp_replace(kept, r"^IND(?=[A-Z]{2}\d)", "")
+    return F.regexp_replace(F.regexp_replace(F.upper(raw), NO_PLATE, ""), STRIP, "")
 
 
 def district_hint(raw: Column) -> Column:
     """The one to three letters that a separator sets off at the start of a reading; null if none does."""
-    hint = F.regexp_extract(F.upper(raw), r"^\s*([A-ZÄÖÜ]{1,3})\s*[-–—.\s]\s*(?=[A-Z])", 1)
+    hint = F.regexp_extract(F.upper(raw), HINT, 1)
     return F.nullif(hint, F.lit(""))
 
 

@@ -11,22 +11,20 @@ from sightline.operators.components import components, named_by_smallest
 # Bits that may differ, the same for pictures of different known regions, and the brightness range of a blank picture.
 MAX_BITS, MAX_BITS_ACROSS, BLANK_RANGE = 5, 2, 4
 GROUP_PREFIX = "dup:"
-#: First bit and length of the blocks of a hash.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
+#: First bit and length of the blocks of a hash: three, of which the second side turns a bit, or two halves, of which both do.
+THIRDS, HALVES = ((0, 21), (21, 21), (42, 22)), ((0, 32), (32, 32))
+#: Hashes on the smaller side from which on chance hits on thirds cost more than the keys of halves.
+HALVES_FROM = 2_000_000
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def block_keys(hashes: DataFrame, turned: bool) -> DataFrame:
-    """``hashes`` (with dhash) a row per ``block`` and ``prefix``; ``turned`` adds every prefix with one bit turned.
-
-    Of two hashes within five bits, one of three blocks differs in one bit at
-    most, so keys turned on one side meet keys as they are on the other.
-    """
+def block_keys(hashes: DataFrame, blocks: tuple[tuple[int, int], ...], turned: bool) -> DataFrame:
+    """``hashes`` (with dhash), a row per ``block`` and ``prefix``; ``turned`` adds every prefix with one bit turned."""
     entries = []
-    for k, (at, size) in enumerate(BLOCKS):
+    for k, (at, size) in enumerate(blocks):
         prefix = F.shiftrightunsigned(F.col("dhash"), at).bitwiseAND((1 << size) - 1)
         for flip in [0] + ([1 << i for i in range(size)] if turned else []):
             entries.append(F.struct(F.lit(k).alias("block"), prefix.bitwiseXOR(F.lit(flip).cast("long")).alias("prefix")))
@@ -34,11 +32,21 @@ def block_keys(hashes: DataFrame, turned: bool) -> DataFrame:
 
 
 def near_hashes(left: DataFrame, right: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``left_hash``, ``right_hash``, ``bits`` of all pairs of hashes from two tables (dhash, each once) that differ in 1..``max_bits`` bits."""
+    """``left_hash``, ``right_hash``, ``bits`` of all pairs of hashes from two tables (dhash, each once) that differ in 1..``max_bits`` bits.
+
+    Of two hashes within five bits, one of three blocks differs in one bit at
+    most, so keys turned on one side meet keys as they are on the other: 70
+    keys for both sides of a hash, and 2.6e-5 chance hits for each pair of
+    hashes.  One of two halves differs in two bits at most, so halves with one
+    bit turned on both sides meet as well: 132 keys, and 5e-7 chance hits.
+    Both find all pairs; the number of hashes decides which is cheaper.
+    """
     if not 0 <= max_bits <= 5:
-        raise ValueError("three blocks with one turned bit find all pairs of up to five bits")
-    a = block_keys(left.select("dhash"), False).withColumnRenamed("dhash", "left_hash")
-    b = block_keys(right.select("dhash"), True).withColumnRenamed("dhash", "right_hash")
+        raise ValueError("these blocks find all pairs of up to five bits")
+    many = min(left.limit(HALVES_FROM).count(), right.limit(HALVES_FROM).count()) >= HALVES_FROM
+    blocks = HALVES if many else THIRDS
+    a = block_keys(left.select("dhash"), blocks, many).withColumnRenamed("dhash", "left_hash")
+    b = block_keys(right.select("dhash"), blocks, True).withColumnRenamed("dhash", "right_hash")
     bits = hamming(F.col("left_hash"), F.col("right_hash"))
     # The planner sizes the keys by the hashes they are made from, far too small for a choice to broadcast them.
     return a.join(b.hint("merge"), ["block", "prefix"]).withColumn("bits", bits).where(F.col("bits").between(1, max_bits)).select("left_hash", "right_hash", "bits").distinct()
@@ -76,6 +84,31 @@ def duplicate_pairs(hashes: DataFrame, max_bits: int = MAX_BITS, across: int = M
     return both.groupBy(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).agg(F.min("bits").alias("distance"))
 
 
+def duplicate_classes(hashes: DataFrame, max_bits: int = MAX_BITS, across: int = MAX_BITS_ACROSS) -> DataFrame:
+    """``image_id``, ``class_id`` and ``links`` of every picture: the pictures that look the same to the hash, and how many others are near it.
+
+    A class is one (hash, blank, region), named by its smallest image.
+    ``links`` counts pictures of the own class and of near ones, as
+    ``duplicate_pairs`` pairs them, without expanding them into pairs: at each
+    class, counts of classes are added.  A picture of several rows has a row,
+    and links, for each of its classes.
+    """
+    space = runtime.Workspace(hashes.sparkSession, "classes")
+    rows = space.cut(_clean(hashes), "rows")
+    cls = F.concat_ws("|", F.col("dhash").cast("string"), F.col("blank").cast("string"), F.coalesce("region", F.lit("-")))
+    rows = rows.withColumn("cls", cls)
+    classes = space.cut(rows.groupBy("cls", "dhash", "blank", "region").agg(F.count("*").alias("n"), F.min("image_id").alias("class_id")), "classes")
+    same = classes.groupBy("dhash", "blank").agg(F.sum("n").alias("same"))
+    open_ = classes.where("NOT blank")
+    near = near_hashes(open_.select("dhash").distinct(), open_.select("dhash").distinct(), max_bits).alias("p")
+    a, b = open_.alias("a"), open_.alias("b")
+    close = near.join(a, F.col("p.left_hash") == F.col("a.dhash")).join(b, F.col("p.right_hash") == F.col("b.dhash")).where(_close(max_bits, across))
+    close = close.groupBy(F.col("a.cls").alias("cls")).agg(F.sum("b.n").alias("near"))
+    links = F.col("same") - 1 + F.coalesce("near", F.lit(0))
+    counted = classes.join(same, ["dhash", "blank"]).join(close, "cls", "left").select("cls", "class_id", links.alias("links"))
+    return runtime.lookup(rows.select("image_id", "cls"), counted, ["cls"]).select("image_id", "class_id", "links")
+
+
 def duplicate_clusters(hashes: DataFrame, max_bits: int = MAX_BITS, across: int = MAX_BITS_ACROSS) -> DataFrame:
     """``image_id`` and ``cluster_id`` (prefix and smallest image_id) of every picture with a near duplicate.
 

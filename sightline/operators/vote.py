@@ -32,9 +32,9 @@ def vote(reads: DataFrame, keys: list[str], text: str = "text", confidence: str
     ks = list(k.values())
     rows = reads.select(*(F.col(c).alias(a) for c, a in k.items()), F.col(text).alias("t"), F.col(confidence).cast("double").alias("c"))
     rows = rows.where("t <> '' AND c BETWEEN 0 AND 1 AND NOT isnan(c)").withColumn("w", F.col("c").cast(WEIGHT)).withColumn("len", F.length("t"))
-    texts = rows.groupBy(*ks, "len", "t").agg(F.sum("w").alias("w"), F.sum("c").alias("c"), F.count("*").alias("n"))
+    texts = rows.groupBy(*ks, "len", "t").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
 
-    lengths = texts.groupBy(*ks, "len").agg(F.sum("w").alias("lw"), F.sum("c").alias("lc"), F.sum("n").alias("ln"))
+    lengths = texts.groupBy(*ks, "len").agg(F.sum("w").alias("lw"), F.sum("w").cast("double").alias("lc"), F.sum("n").alias("ln"))
     whole = W.partitionBy(*ks)
     lengths = lengths.withColumn("reads", F.sum("ln").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.desc("lw"), F.desc("len")))).where(f"r = 1 AND reads >= {int(min_reads)}")
     best = texts.alias("a").join(lengths.alias("b"), [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}")) for x in (*ks, "len")]).select("a.*", "b.lc", "b.ln")
@@ -56,7 +56,8 @@ def vote(reads: DataFrame, keys: list[str], text: str = "text", confidence: str
     return out.select(
         *(F.col(a).alias(c) for c, a in k.items()),
         "text",
-        F.round(mean * F.col("lc") / F.col("ln"), 3).alias("confidence"),
+        # To nine digits first, so that the last bits of a sum don't decide a tie.
+        F.round(F.round(mean * F.col("lc") / F.col("ln"), 9), 3).alias("confidence"),
         F.col("ln").alias("reads"),
         F.round(mean, 3).alias("agreement"),
         rounded.alias("per_character"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline import runtime
 from sightline.functions import geometry, grammar, identity, text
 from sightline.operators import cooldown, duplicates, evaluate, sampling, sessions, splits, stats, tracker, vote
-from sightline.plans import pipeline
+from sightline.plans import grammar_sql, pipeline
 from sightline.runtime import table
 from sightline.sinks import files
 from sightline.sources import labels
@@ -90,10 +90,11 @@ def cooldown_users(spark: SparkSession, d: str) -> DataFrame:
     return cooldown.cooldown(rows, "user_id", "ts_us", ["event_id"], 3_600_000_000).groupBy("user_id").agg(F.count("*").alias("events"), F.count_if("accepted").alias("logged"))
 
 
-_VOTE_SQL = f"""
-WITH r AS (SELECT source, track_id, {_NORM.format('plate')} AS t, CAST(confidence AS DECIMAL(18,9)) AS w, confidence AS c, length({_NORM.format('plate')}) AS len
-  FROM plate_events WHERE source IS NOT NULL AND track_id IS NOT NULL AND confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) AND {_NORM.format('plate')} <> ''),
-l AS (SELECT source, track_id, len, sum(w) AS lw, sum(c) AS lc, count(*) AS ln FROM r GROUP BY ALL),
+def _vote_sql(text: str) -> str:
+    return f"""
+WITH r AS (SELECT source, track_id, {text} AS t, CAST(confidence AS DECIMAL(18,9)) AS w, confidence AS c, length({text}) AS len
+  FROM plate_events WHERE source IS NOT NULL AND track_id IS NOT NULL AND confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) AND {text} <> ''),
+l AS (SELECT source, track_id, len, sum(w) AS lw, CAST(sum(w) AS DOUBLE) AS lc, count(*) AS ln FROM r GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY source, track_id ORDER BY lw DESC, len DESC) AS k, sum(ln) OVER (PARTITION BY source, track_id) AS n FROM l),
 c AS (SELECT r.* FROM r JOIN b USING (source, track_id, len) WHERE k = 1 AND n >= 2),
 p AS (SELECT source, track_id, i AS pos, t[i] AS ch, sum(w) AS w FROM c, LATERAL (SELECT unnest(range(1, len + 1)) AS i) GROUP BY ALL),
@@ -103,6 +104,9 @@ o AS (SELECT c.source, c.track_id, t, row_number() OVER (PARTITION BY c.source,
 """
 
 
+_VOTE_SQL = _vote_sql(_NORM.format("plate"))
+
+
 def plate_reads(spark: SparkSession, d: str) -> DataFrame:
     plate = F.regexp_replace(runtime.ascii_upper(F.col("plate")), "[^A-Z0-9]", "")
     return table(spark, d, "plate_events").where("source IS NOT NULL AND track_id IS NOT NULL").select("source", "track_id", plate.alias("text"), "confidence")
@@ -118,7 +122,13 @@ def vote_runner_up(spark: SparkSession, d: str) -> DataFrame:
     return vote.vote(plate_reads(spark, d), ["source", "track_id"]).select("source", "track_id", "runner_up")
 
 
-@query("plate_parse")
+_PARSE_SQL = grammar_sql.PARSE
+
+
+@query(
+    "plate_parse",
+    "WITH raws AS (SELECT DISTINCT plate AS raw FROM plate_events WHERE plate IS NOT NULL)," + _PARSE_SQL + "SELECT raws.raw AS plate, text, region, format_name, edits, confidence, display FROM raws LEFT JOIN parsed USING (raw)",
+)
 def plate_parse(spark: SparkSession, d: str) -> DataFrame:
     """Every recorded plate against the grammars."""
     rows = grammar.parse_plates(table(spark, d, "plate_events").select("plate").where("plate IS NOT NULL").distinct(), "plate")
@@ -140,13 +150,30 @@ def plate_exact_in(spark: SparkSession, d: str) -> DataFrame:
     return grammar.parse_plates(rows, "plate", region="IN", max_edits=0, min_confidence=0.0).where("match IS NOT NULL").select("plate", F.col("match.confidence").alias("confidence"))
 
 
-@query("plate_log")
+_LOG_SQL = (
+    _vote_sql("plate").rstrip()
+    + """, k AS (SELECT source, track_id, text AS voted, CAST(round(CAST(round(agreement * lc / ln, 9) AS DECIMAL(12, 9)), 3) AS DOUBLE) AS sure FROM v JOIN b USING (source, track_id) WHERE k = 1),
+x AS (SELECT source, track_id, min(frame) AS first_frame, max(epoch_us(ts)) AS ts_us FROM plate_events WHERE source IS NOT NULL AND track_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+raws AS (SELECT DISTINCT voted AS raw FROM k),"""
+    + _PARSE_SQL.rstrip()
+    + """, z AS (SELECT x.*, voted, parsed.text AS plate, display, region, round(least(sure, confidence), 3) AS confidence, edits FROM x LEFT JOIN k USING (source, track_id) LEFT JOIN parsed ON raw = voted),
+y AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY plate ORDER BY ts_us, source, track_id) AS since FROM z WHERE plate IS NOT NULL)
+"""
+)
+
+
+@query("plate_log", _LOG_SQL + "SELECT plate, display, region, confidence, edits, track_id, first_frame AS frame, source, ts_us FROM y WHERE coalesce(since >= 300000000, true)")
 def plate_log(spark: SparkSession, d: str) -> DataFrame:
     """The log of all tracks with readings: vote, grammar, cooldown."""
     return _logged(spark, d)[0]
 
 
-@query("plate_log_stats")
+@query(
+    "plate_log_stats",
+    _LOG_SQL
+    + """SELECT (SELECT count(*) FROM z) AS tracks_completed, (SELECT count(*) FROM z WHERE voted IS NULL) AS too_few_reads, (SELECT count(*) FROM z WHERE voted IS NOT NULL AND plate IS NULL) AS rejected,
+  count(*) FILTER (WHERE since < 300000000) AS suppressed, count(*) FILTER (WHERE coalesce(since >= 300000000, true)) AS logged FROM y""",
+)
 def plate_log_stats(spark: SparkSession, d: str) -> DataFrame:
     return _logged(spark, d)[1]
 
@@ -327,11 +354,13 @@ def near_dup_clusters(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.duplicate_clusters(table(spark, d, "image_hashes"))
 
 
-_PAIR_SQL = "WITH p AS (SELECT DISTINCT left_id, right_id, left_split, right_split FROM duplicate_pairs WHERE left_id <> right_id AND distance BETWEEN 0 AND 5 AND left_split IN ('train', 'val', 'test') AND right_split IN ('train', 'val', 'test'))"
+_SIDE_SQL = "CASE lower(trim({0})) WHEN 'train' THEN 'train' WHEN 'val' THEN 'val' WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' WHEN 'test' THEN 'test' END"
+_PAIR_SQL = f"""WITH q AS (SELECT left_id, right_id, {_SIDE_SQL.format('left_split')} AS left_split, {_SIDE_SQL.format('right_split')} AS right_split FROM duplicate_pairs WHERE left_id <> right_id AND distance BETWEEN 0 AND 5),
+p AS (SELECT DISTINCT * FROM q WHERE left_split IS NOT NULL AND right_split IS NOT NULL)"""
 
 
 def recorded_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded near pairs with both splits, in whatever spelling; the SQL beside the queries still takes exact spellings only."""
+    """Recorded near pairs with both splits, in whatever spelling."""
     rows = table(spark, d, "duplicate_pairs").where("left_id <> right_id AND distance BETWEEN 0 AND 5")
     rows = rows.select("left_id", "right_id", *(text.split_side(F.col(c)).alias(c) for c in ("left_split", "right_split")))
     return rows.where("left_split IS NOT NULL AND right_split IS NOT NULL").distinct()
@@ -356,7 +385,7 @@ def contaminated_images(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "clean_test_images",
     _PAIR_SQL
-    + ", c AS (SELECT * FROM p WHERE left_split <> right_split AND 'train' IN (left_split, right_split)), h AS (SELECT DISTINCT image_id FROM image_hashes WHERE split = 'test') SELECT image_id FROM h WHERE image_id NOT IN (SELECT left_id FROM c WHERE left_split = 'test' UNION SELECT right_id FROM c WHERE right_split = 'test')",
+    + ", c AS (SELECT * FROM p WHERE left_split <> right_split AND 'train' IN (left_split, right_split)), h AS (SELECT DISTINCT image_id FROM image_hashes WHERE image_id IS NOT NULL AND lower(trim(split)) = 'test') SELECT image_id FROM h WHERE image_id NOT IN (SELECT left_id FROM c WHERE left_split = 'test' UNION SELECT right_id FROM c WHERE right_split = 'test')",
 )
 def clean_test_images(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "image_hashes").where((text.split_side(F.col("split")) == "test") & F.col("image_id").isNotNull()).select("image_id").distinct()
@@ -449,18 +478,22 @@ def detection_best(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.best_detections(*evaluation_tables(spark, d))
 
 
-_READ_SQL = f"""
-WITH e AS (SELECT source, plate AS reference, translate(display, ' -', '') AS hypothesis FROM plate_events WHERE plate IS NOT NULL AND display IS NOT NULL AND length(plate) = strlen(plate) AND length(display) = strlen(display))
+# levenshtein counts bytes there, so each pair's characters beyond ASCII stand as control characters.
+_READ_SQL = """
+WITH q AS (SELECT source, plate AS reference, translate(display, ' -', '') AS hypothesis FROM plate_events WHERE plate IS NOT NULL AND display IS NOT NULL),
+w AS (SELECT *, list_distinct(regexp_extract_all(reference || hypothesis, '[^\\x00-\\x7F]')) AS wide FROM q),
+e AS (SELECT *, CASE WHEN len(wide) = 0 THEN levenshtein(reference, hypothesis)
+  ELSE levenshtein(translate(reference, array_to_string(wide, ''), array_to_string([chr(i::INT) FOR i IN range(1, len(wide) + 1)], '')), translate(hypothesis, array_to_string(wide, ''), array_to_string([chr(i::INT) FOR i IN range(1, len(wide) + 1)], ''))) END AS edits FROM w)
 """
 
 
 def reading_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All readings with plate and display; the SQL beside the queries leaves out what isn't ASCII, as DuckDB's levenshtein counts bytes."""
+    """All readings with plate and display."""
     rows = table(spark, d, "plate_events").where("plate IS NOT NULL AND display IS NOT NULL")
     return rows.select("source", F.col("plate").alias("reference"), F.translate("display", " -", "").alias("hypothesis"))
 
 
-_REPORT_SQL = "count(*) AS samples, sum(levenshtein(reference, hypothesis))::BIGINT AS distance, sum(length(reference))::BIGINT AS characters, count(*) FILTER (WHERE reference = hypothesis) AS exact, count(*) FILTER (WHERE hypothesis = '') AS empty, sum(levenshtein(reference, hypothesis)) / nullif(sum(length(reference))::DOUBLE, 0) AS error_rate, count(*) FILTER (WHERE reference = hypothesis) / count(*)::DOUBLE AS accuracy FROM e"
+_REPORT_SQL = "count(*) AS samples, sum(edits)::BIGINT AS distance, sum(length(reference))::BIGINT AS characters, count(*) FILTER (WHERE reference = hypothesis) AS exact, count(*) FILTER (WHERE hypothesis = '') AS empty, sum(edits) / nullif(sum(length(reference))::DOUBLE, 0) AS error_rate, count(*) FILTER (WHERE reference = hypothesis) / count(*)::DOUBLE AS accuracy FROM e"
 
 
 @query("cer_corpus", _READ_SQL + f"SELECT {_REPORT_SQL}")
@@ -475,7 +508,7 @@ def cer_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "cer_worst",
-    _READ_SQL + "SELECT reference, hypothesis, CASE WHEN reference = '' THEN CASE WHEN hypothesis = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(reference, hypothesis) / length(reference)::DOUBLE END AS error_rate FROM e WHERE reference <> hypothesis ORDER BY error_rate DESC, reference, hypothesis LIMIT 10",
+    _READ_SQL + "SELECT reference, hypothesis, CASE WHEN reference = '' THEN CASE WHEN hypothesis = '' THEN 0.0 ELSE 1.0 END ELSE edits / length(reference)::DOUBLE END AS error_rate FROM e WHERE reference <> hypothesis ORDER BY error_rate DESC, reference, hypothesis LIMIT 10",
 )
 def cer_worst(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.worst_readings(reading_pairs(spark, d), "reference", "hypothesis")
@@ -486,12 +519,28 @@ def graded(spark: SparkSession, d: str) -> DataFrame:
     return grammar.parse_plates(rows, "raw_text").select("truth", "raw_text", F.col("match.text").alias("final_text"))
 
 
-@query("grammar_gain")
+_GRADED_SQL = _READ_SQL.rstrip() + ", raws AS (SELECT DISTINCT hypothesis AS raw FROM e)," + _PARSE_SQL.rstrip() + ", g AS (SELECT reference AS truth, hypothesis AS raw_text, e.edits AS raw_edits, text AS final_text FROM e LEFT JOIN parsed ON raw = hypothesis)"
+
+
+@query(
+    "grammar_gain",
+    _GRADED_SQL
+    + """, n AS (SELECT *, coalesce(final_text, '') AS f, list_distinct(regexp_extract_all(truth || coalesce(final_text, ''), '[^\\x00-\\x7F]')) AS wide FROM g),
+d AS (SELECT *, levenshtein(translate(truth, array_to_string(wide, ''), array_to_string([chr(i::INT) FOR i IN range(1, len(wide) + 1)], '')), translate(f, array_to_string(wide, ''), array_to_string([chr(i::INT) FOR i IN range(1, len(wide) + 1)], ''))) AS edits FROM n),
+r AS (SELECT sum(raw_edits) / sum(length(truth))::DOUBLE AS raw_error_rate, count(*) FILTER (WHERE truth = raw_text) / count(*)::DOUBLE AS raw_accuracy, sum(edits) / sum(length(truth))::DOUBLE AS error_rate, count(*) FILTER (WHERE truth = f) / count(*)::DOUBLE AS accuracy FROM d)
+SELECT *, raw_error_rate - error_rate AS error_rate_gain, accuracy - raw_accuracy AS accuracy_gain, raw_error_rate - error_rate > 0 AS improved, accuracy - raw_accuracy > 0 AS accuracy_improved FROM r""",
+)
 def grammar_gain(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.grammar_gain(graded(spark, d), "truth", "raw_text", "final_text")
 
 
-@query("outcome_report")
+@query(
+    "outcome_report",
+    _GRADED_SQL
+    + """, o AS (SELECT CASE WHEN raw_text = '' OR final_text IS NULL THEN 'grammar_rejected' WHEN final_text = truth THEN 'correct' WHEN raw_text = truth THEN 'grammar_corrupted' ELSE 'ocr_error' END AS outcome FROM g),
+n AS (SELECT count(*) AS total, count(*) FILTER (WHERE outcome = 'correct') AS correct, 0 AS detection_miss, count(*) FILTER (WHERE outcome = 'ocr_error') AS ocr_error, count(*) FILTER (WHERE outcome = 'grammar_rejected') AS grammar_rejected, count(*) FILTER (WHERE outcome = 'grammar_corrupted') AS grammar_corrupted FROM o)
+SELECT *, correct / total::DOUBLE AS accuracy, correct / (total - grammar_rejected)::DOUBLE AS precision FROM n""",
+)
 def outcome_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.outcome_report(evaluate.outcomes(graded(spark, d)))
 

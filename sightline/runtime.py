@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ DEFAULT_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
-#: Rows above which a lookup side is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a lookup side is broadcast; beyond either it is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def session(app: str = "sightline", master: str | None = None, **conf: str) -> SparkSession:
@@ -100,33 +102,48 @@ def shared_dir(spark: SparkSession) -> str:
     if where:
         return where.rstrip("/")
     if not hasattr(sc, "_sightline_dir"):
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc._sightline_dir = "file://" + tempfile.mkdtemp(prefix="sightline-")
         sc.setCheckpointDir(sc._sightline_dir)
     return sc._sightline_dir
 
 
-_LIVE: list[tuple[SparkSession, str]] = []
+_LIVE: dict[str, SparkSession] = {}
+_SCOPES: list[list[str]] = []
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _LIVE:
+    for path, spark in list(_LIVE.items()):
         try:
             delete(spark, path)
         except Exception:  # the context may be gone
             pass
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Workspaces opened inside are removed at the end: for work whose results are written by then, such as a trigger's."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            if path in _LIVE:
+                delete(_LIVE.pop(path), path)
+
+
 class Workspace:
-    """A private folder of written tables below the shared one, removed when the application ends."""
+    """A private folder of written tables below the shared one, removed by ``close``, at the end of the ``scope`` around it, or else when the application ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/sightline/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        _LIVE.append((spark, self.path))
+        _LIVE[self.path] = spark
+        if _SCOPES:
+            _SCOPES[-1].append(self.path)
 
     def cut(self, df: DataFrame, name: str = "t", partition_by: Iterable[str] = ()) -> DataFrame:
         """``df`` computed once, written, and read back without its lineage."""
@@ -141,6 +158,7 @@ class Workspace:
     def close(self) -> None:
         """Remove everything, once no later plan reads it."""
         delete(self.spark, self.path)
+        _LIVE.pop(self.path, None)
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Remove tables of this workspace that no later plan reads."""
@@ -149,9 +167,27 @@ class Workspace:
                 delete(self.spark, t._sightline_at)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: strings and binaries by their length, nested values by their JSON, others as 8."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f.name).alias("v")))), F.lit(0))
+    return size
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is counted to hold at most ``rows`` rows and ``size`` bytes."""
+    some = df.select(row_bytes(df).alias("b")).limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return some.n <= rows and some.b <= size
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to hold at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` marked for broadcast if it is counted to be small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def ascii_upper(c: Column) -> Column:
@@ -166,18 +202,21 @@ HOT_SHARE = 256
 def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join rows, of which a few keys may hold most, to a table with one row per key (``how``: inner or left).
 
-    The table is broadcast if it is counted to be small.  Else the hot keys
-    are counted; their rows stay where they are and meet the few table rows of
-    hot keys by broadcast, and only all other rows are shuffled.
+    The table is broadcast if its rows and bytes are counted to be few.  Else
+    the rows are written once and their hot keys are counted; rows of hot keys
+    stay where they are and meet the few table rows of hot keys by broadcast,
+    and only all other rows are shuffled.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(small):
         return rows.join(F.broadcast(small), keys, how)
     spark = rows.sparkSession
-    counted = rows.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = Workspace(spark, "lookup").cut(rows, "rows")
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = rows.count()
-    top = counted.where(F.col("_n") * HOT_SHARE > total).drop("_n").collect()
+    top = counted.dropna(subset=keys).where(F.col("_n") * HOT_SHARE > total).drop("_n").collect()  # fewer than HOT_SHARE
     if not top:
         return rows.join(small, keys, how)
     hot = F.broadcast(spark.createDataFrame(top, counted.drop("_n").schema))
-    few = F.broadcast(small.join(hot, keys, "left_semi"))
+    few = small.join(hot, keys, "left_semi")
+    few = F.broadcast(few) if is_small(few) else few
     return rows.join(hot, keys, "left_semi").join(few, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(small, keys, how))

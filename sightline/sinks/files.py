@@ -18,7 +18,7 @@ COLUMNS = (
     ("ts", "Timestamp", 20), ("plate", "Plate", 16), ("display", "Formatted", 16), ("region", "Region", 8), ("confidence", "Confidence", 11),
     ("edits", "OCR fixes", 10), ("track_id", "Track", 8), ("frame", "Frame", 9), ("source", "Source", 28), ("crop_path", "Crop", 30),
 )
-SHEET = "Plates"
+SHEET = "plates"
 
 
 def manifest_json(records: DataFrame) -> DataFrame:
