@@ -4,12 +4,16 @@ The balancing variables are the indicators of a plan's buckets, so the kernel
 of the balancing equations is spanned by moves between two records of one
 bucket: a flight step lets two undecided records of a bucket trade inclusion
 probability until one of them is decided.  Steps on disjoint pairs commute and
-are done many at a time.
+are done many at a time.  At the end, at most one record of each bucket is
+undecided; landing then gives up the buckets' shares, but not the size of the
+plan: undecided records of different buckets trade, and chance decides the last
+one, if the plan's total isn't whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +28,8 @@ BUCKETS = (("tiny (<32px)", 0), ("small (32-64px)", 32), ("medium (64-128px)", 6
 CELL_ROWS = 20_000
 #: Cells merged into one at each level upward.
 FAN_IN = 64
+#: About how many rows of plans are handed to the tasks at a time.
+PLAN_ROWS = 100_000
 _EPS = 1e-9
 
 
@@ -51,19 +57,29 @@ def flight(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return p
 
 
-def _merge(seed: int, level: int, landing: bool):
+def _merge(seed: int, level: int):
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("crop_id", kind="stable")
-        rng = _rng(seed, *key, level)
-        done = flight(pdf["p"].to_numpy(), rng)
-        if landing:
-            done = np.where((done > 0) & (done < 1), rng.random(len(done)) < done, done).astype(float)
+        done = flight(pdf["p"].to_numpy(), _rng(seed, *key, level))
         pdf = pdf.assign(p=done, cell=key[2])
         return pdf[pdf["p"] > 0]
 
     return merge
 
 
+def _land(seed: int):
+    def land(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "crop_id"], kind="stable")
+        rng = _rng(seed, *key, "landing")
+        done = flight(pdf["p"].to_numpy(), rng)
+        last = (done > 0) & (done < 1)
+        done[last] = rng.random(last.sum()) < done[last]
+        pdf = pdf.assign(p=done)
+        return pdf[pdf["p"] > 0]
+
+    return land
+
+
 def bucket_of(width, recorded):
     """The bucket of a crop: by its width where that is positive, else as recorded."""
     by_width = F.when(width < BUCKETS[1][1], BUCKETS[0][0]).when(width < BUCKETS[2][1], BUCKETS[1][0]).when(width < BUCKETS[3][1], BUCKETS[2][0]).otherwise(BUCKETS[3][0])
@@ -76,7 +92,8 @@ def balanced_samples(crops: DataFrame, plans: DataFrame, seed: int = 7, cell_row
     ``plans`` has plan_id, bucket, target_pct, min_rows and sample_rows; a
     bucket's quota is greatest(min_rows, target_pct x sample_rows / 100), at
     most what there is.  A quota that isn't whole is rounded up or down by
-    chance, with the quota as expectation.
+    chance, with the quota as expectation; a plan's size is the sum of its
+    quotas, rounded up or down only if that isn't whole.
 
     Gives (sample, report): plan_id, bucket, crop_id; and plan_id, bucket,
     wanted, available, drawn, residual (drawn - wanted) and short (fewer
@@ -105,40 +122,41 @@ def balanced_samples(crops: DataFrame, plans: DataFrame, seed: int = 7, cell_row
     rates = quota.where("available > 0 AND wanted > 0").select("plan_id", "bucket", F.least(F.lit(1.0), F.col("wanted") / F.col("available")).alias("p"))
     total = units.count()
     cells = max(1, -(-total // cell_rows))
-    # One row per plan and bucket: the plans' own size, checked here; beyond it the plans come as a joined side.
-    fixed = rates.limit(runtime.BROADCAST_ROWS + 1).collect()
-    if len(fixed) > runtime.BROADCAST_ROWS:
-        raise ValueError("too many plans for one run: give them in portions")
-    by_bucket: dict[str, list] = {}
-    for r in fixed:
-        by_bucket.setdefault(r.bucket, []).append((r.plan_id, r.p))
-
-    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values(["bucket", "crop_id"], kind="stable"), []
-        for bucket, part in pdf.groupby("bucket", sort=True):
-            ids = part["crop_id"].to_numpy()
-            for plan, p in by_bucket.get(bucket, ()):
-                done = flight(np.full(len(ids), p), _rng(seed, plan, bucket, key[0], 0))
-                at = np.flatnonzero(done)
-                out.append(pd.DataFrame({"plan_id": plan, "bucket": bucket, "crop_id": ids[at], "p": done[at], "cell": key[0]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["plan_id", "bucket", "crop_id", "p", "cell"])
+    # Plans come in portions, so that what a task is told of them has a bound.
+    portions = max(1, -(-rates.count() // PLAN_ROWS))
+
+    def flights(portion: int):
+        listed: dict[str, list] = {}
+        for r in rates.where(F.pmod(F.xxhash64("plan_id"), F.lit(portions)) == portion).collect():
+            listed.setdefault(r.bucket, []).append((r.plan_id, r.p))
+
+        def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, out = pdf.sort_values(["bucket", "crop_id"], kind="stable"), []
+            for bucket, part in pdf.groupby("bucket", sort=True):
+                ids = part["crop_id"].to_numpy()
+                for plan, p in listed.get(bucket, ()):
+                    done = flight(np.full(len(ids), p), _rng(seed, plan, bucket, key[0], 0))
+                    at = np.flatnonzero(done)
+                    out.append(pd.DataFrame({"plan_id": plan, "bucket": bucket, "crop_id": ids[at], "p": done[at], "cell": key[0]}))
+            return pd.concat(out) if out else pd.DataFrame(columns=["plan_id", "bucket", "crop_id", "p", "cell"])
+
+        return first
 
     types = dict(quota.dtypes)
     schema = f"plan_id {types['plan_id']}, bucket string, crop_id string, p double, cell long"
     cell = F.pmod(F.xxhash64(F.lit(seed), "crop_id"), F.lit(cells))
-    state = space.cut(units.withColumn("cell", cell).groupBy("cell").applyInPandas(first, schema), "flight0")
+    in_cells = units.withColumn("cell", cell)
+    state = reduce(DataFrame.unionByName, (space.cut(in_cells.groupBy("cell").applyInPandas(flights(i), schema), f"flight0-{i}") for i in range(portions)))
     sure, open_ = [state.where("p = 1")], state.where("p < 1")
     level = 0
-    while True:
+    while cells > 1:
         level, cells = level + 1, -(-cells // fan_in)
-        landing = cells == 1
-
-        up = open_.withColumn("cell", F.floor(F.col("cell") / fan_in)).groupBy("plan_id", "bucket", "cell").applyInPandas(_merge(seed, level, landing), schema)
+        up = open_.withColumn("cell", F.floor(F.col("cell") / fan_in)).groupBy("plan_id", "bucket", "cell").applyInPandas(_merge(seed, level), schema)
         up = space.cut(up, f"flight{level}")
         sure.append(up.where("p = 1"))
         open_ = up.where("p < 1")
-        if landing:
-            break
+    # One record of each of a plan's buckets at most is left.
+    sure.append(space.cut(open_.groupBy("plan_id").applyInPandas(_land(seed), schema), "landed"))
     sample = sure[0]
     for x in sure[1:]:
         sample = sample.unionByName(x)

@@ -1,14 +1,16 @@
-"""The same or nearly the same picture on both sides of a split.
-
-A picture's text is its 64-bit difference hash, read from three fixed starting
-points: the suffixes of that text.  Two hashes within five bits of each other
-agree, in at least one of the three blocks, up to one bit (three blocks with
-two differing bits each would make six).  So the held-out side also enters
-every suffix with each single bit of its block turned, and every near pair
-then lies in one run of the sorted suffixes with a common prefix of a whole
-block.  Runs are found by an equi-join on (block, prefix), which is what
-sorting the suffixes and cutting at short common prefixes gives, without
-missing the members of a run that aren't adjacent.
+"""The same or nearly the same picture on both sides of a split, by an array of suffixes.
+
+A picture's text is its 64-bit difference hash, and an array of its suffixes
+is sorted (``suffix_array``): suffixes that share a long prefix lie in one run,
+and runs with both sides of the split give the candidates, which are then
+compared bit by bit.  Plain suffixes don't find every pair, as two hashes a few
+bits apart may share no long run of bits, so the array also holds turned
+texts: every suffix once more with one bit of its prefix turned.  With three
+starting points and turned texts of the held-out side, no pair of up to five
+bits escapes (three blocks with two differing bits each would make six); with
+two starting points, turned texts of both sides do (two halves with three
+each would make six).  The second has longer prefixes and so fewer chance hits, but more
+texts: the number of hashes decides.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from sightline import runtime
 from sightline.functions.text import split_side
-from sightline.operators.duplicates import near_hashes
+from sightline.llm.suffix_array import cross_runs
+from sightline.operators.duplicates import HALVES, HALVES_FROM, THIRDS, block_keys, hamming
 
 #: Bits that may differ; the same across known, differing regions; range of brightness up to which a picture is blank.
 MAX_BITS = 5
@@ -26,13 +29,30 @@ MAX_BITS_ACROSS = 2
 BLANK_CONTRAST = 4
 
 
-def near_hash_pairs(hashes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def near_hash_pairs(hashes: DataFrame, max_bits: int = MAX_BITS, turned: bool = True, many: bool | None = None) -> DataFrame:
     """``train``, ``held`` and ``bits`` of all pairs of distinct hashes, one used in train and one held out, that differ in 1..``max_bits`` bits.
 
     ``hashes`` has ``dhash`` and ``in_train``, ``in_held``; every hash once.
+    Without ``turned`` the array holds plain suffixes only, and finds the pairs
+    that share a block.  ``many`` says which starting points to take; if it
+    isn't given the number of hashes does.
     """
-    found = near_hashes(hashes.where("in_train"), hashes.where("in_held"), max_bits)
-    return found.select(F.col("left_hash").alias("train"), F.col("right_hash").alias("held"), "bits")
+    if not 0 <= max_bits <= 5:
+        raise ValueError("these texts find all pairs of up to five bits")
+    train, held = hashes.where("in_train").select("dhash"), hashes.where("in_held").select("dhash")
+    if many is None:
+        many = hashes.limit(HALVES_FROM).count() >= HALVES_FROM
+    blocks = HALVES if many else THIRDS
+    side = lambda df, t: df.select("block", "prefix", F.col("dhash").alias("text"), F.lit(t).alias("train"), F.lit(not t).alias("held"))
+    of_train, of_held = side(block_keys(train, blocks, turned and many), True), side(block_keys(held, blocks, turned), False)
+    runs = runtime.Workspace(hashes.sparkSession, "runs").cut(cross_runs(of_train.unionByName(of_held), tuple(size for _, size in blocks)), "runs")
+    # Only suffixes of runs across the split go on.
+    few = runtime.broadcast_if_small(runs)
+    t, h = of_train.join(few, ["block", "prefix"], "left_semi").alias("t"), of_held.join(few, ["block", "prefix"], "left_semi").alias("h")
+    bits = hamming(F.col("t.text"), F.col("h.text"))
+    # The planner sizes the suffixes by the hashes they are made from, too small for a choice to broadcast them.
+    met = t.join(h.hint("merge"), (F.col("t.block") == F.col("h.block")) & (F.col("t.prefix") == F.col("h.prefix")))
+    return met.select(F.col("t.text").alias("train"), F.col("h.text").alias("held"), bits.alias("bits")).where(F.col("bits").between(1, max_bits)).distinct()
 
 
 def cross_split_ends(hashes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -5,15 +5,21 @@ grow breadth first from the vertices whose shifted start time has come, and a
 vertex joins the cluster that reaches it first.  After a few rounds every
 vertex lies in a cluster of small diameter; clusters become the vertices of
 the next level, edges inside them vanish, and the levels' assignments are
-composed from the last one back.
+composed from the last one back.  Once the graph of a level is counted to be
+small, one task takes the same way with what is left of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline import runtime
+from sightline.operators.components import TASK_BYTES, TASK_EDGES
 
 MAX_LEVELS = 200
 
@@ -45,6 +51,10 @@ def match_groups(pairs: DataFrame, left: str, right: str, beta: float = 0.5, rou
         smaller = space.cut(between, "edges")
         space.drop(edges)
         edges = smaller
+        if runtime.is_small(edges, TASK_EDGES, TASK_BYTES):
+            kind = dict(edges.dtypes)["x"]
+            levels.append(space.cut(edges.coalesce(1).mapInPandas(_finish(beta, rounds, seed), f"v {kind}, c {kind}"), "finished"))
+            break
     if not levels:
         return edges.select(F.col("x").alias("id"), F.col("y").alias("group_id"))
     root = levels.pop()
@@ -56,6 +66,45 @@ def match_groups(pairs: DataFrame, left: str, right: str, beta: float = 0.5, rou
     return runtime.lookup(root, names, ["c"]).select(F.col("v").alias("id"), "group_id")
 
 
+def grouped(x: np.ndarray, y: np.ndarray, n: int, beta: float, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """A group number for each of ``n`` vertices of the edges x-y, by the same decomposition, level by level."""
+    group = np.arange(n)
+    while len(x):
+        start = np.maximum(0.0, rounds + np.log(rng.random(n)) / beta)
+        now = np.floor(start).astype(int)
+        part, centre, at = start - now, np.arange(n), np.where(now == 0, 0, -1)
+        src, dst = np.concatenate([x, y]), np.concatenate([y, x])
+        for r in range(1, rounds + 1):
+            free = at < 0
+            e = (at[src] == r - 1) & free[dst]
+            own = np.flatnonzero(free & (now == r))
+            to, by = np.concatenate([dst[e], own]), np.concatenate([centre[src[e]], own])
+            share = np.concatenate([part[src[e]], part[own]])
+            order = np.lexsort((by, share, to))
+            to, by, share = to[order], by[order], share[order]
+            first = np.concatenate([[True], to[1:] != to[:-1]]) if len(to) else np.zeros(0, bool)
+            at[to[first]], centre[to[first]], part[to[first]] = r, by[first], share[first]
+        group = centre[group]
+        a, b = centre[x], centre[y]
+        apart = a != b
+        pairs = np.unique(np.stack([np.minimum(a, b)[apart], np.maximum(a, b)[apart]], 1), axis=0)
+        x, y = pairs[:, 0], pairs[:, 1]
+    return group
+
+
+def _finish(beta: float, rounds: int, seed: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        if not parts:
+            return
+        edges = pd.concat(parts)
+        codes, names = pd.factorize(np.concatenate([edges["x"].to_numpy(object), edges["y"].to_numpy(object)]), sort=True)
+        group = grouped(codes[: len(edges)], codes[len(edges) :], len(names), beta, rounds, np.random.default_rng(seed))
+        yield pd.DataFrame({"v": names, "c": names[group]})
+
+    return run
+
+
 def _decompose(space: runtime.Workspace, edges: DataFrame, beta: float, rounds: int, seed: int) -> DataFrame:
     """A cluster ``c`` for every vertex ``v`` of ``edges``; clusters are named by their centres."""
     both = edges.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(edges.select(F.col("y").alias("src"), F.col("x").alias("dst")))

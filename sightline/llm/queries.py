@@ -68,10 +68,14 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return balanced_sample.balanced_samples(table(spark, d, "crops"), table(spark, d, "sample_targets"))[0]
 
 
-@query("p2_report", _P2_SQL + "SELECT plan_id, bucket, wanted, coalesce(available, 0) AS available, coalesce(available, 0) < wanted AS short FROM t LEFT JOIN s USING (bucket)")
+# Quotas are whole numbers in this data, so each bucket gets just its quota, or all there is.
+@query(
+    "p2_report",
+    _P2_SQL
+    + ", n AS (SELECT plan_id, bucket, wanted, coalesce(available, 0) AS available FROM t LEFT JOIN s USING (bucket)) SELECT *, CAST(least(available, wanted) AS BIGINT) AS drawn, least(available, wanted) - wanted AS residual, available < wanted AS short FROM n",
+)
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    _, report = balanced_sample.balanced_samples(table(spark, d, "crops"), table(spark, d, "sample_targets"))
-    return report.select("plan_id", "bucket", "wanted", "available", "short")
+    return balanced_sample.balanced_samples(table(spark, d, "crops"), table(spark, d, "sample_targets"))[1]
 
 
 # --- 5: the best detections of every track ---
@@ -128,6 +132,8 @@ def entity_table(spark: SparkSession, d: str) -> entity_splits.EntitySplits:
     """The manifest's images, taken in batches by time of ingest."""
     rows = image_keys(spark, d)
     targets = {r.split: r.target_share for r in table(spark, d, "split_targets").limit(101).collect()}
+    if len(targets) > 100:
+        raise ValueError("the splits are a small table; this one isn't")
     store = entity_splits.EntitySplits(spark, Workspace(spark, "entity-splits").path, targets)
     at = F.unix_micros("ingested_at")
     q = rows.select(F.percentile_approx(at, [i / P6_BATCHES for i in range(1, P6_BATCHES)], 1000).alias("q")).first().q or []
@@ -191,7 +197,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return cross_split.cross_split_pairs(table(spark, d, "image_hashes"), table(spark, d, "duplicate_pairs"))
 
 
-@query("p7_report")
+_P7_REPORT_SQL = _P7_SQL[: _P7_SQL.rindex("SELECT least(a, b) AS left_id")].rstrip() + """,
+x AS (SELECT t.image_id AS a, h.image_id AS b, h.s AS split FROM i t JOIN i h ON t.s = 'train' AND h.s IN ('val', 'test') AND t.image_id <> h.image_id AND t.blank = h.blank
+  WHERE t.dhash = h.dhash OR (NOT t.blank AND bit_count(xor(t.dhash, h.dhash)) <= CASE WHEN t.region IS NOT NULL AND h.region IS NOT NULL AND t.region <> h.region THEN 2 ELSE 5 END)),
+y AS (SELECT a, b, split FROM x UNION SELECT a, b, s2 FROM d WHERE s1 = 'train' AND s2 IN ('val', 'test') UNION SELECT b, a, s1 FROM d WHERE s2 = 'train' AND s1 IN ('val', 'test')),
+n AS (SELECT b AS image_id, split, count(*) AS pairs FROM y GROUP BY ALL),
+k AS (SELECT image_id, min(source_tag) AS tag FROM image_hashes WHERE image_id IS NOT NULL GROUP BY 1),
+r AS (SELECT n.*, coalesce(k.tag, (SELECT arg_max(source_tag, length(id_prefix)) FROM roboflow_sources WHERE id_prefix IS NOT NULL AND source_tag IS NOT NULL AND starts_with(n.image_id, id_prefix))) AS source_tag FROM n LEFT JOIN k USING (image_id))
+SELECT split, source_tag, sum(pairs)::BIGINT AS pairs, count(*) AS images FROM r GROUP BY ALL"""
+
+
+@query("p7_report", _P7_REPORT_SQL)
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     hashes = table(spark, d, "image_hashes")
     ends = cross_split.cross_split_ends(hashes, table(spark, d, "duplicate_pairs"))
@@ -223,7 +239,12 @@ def p8_steps(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.search(table(spark, d, "documents"), table(spark, d, "test_items")).steps
 
 
-@query("p8_report")
+@query(
+    "p8_report",
+    _P8_SQL[: _P8_SQL.rindex("SELECT DISTINCT d.id")].rstrip()
+    + """, l AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i USING (run) WHERE d.kind = 'd' AND i.kind = 'i'), t AS (SELECT item_id, min(suite) AS suite FROM test_items WHERE item_id IS NOT NULL GROUP BY 1)
+SELECT suite, count(DISTINCT t.item_id) AS items, count(DISTINCT l.item_id) AS leaked, count(DISTINCT doc_id) AS documents FROM t LEFT JOIN l USING (item_id) GROUP BY suite""",
+)
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items and leaking documents of each suite."""
     items = table(spark, d, "test_items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("suite").alias("suite"))

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from sightline.llm.entity_splits import QUARANTINE, EntitySplits
-from sightline.llm.match_groups import match_groups
+from sightline.llm.match_groups import grouped, match_groups
+from sightline.operators.components import rooted
 
 
 def brute(pairs):
@@ -122,3 +124,34 @@ def test_results_are_the_same_without_broadcasts(spark, tmp_path, monkeypatch):
     assert len(sets["i0"]) == 51
     assert len(store.records().collect()) == 73
     assert sum(map(len, sets.values())) == 72
+
+
+def test_the_finish_of_small_graphs_groups_like_a_search():
+    r = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 20), (400, 350), (400, 4000)):
+        x, y = r.integers(0, n, m), r.integers(0, n, m)
+        got = grouped(x[x != y], y[x != y], n, 0.5, 3, np.random.default_rng(1))
+        root = rooted(x, y, n)
+        assert len(set(zip(got, root))) == len(set(got)) == len(set(root))
+
+
+def test_levels_without_the_finish(spark, monkeypatch):
+    monkeypatch.setattr("sightline.llm.match_groups.TASK_EDGES", -1)
+    pairs = [(f"a{i}", f"a{i + 1}") for i in range(30)] + [("hub", f"b{i}") for i in range(20)]
+    got = {r.id: r.group_id for r in match_groups(spark.createDataFrame(pairs, "l string, r string"), "l", "r").collect()}
+    assert got == {**{f"a{i}": "a0" for i in range(31)}, **{f"b{i}": "b0" for i in range(20)}, "hub": "b0"}
+
+
+def test_versions_are_merged_as_they_gather(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sightline.llm.entity_splits.MERGED", 2)
+    store = EntitySplits(spark, f"{tmp_path}/merged", {"train": 0.5, "test": 0.5})
+    for i in range(5):
+        store.apply(spark.createDataFrame([(f"r{i}", [f"k{i}", f"k{max(0, i - 2)}"]), (f"s{i}", None)], "record_id string, keys array<string>"))
+    assert store._manifest(5)["folders"] == [["4-2", 2], ["5", 0]]
+    rows = {r.record_id: (r.comp, r.split) for r in store.records().collect()}
+    assert len(rows) == 10 and len({rows[f"r{i}"][0] for i in (0, 1, 2, 3, 4)}) in (1, 2)
+    assert rows["r0"][0] == rows["r2"][0] == rows["r4"][0] and rows["r1"][0] == rows["r0"][0]
+    n = {r.split: r.records for r in store.report().collect()}
+    assert {k: v for k, v in store._manifest(5)["sizes"].items() if v} == {k: v for k, v in n.items() if v}
+    store.vacuum()
+    assert {r.record_id: (r.comp, r.split) for r in store.records().collect()} == rows

@@ -3,8 +3,9 @@ import random
 import numpy as np
 
 from sightline.llm import bitmap
-from sightline.llm.cross_split import coverage, cross_split_ends, cross_split_pairs
+from sightline.llm.cross_split import coverage, cross_split_ends, cross_split_pairs, near_hash_pairs
 from sightline.llm.leak_search import WINDOW, leaked_items, search, words
+from sightline.llm.suffix_array import common_bits
 
 HASHES = "image_id string, dhash long, contrast int, region string, split string, source_tag string, bits int, train string"
 PAIRS = "left_id string, right_id string, distance int, left_split string, right_split string, dhash int"
@@ -51,6 +52,28 @@ def test_cross_split_pairs_equal_brute_force(spark):
     assert cross_split_pairs(h.limit(0), p.limit(0)).count() == 0
 
 
+def test_the_array_finds_near_hashes_from_either_starting_points(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(12)]
+    rows = {}
+    for _ in range(500):
+        h = r.choice(base)
+        for b in r.sample(range(64), r.choice([0, 1, 2, 3, 4, 5, 6])):
+            h ^= 1 << b
+        t = r.random() < 0.5
+        a, b = rows.get(h, (False, False))
+        rows[h] = (a or t, b or not t)
+    want = {(x - 2**63, y - 2**63, (x ^ y).bit_count()) for x, (t, _) in rows.items() for y, (_, h) in rows.items() if t and h and 1 <= (x ^ y).bit_count() <= 5}
+    df = spark.createDataFrame([(h - 2**63, *f) for h, f in rows.items()], "dhash long, in_train boolean, in_held boolean").repartition(3)
+    plain = {tuple(x) for x in near_hash_pairs(df, turned=False).collect()}
+    for many in (False, True):
+        got = [tuple(x) for x in near_hash_pairs(df, many=many).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert plain < want and len(plain) > len(want) / 4
+    a = np.array([0b1011, 0b1011, 0b1000, 0])
+    assert common_bits(a[1:], a[:-1], np.full(3, 4)).tolist() == [4, 2, 0]
+
+
 def brute_coverage(hashes, pairs, sources):
     held = set()
     rows = [h for h in set(hashes) if None not in (h[0], h[1], h[2]) and side(h[4])]

@@ -4,7 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from sightline.llm.balanced_sample import balanced_samples, flight
+from sightline.llm.balanced_sample import BUCKETS, balanced_samples, flight
 from sightline.llm.frozen_sample import frozen_sample
 from sightline.llm.top_n import top_n
 
@@ -105,3 +105,22 @@ def test_top_n_equals_brute_force(spark, n):
         assert len(got) == len(set(got))
         assert set(got) == brute_top(rows, n)
     assert top_n(df.limit(0), ["source", "track_id"], "confidence", ["frame"], n).count() == 0
+
+
+def test_landing_keeps_the_size_of_a_plan(spark):
+    names = [b for b, _ in BUCKETS]
+    crops = spark.createDataFrame([(f"c{i}", None, names[i % 4]) for i in range(400)], "crop_id string, width_px int, bucket string")
+    plans = spark.createDataFrame([(p, b, 25, 0, 101) for p in range(30) for b in names], "plan_id int, bucket string, target_pct int, min_rows long, sample_rows long")
+    sample, report = balanced_samples(crops, plans, cell_rows=40, fan_in=3)
+    rows = report.collect()
+    assert {sum(r.drawn for r in rows if r.plan_id == p) for p in range(30)} == {101}
+    # 25.25 of each bucket: 25 or 26, and the residuals of a plan cancel.
+    assert {r.drawn for r in rows} == {25, 26} and all(abs(sum(r.residual for r in rows if r.plan_id == p)) < 1e-9 for p in range(30))
+    assert sample.count() == sample.distinct().count() == 3030
+
+
+def test_plans_in_portions(spark, monkeypatch):
+    monkeypatch.setattr("sightline.llm.balanced_sample.PLAN_ROWS", 3)
+    crops = spark.createDataFrame([(f"c{i}", 40, "x") for i in range(60)], "crop_id string, width_px int, bucket string")
+    plans = spark.createDataFrame([(p, "small (32-64px)", 100, 0, p) for p in range(1, 12)], "plan_id int, bucket string, target_pct int, min_rows long, sample_rows long")
+    assert {r.plan_id: r.drawn for r in balanced_samples(crops, plans)[1].collect()} == {p: p for p in range(1, 12)}
