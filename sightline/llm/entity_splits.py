@@ -58,6 +58,8 @@ class EntitySplits:
 
     def _of(self, name: str, schema: str, keys: DataFrame) -> DataFrame:
         """Stored rows that have one of ``keys`` (of columns of their own)."""
+        if not self._version():
+            return self._read(name, schema)
         return self._read(name, schema).join(runtime.broadcast_if_small(keys.distinct()), keys.columns, "left_semi")
 
     def _newest(self, rows: DataFrame) -> DataFrame:
@@ -103,18 +105,21 @@ class EntitySplits:
         rows = batch.select(F.col("record_id").cast("string").alias("record_id"), F.explode_outer("keys").alias("key")).where("record_id IS NOT NULL")
         rows = rows.withColumn("key", F.when(F.col("key").isNotNull(), F.concat(F.lit("k:"), "key"))).distinct()
         firsts = space.cut(rows.groupBy("record_id").agg(F.coalesce(F.min("key"), F.concat(F.lit("r:"), "record_id")).alias("first")), "records")
-        known = self._of("records", _RECORDS, firsts.select("record_id"))
-        firsts = space.cut(firsts.join(known.withColumnRenamed("node", "old"), "record_id", "left"), "firsts")
+        known = self._of("records", _RECORDS, firsts.select("record_id")).withColumnRenamed("node", "old")
+        firsts = space.cut(firsts.join(known, "record_id", "left"), "firsts") if version else firsts.withColumn("old", F.lit(None).cast("string"))
         links = rows.where("key IS NOT NULL").join(firsts, "record_id").select(F.col("first").alias("x"), F.col("key").alias("y"))
         links = links.unionByName(firsts.where("old IS NOT NULL").select(F.col("first").alias("x"), F.col("old").alias("y"))).where("x <> y").distinct()
         links = space.cut(links, "links")
         nodes = space.cut(firsts.select(F.col("first").alias("node")).union(links.select("x")).union(links.select("y")).distinct(), "keys")
 
         # Nodes of stored components stand for those; from here on, labels.
-        stored = space.cut(self._of("nodes", _NODES, nodes.select("node")), "stored")
+        stored = self._of("nodes", _NODES, nodes.select("node"))
+        if version:
+            stored = space.cut(stored, "stored")
         named = self._newest(self._of("comps", _COMPS, stored.select("comp"))).select("comp", F.col("root").alias("label"))
-        named = space.cut(named, "named")
-        held = space.cut(self._newest(self._of("comps", _COMPS, named.select(F.col("label").alias("comp")))).select(F.col("comp").alias("label"), "split", "size"), "held")
+        if version:
+            named = space.cut(named, "named")
+        held = self._newest(self._of("comps", _COMPS, named.select(F.col("label").alias("comp")))).select(F.col("comp").alias("label"), "split", "size")
         stored = stored.join(named, "comp").select("node", "label")
         nodes = space.cut(nodes.join(stored, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("label").isNull().alias("new")), "nodes")
         lx, ly = nodes.select(F.col("node").alias("x"), F.col("label").alias("lx")), nodes.select(F.col("node").alias("y"), F.col("label").alias("ly"))
@@ -132,16 +137,17 @@ class EntitySplits:
         whole = space.cut(whole.select("part", "root", "size", kind.alias("split")), "whole")
         manifest = self._manifest(version)
         # Of the stored sizes, what this batch touched counts as it leaves it.
-        by_split = lambda df: {r.split: r.n for r in df.where("split IS NOT NULL").groupBy("split").agg(F.sum("size").alias("n")).collect()}
+        size = lambda df, sign: df.where("split IS NOT NULL").select("split", (F.col("size") * sign).alias("size"))
+        change = lambda a, b: {r.split: r.n for r in size(a, 1).unionByName(size(b, -1)).groupBy("split").agg(F.sum("size").alias("n")).collect()}
         left = Counter(manifest["sizes"])
-        left.subtract(by_split(held))
-        left.update(by_split(whole))
-        new = self._place(whole.where("split IS NULL"), left)
-        placed = space.cut(whole.where("split IS NOT NULL").unionByName(new), "placed")
+        left.update(change(whole, labels))
+        placed = space.cut(whole.where("split IS NOT NULL").unionByName(self._place(whole.where("split IS NULL"), left)), "placed")
+        left.update(change(placed, whole))
 
         # A stored name that has a new root takes all names along that pointed to it.
         moved = labels.where("split IS NOT NULL").join(placed.select("part", "root"), "part").where("label <> root").select(F.col("label").alias("root"), F.col("root").alias("now"))
-        moved = space.cut(moved, "moved")
+        if version:
+            moved = space.cut(moved, "moved")
         pointing = self._newest(self._of("comps", _COMPS, self._of("comps", _COMPS, moved.select("root")).select("comp")))
         aliases = pointing.select("comp", "root").join(moved, "root").select("comp", F.col("now").alias("root"), F.lit(None).cast("string").alias("split"), F.lit(0).cast("long").alias("size"))
         out = placed.select(F.col("root").alias("comp"), "root", "split", "size").unionByName(aliases).withColumn("version", F.lit(version + 1).cast("long"))
@@ -149,7 +155,6 @@ class EntitySplits:
         new_nodes = runtime.lookup(nodes.where("new").join(labels.select("label", "part"), "label"), placed.select("part", F.col("root").alias("comp")), ["part"]).select("node", "comp")
         new_nodes.write.parquet(f"{at}/nodes")
         firsts.where("old IS NULL").select("record_id", F.col("first").alias("node")).write.parquet(f"{at}/records")
-        left.update(by_split(placed.join(whole.where("split IS NULL").select("part"), "part", "left_semi")))
         folders = self._merge([*manifest["folders"], [str(version + 1), 0]], version + 1)
         if not runtime.write_json(self.spark, f"{self.path}/manifests/{version + 1}.json", {"folders": folders, "sizes": left}):
             raise RuntimeError(f"another writer made version {version + 1}; apply the batch again")
