@@ -42,3 +42,13 @@ def split_side(split: Column) -> Column:
 def redistributable(licence: Column) -> Column:
     """Whether a licence has neither a no-derivatives nor a non-commercial clause, as words of their own."""
     return ~F.upper(licence).rlike(r"\b(ND|NC)\b")
+
+
+def first_result(results: Column) -> tuple[Column, Column]:
+    """(text, confidence) of the first of a reader's results, given as JSON: ``rec_text`` and ``rec_score`` of a list's first entry.
+
+    Whatever is missing or of another shape is an empty text, or a confidence of 0.
+    """
+    text = F.get_json_object(results, "$[0].rec_text")
+    score = F.get_json_object(results, "$[0].rec_score").try_cast("double")
+    return F.coalesce(text, F.lit("")), F.coalesce(score, F.lit(0.0))

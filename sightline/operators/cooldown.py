@@ -29,3 +29,14 @@ def history(df: DataFrame, key: str, ts_us: str) -> DataFrame:
     """First and last sighting and their number, for each key."""
     rows = df.where(F.col(key).isNotNull() & F.col(ts_us).isNotNull())
     return rows.groupBy(key).agg(F.min(ts_us).alias("first_us"), F.max(ts_us).alias("last_us"), F.count("*").alias("sightings"))
+
+
+def continued(df: DataFrame, seen: DataFrame, key: str, ts_us: str, ties: list[str], cooldown_us: int = COOLDOWN_US) -> DataFrame:
+    """``df`` with ``accepted``, as if the sightings of ``seen`` (``key``, last_us) had come before: one for each key, of which those that ``df`` has are looked at.
+
+    A stored sighting comes before new ones of its instant.
+    """
+    keys = df.where(F.col(key).isNotNull()).select(key).distinct()
+    old = seen.groupBy(key).agg(F.max("last_us").alias(ts_us)).join(keys, key, "left_semi").withColumn("_old", F.lit(True))
+    both = df.withColumn("_old", F.lit(False)).unionByName(old, allowMissingColumns=True).withColumn("_fresh", ~F.col("_old"))
+    return cooldown(both, key, ts_us, ["_fresh", *ties], cooldown_us).where("NOT _old").drop("_old", "_fresh", "sighting")

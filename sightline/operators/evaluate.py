@@ -188,3 +188,52 @@ def labelled_crops(crops: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.upper(F.trim("text"))
     clean = labels.where("crop_id IS NOT NULL").select("crop_id", text.alias("text")).where("text <> ''")
     return crops.join(clean, "crop_id")
+
+
+#: Why a label has no plate to be held against, in the order in which it is looked at.
+NO_RECORD, NO_FILE, NO_BOX, NO_IMAGE = "no_record", "no_file_name", "no_such_box", "image_missing"
+
+
+def labelled_plates(labels: DataFrame, records: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plates, skipped): labels (crop_id, text) with the box that each names, and those that name none.
+
+    A crop id is cut at its last #.  A label is skipped if its image isn't
+    among the ``records`` (image_id, boxes, file_name), has no file name, has
+    no box of that number, or, where ``files`` (file) are given, isn't there.
+    ``plates`` has crop_id, truth, image_id, box_index, box (corners) and
+    file_name; ``skipped`` has crop_id and reason.  An image with several
+    records gives a row for each; null and blank texts are no labels.
+    """
+    image_id, index = crop_key(F.col("crop_id"))
+    rows = labels.where("crop_id IS NOT NULL AND trim(text) <> ''").select("crop_id", F.upper(F.trim("text")).alias("truth"), image_id.alias("image_id"), index.alias("box_index"))
+    known = records.where("image_id IS NOT NULL").select("image_id", "boxes", "file_name", F.lit(True).alias("known"))
+    rows = rows.join(known, "image_id", "left")
+    box = F.try_element_at("boxes", F.col("box_index") + 1)
+    why = F.when(F.col("known").isNull(), NO_RECORD).when(F.coalesce("file_name", F.lit("")) == "", NO_FILE).when(F.col("box_index").isNull() | box.isNull(), NO_BOX)
+    if files is not None:
+        here = files.select(F.col("file").alias("file_name"), F.lit(True).alias("here")).distinct()
+        rows = rows.join(here, "file_name", "left")
+        why = why.when(F.col("here").isNull(), NO_IMAGE)
+    rows = rows.withColumn("reason", why)
+    plates = rows.where("reason IS NULL").select("crop_id", "truth", "image_id", "box_index", corners(box).alias("box"), "file_name")
+    return plates, rows.where("reason IS NOT NULL").select("crop_id", "reason")
+
+
+def end_to_end(plates: DataFrame, detections: DataFrame, texts: DataFrame, region: str | None = None, threshold: float = IOU_THRESHOLD) -> DataFrame:
+    """What became of every labelled plate: crop_id, truth, outcome, raw_text, final_text and detection_confidence.
+
+    ``plates`` is what ``labelled_plates`` gives; ``detections`` has image_id,
+    det_index, corners and confidence, ``texts`` (image_id, det_index, text)
+    what the reader says of them.  The detection that covers a box best is
+    read and held against the grammars; where none does the plate is missed,
+    and has neither texts nor confidence.
+    """
+    from sightline.functions.grammar import parse_plates
+
+    boxes = plates.select("image_id", "box_index", "box.*").distinct()
+    best = best_detections(boxes, detections, threshold).where("det_index IS NOT NULL").select("image_id", "box_index", "det_index", F.col("confidence").alias("detection_confidence"))
+    rows = plates.join(best, ["image_id", "box_index"], "left").join(texts.select("image_id", "det_index", F.col("text").alias("raw_text")), ["image_id", "det_index"], "left")
+    rows = rows.withColumn("raw_text", F.when(F.col("det_index").isNotNull(), F.coalesce("raw_text", F.lit("")))).withColumn("found", F.col("det_index").isNotNull())
+    rows = parse_plates(rows, "raw_text", "match", region=region).withColumn("final_text", F.col("match.text"))
+    out = outcomes(rows, detected="found")
+    return out.select("crop_id", "truth", "outcome", "raw_text", F.when(F.col("found"), F.coalesce("final_text", F.lit(""))).alias("final_text"), "detection_confidence")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline import runtime
+
 
 def _same(a: str, b: str, cols: list[str]):
     return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
@@ -50,3 +52,22 @@ def with_run(df: DataFrame, keys: list[str], at: str, gap: int, chunk: int, out:
     opened = opened.select(*keys, "_chunk", F.last("_opened", True).over(earlier).alias("_carried"))
     rows = rows.alias("r").join(opened.alias("s"), _same("r", "s", [*keys, "_chunk"])).select("r.*", "_carried")
     return rows.withColumn(out, F.coalesce("_own", "_carried")).drop("_chunk", "_before", "_last", "_opens", "_own", "_carried")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with a running number from 0 in ``order``, rows equal in it in any order.
+
+    Rows are sorted over range partitions, counted there, and numbered from
+    what the partitions before hold: no task sees more than its range.
+    """
+    space = runtime.Workspace(df.sparkSession, "numbered")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = space.cut(rows.withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = {r.p: r.n for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row for each partition
+    base, table = 0, []
+    for p in sorted(sizes):
+        table.append((p, base))
+        base += sizes[p]
+    offsets = df.sparkSession.createDataFrame(table, "_p long, _base long")
+    return rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_base") + place).drop("_p", "_base", "_id")

@@ -88,17 +88,31 @@ def sessionize(df: DataFrame, keys: list[str], ts_us: str = "ts_us", identity: l
     return edges.unionByName(local.where("NOT _edge").select(*keys, "start_us", "end_us", "n"))
 
 
+def near_stored(stored: DataFrame, local: DataFrame, keys: list[str], gap_us: int = GAP_US, chunk_us: int = CHUNK_US) -> DataFrame:
+    """Rows of ``stored`` less than ``gap_us`` away from an interval of ``local`` at their key.
+
+    Intervals meet in the chunks of time that they lie in, so that a hot key
+    is spread over its chunks.
+    """
+    spans = lambda df, pad: df.withColumn("_chunk", F.explode(F.sequence(F.floor((F.col("start_us") - pad) / chunk_us), F.floor((F.col("end_us") + pad) / chunk_us))))
+    s, n = spans(stored, 0).alias("s"), spans(local.select(*keys, "start_us", "end_us"), gap_us).alias("n")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keys] + [F.col("s._chunk") == F.col("n._chunk")]
+    close = (F.col("s.start_us") - F.col("n.end_us") < gap_us) & (F.col("n.start_us") - F.col("s.end_us") < gap_us)
+    return s.join(n, [*same, close], "left_semi").drop("_chunk").distinct()
+
+
 @dataclass
 class SessionTable:
     """A stored session table that takes batches of sightings in any order of arrival.
 
     Sessions lie in folders by the day of their start.  A batch's own sessions
-    are compared with the stored ones of the days within ``gap_us`` of it, and
-    components that it bridges are merged.  The touched days are written anew
-    beside the old ones; one small manifest, renamed into place, then puts the
-    new days in force together.  A reader sees the table before a batch or
-    after it; a writer that dies leaves the table as it was, and of two writers
-    at once one fails and can try again.
+    are compared with the stored ones of the days within ``gap_us`` of it;
+    components that it bridges are merged.  Only what changes is written: the
+    new sessions, and marks that withdraw those they take the place of.  One
+    small manifest, renamed into place, puts both in force together.  A reader
+    sees the table before a batch or after it; a writer that dies leaves the
+    table as it was, and of two writers at once one fails and can try again.  A
+    day that has gathered more than ``pieces`` folders is written anew.
 
     ``ledger`` keeps the sightings seen, by day, so that one delivered again in
     a later batch isn't counted twice.
@@ -110,17 +124,35 @@ class SessionTable:
     identity: list[str] = field(default_factory=list)
     gap_us: int = GAP_US
     chunk_us: int = CHUNK_US
+    pieces: int = 16
 
     def _version(self) -> int:
         names = runtime.list_names(self.spark, f"{self.path}/manifests")
         return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
 
     def _manifest(self, version: int) -> dict:
+        """For each day ``rows`` and ``dead``, folders of sessions and of withdrawn ones, and ``lo`` and ``hi``, the instants that its sessions lie between; and the ledger's folders by day."""
         return runtime.read_json(self.spark, f"{self.path}/manifests/{version}.json") if version else {"days": {}, "ledger": {}}
 
     def _read(self, folders: list[str], schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
+    def _live(self, days: list[dict], schema) -> DataFrame:
+        """The sessions of days that no later version withdrew."""
+        dated = self.spark.createDataFrame([], schema).withColumn("version", F.lit(0).cast("long")).schema
+        rows = self._read([f for d in days for f in d["rows"]], dated)
+        if dead := [f for d in days for f in d["dead"]]:
+            gone = self._read(dead, dated).select(*self.keys, "start_us", "version").alias("g")
+            same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (*self.keys, "start_us")]
+            rows = rows.alias("r").join(gone, [*same, F.col("r.version") < F.col("g.version")], "left_anti")
+        return rows.drop("version")
+
+    def _by_day(self, rows: DataFrame, version: int, at: str) -> list[str]:
+        """Write sessions by the day of their start; gives the days written."""
+        day = F.floor(F.col("start_us") / DAY_US)
+        rows.withColumn("version", F.lit(version).cast("long")).withColumn("day", day).hint("rebalance", "day").write.partitionBy("day").parquet(at)
+        return [n[4:] for n in runtime.list_names(self.spark, at) if n.startswith("day=")]
+
     def apply(self, batch: DataFrame, ts_us: str = "ts_us") -> int:
         """Merge a batch of sightings; returns the new version.
 
@@ -131,15 +163,13 @@ class SessionTable:
         manifest = self._manifest(version)
         at = f"{self.path}/data/{version + 1:06d}"
         runtime.delete(self.spark, at)
-        day = lambda c: F.floor(c / DAY_US)
-        rows = batch.select(*self.keys, F.col(ts_us).alias("ts_us"), *self.identity).where("ts_us IS NOT NULL").withColumn("day", day(F.col("ts_us")))
+        rows = batch.select(*self.keys, F.col(ts_us).alias("ts_us"), *self.identity).where("ts_us IS NOT NULL").withColumn("day", F.floor(F.col("ts_us") / DAY_US))
         if manifest["ledger"]:
             # Days are calendar days, so the list is bounded by the data's time span.
             days = [r.day for r in rows.select("day").distinct().collect()]
             old = [f for d in days for f in manifest["ledger"].get(str(d), [])]
             if old:
                 ident = [*self.keys, "ts_us", *self.identity]
-                rows = rows.distinct()
                 seen = self._read(old, rows.drop("day").schema)
                 rows = rows.alias("r").join(seen.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ident], "left_anti")
         rows.distinct().hint("rebalance", "day").write.partitionBy("day").parquet(f"{at}/ledger")
@@ -154,17 +184,21 @@ class SessionTable:
             i = bisect_left(new_days, (v["lo"] - self.gap_us) // DAY_US - 1)
             return i < len(new_days) and new_days[i] * DAY_US <= v["hi"] + self.gap_us
 
-        touched = {k: v for k, v in manifest["days"].items() if near(v)}
-        if touched:
-            stored = self._read([v["path"] for v in touched.values()], local.schema)
-            local = merge_intervals(stored.unionByName(local), self.keys, self.gap_us, self.chunk_us)
-        local.withColumn("day", day(F.col("start_us"))).hint("rebalance", "day").write.partitionBy("day").parquet(f"{at}/sessions")
-        new = {}
-        if any(n.startswith("day=") for n in runtime.list_names(self.spark, f"{at}/sessions")):
+        days = dict(manifest["days"])
+        space = runtime.Workspace(self.spark, "sessions")
+        if touched := [v for v in days.values() if near(v)]:
+            local = space.cut(local, "local")
+            met = space.cut(near_stored(self._live(touched, local.schema), local, self.keys, self.gap_us, self.chunk_us), "met")
+            for d in self._by_day(met, version + 1, f"{at}/dead"):
+                days[d] = days[d] | {"dead": [*days[d]["dead"], f"{at}/dead/day={d}"]}
+            local = merge_intervals(met.unionByName(local), self.keys, self.gap_us, self.chunk_us)
+        if self._by_day(local, version + 1, f"{at}/sessions"):
             written = self.spark.read.parquet(f"{at}/sessions")
             for r in written.groupBy("day").agg(F.min("start_us").alias("lo"), F.max("end_us").alias("hi")).collect():
-                new[str(r.day)] = {"path": f"{at}/sessions/day={r.day}", "lo": r.lo, "hi": r.hi}
-        days = {k: v for k, v in manifest["days"].items() if k not in touched} | new
+                old = days.get(str(r.day), {"rows": [], "dead": [], "lo": r.lo, "hi": r.hi})
+                days[str(r.day)] = {"rows": [*old["rows"], f"{at}/sessions/day={r.day}"], "dead": old["dead"], "lo": min(old["lo"], r.lo), "hi": max(old["hi"], r.hi)}
+        days = self._compact(days, version + 1, local.schema)
+        space.close()
         ledger = dict(manifest["ledger"])
         for d in fresh_days:
             ledger[d] = [*ledger.get(d, []), f"{at}/ledger/day={d}"]
@@ -172,12 +206,21 @@ class SessionTable:
             raise RuntimeError(f"another writer made version {version + 1}; apply the batch again")
         return version + 1
 
+    def _compact(self, days: dict, version: int, schema) -> dict:
+        many = [d for d, v in days.items() if len(v["rows"]) + len(v["dead"]) > self.pieces]
+        if not many:
+            return days
+        at = f"{self.path}/data/{version:06d}/whole"
+        written = set(self._by_day(self._live([days[d] for d in many], schema), version, at))
+        whole = {d: days[d] | {"rows": [f"{at}/day={d}"] if d in written else [], "dead": []} for d in many}
+        return days | whole
+
     def vacuum(self) -> None:
         """Remove what no longer counts: call it when no reader of an earlier version is left."""
         manifest = self._manifest(self._version())
-        kept = {v["path"] for v in manifest["days"].values()} | {f for v in manifest["ledger"].values() for f in v}
+        kept = {f for v in manifest["days"].values() for f in (*v["rows"], *v["dead"])} | {f for v in manifest["ledger"].values() for f in v}
         for name in runtime.list_names(self.spark, f"{self.path}/data"):
-            for kind in ("sessions", "ledger"):
+            for kind in runtime.list_names(self.spark, f"{self.path}/data/{name}"):
                 at = f"{self.path}/data/{name}/{kind}"
                 for day in runtime.list_names(self.spark, at):
                     if day.startswith("day=") and f"{at}/{day}" not in kept:
@@ -185,7 +228,7 @@ class SessionTable:
 
     def sessions(self, schema) -> DataFrame:
         """The sessions now in force; ``schema`` gives the columns' types, for a table that is still empty."""
-        return self._read([v["path"] for v in self._manifest(self._version())["days"].values()], schema)
+        return self._live(list(self._manifest(self._version())["days"].values()), schema)
 
 
 def sighting_keys(plate_events: DataFrame) -> DataFrame:

@@ -10,45 +10,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline import runtime
 from sightline.functions.geometry import MIN_READABLE_PX, primary_region
 from sightline.functions.identity import group_key
 
-#: Bins in which the values around a median are looked for.
-MEDIAN_BINS = 512
+#: Bins in which the values around a median are looked for, and distinct values that are ranked in one task.
+MEDIAN_BINS, RANKED = 512, 1_000_000
 
 
-def exact_median(df: DataFrame, value: str) -> float | None:
-    """The median of a column, the mean of the middle two for an even number; null if there are no values.
+def exact_medians(df: DataFrame, *values: str) -> tuple[float | None, ...]:
+    """The median of each column, the mean of the middle two for an even number; null if there are no values.
 
-    Nulls and NaN are left out.  Equal values are counted before the shuffle;
-    an approximate histogram tells the two bins that hold the middle, and only
-    their values are ranked.
+    Nulls and NaN are left out.  Values are counted once for all columns; an
+    approximate histogram tells the range that holds the middle, and is
+    refined until the range has few distinct values, which alone are ranked.
     """
-    v = F.col(value).cast("double")
-    counted = df.select(v.alias("v")).where("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
-    head = counted.agg(F.sum("n").alias("n"), F.percentile_approx("v", [i / MEDIAN_BINS for i in range(1, MEDIAN_BINS)], 10 * MEDIAN_BINS).alias("q")).first()
-    if not head.n:
-        return None
-    edges = sorted(set(head.q))
-    at = F.lit(0)
-    for_bins = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v")))
-    bins = {r.b: r.n for r in counted.groupBy((for_bins + at).alias("b")).agg(F.sum("n").alias("n")).collect()}
-    found = []
-    for k in ((head.n - 1) // 2, head.n // 2):
-        below = 0
+    entries = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)))).alias("e")
+    counted = df.select(entries).select("e.c", "e.v").where("v IS NOT NULL AND NOT isnan(v)").groupBy("c", "v").agg(F.count("*").alias("n"))
+    counted = runtime.Workspace(df.sparkSession, "medians").cut(counted, "counted")
+    totals = {r.c: r.n for r in counted.groupBy("c").agg(F.sum("n").alias("n")).collect()}  # a row for each column
+    out = []
+    for i in range(len(values)):
+        own, n = counted.where(F.col("c") == i), totals.get(i)
+        out.append(None if not n else (_ranked(own, (n - 1) // 2) + _ranked(own, n // 2)) / 2 if n % 2 == 0 else _ranked(own, n // 2))
+    return tuple(out)
+
+
+def _ranked(counted: DataFrame, k: int) -> float:
+    """The value of rank ``k``, from 0, of values ``v`` that stand ``n`` times."""
+    while True:
+        head = counted.agg(F.count("*").alias("rows"), F.percentile_approx("v", [j / MEDIAN_BINS for j in range(1, MEDIAN_BINS)], 10 * MEDIAN_BINS).alias("q")).first()
+        if head.rows <= RANKED:
+            upto = F.sum("n").over(W.orderBy("v"))
+            return counted.withColumn("upto", upto).where(F.col("upto") > k).agg(F.min("v")).first()[0]
+        edges = sorted(set(head.q))
+        number = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v")))
+        bins = {r.b: r.n for r in counted.groupBy(number.alias("b")).agg(F.sum("n").alias("n")).collect()}  # MEDIAN_BINS rows at most
         for b in sorted(bins):
-            if k < below + bins[b]:
-                low, high = (edges[b - 1] if b else None), (edges[b] if b < len(edges) else None)
-                part = counted
-                if low is not None:
-                    part = part.where(F.col("v") > low)
-                if high is not None:
-                    part = part.where(F.col("v") <= high)
-                upto = F.sum("n").over(W.orderBy("v"))
-                found.append(part.withColumn("upto", upto).where(F.col("upto") > k - below).agg(F.min("v")).first()[0])
+            if k < bins[b]:
                 break
-            below += bins[b]
-    return sum(found) / 2
+            k -= bins[b]
+        if b:
+            counted = counted.where(F.col("v") > edges[b - 1])
+        if b < len(edges):
+            counted = counted.where(F.col("v") <= edges[b])
+
+
+def exact_median(df: DataFrame, value: str) -> float | None:
+    """The median of one column, as ``exact_medians`` gives it."""
+    return exact_medians(df, value)[0]
 
 
 def with_group_key(records: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def dataset_stats(records: DataFrame) -> DataFrame:
     images = rows.agg(F.count("*").alias("images"), F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).alias("plates"), F.count_if(n <= 0).alias("images_without_plates"), F.count_distinct("group_key").alias("groups"))
     boxes = box_rows(records)
     per_box = boxes.agg(F.count_if(F.col("text") != "").alias("with_text"), F.count_if(F.col("pixel_width") < MIN_READABLE_PX).alias("tiny_plates"))
-    medians = spark.createDataFrame([(exact_median(boxes, "pixel_width"), exact_median(boxes, "pixel_height"))], "median_width double, median_height double")
+    medians = spark.createDataFrame([exact_medians(boxes, "pixel_width", "pixel_height")], "median_width double, median_height double")
     one = lambda df: df.withColumn("_one", F.lit(1))  # each side is a single row
     out = one(images).join(one(per_box), "_one").join(one(medians), "_one").drop("_one")
     return out.withColumn("plates_per_image", F.when(F.col("images") > 0, F.col("plates") / F.col("images")).otherwise(0.0))

@@ -188,15 +188,18 @@ def _logged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 # --- identity, statistics, splits ---
 
-_CLIP_SQL = r"""coalesce(nullif(regexp_extract(base, '(?i)^(.+?)[-_](?:mp4|avi|mov|mkv|webm)[-_]t[-_]\d+$', 1), ''), nullif(regexp_extract(base, '(?i)^(.*\bvideo\d+)_\d+$', 1), ''), nullif(regexp_extract(base, '(?i)^(.+?)[-_]?frame[-_]?\d+$', 1), ''))"""
-_BASE_SQL = r"regexp_replace(image_id, '(?i)_(?:jpe?g|png|bmp|webp|tiff?)\.rf\.[0-9a-f]{32}$', '')"
+# The patterns are the engine's own; RE2 has no flag for Unix lines and needs none.
+_re2 = lambda pattern: pattern.replace("(?id)", "(?i)")
+CLIP_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(base, '{_re2(p)}', 1), '')" for p in identity.CLIP_PATTERNS) + ")"
+SUFFIX_SQL = _re2(identity.EXPORT_SUFFIX)
+_BASE_SQL = f"regexp_replace(image_id, '{SUFFIX_SQL}', '')"
 _KEYED_SQL = f"""
-WITH b AS (SELECT *, {_BASE_SQL} AS base FROM manifest), k AS (SELECT *, {_CLIP_SQL} AS clip FROM b),
+WITH b AS (SELECT *, {_BASE_SQL} AS base FROM manifest), k AS (SELECT *, {CLIP_SQL} AS clip FROM b),
 m AS (SELECT *, row_number() OVER () AS row, coalesce(split_group, clip, nullif(base, ''), image_id) AS group_key FROM k)
 """
 
 
-@query("clip_identity", f"WITH b AS (SELECT DISTINCT image_id, {_BASE_SQL} AS base FROM manifest) SELECT image_id, base, {_CLIP_SQL} AS clip FROM b")
+@query("clip_identity", f"WITH b AS (SELECT DISTINCT image_id, {_BASE_SQL} AS base FROM manifest) SELECT image_id, base, {CLIP_SQL} AS clip FROM b")
 def clip_identity(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "manifest").select("image_id").distinct()
     return rows.select("image_id", identity.strip_export_suffix(F.col("image_id")).alias("base"), identity.clip_id(F.col("image_id")).alias("clip"))
@@ -588,3 +591,131 @@ SELECT crop_id, image_id, printf('%04d.png', n) AS file_name, width_px, bucket F
 def crop_refs(spark: SparkSession, d: str) -> DataFrame:
     """A labelling sample of the manifest's boxes."""
     return sampling.crop_refs(table(spark, d, "manifest"), 200)
+
+
+# --- exports, labels and whole runs ---
+
+_EXPORT_SQL = """
+WITH r AS (SELECT DISTINCT image_id, file_name FROM manifest), k AS (SELECT *, ('0x' || md5(image_id)[1:4])::INT AS k FROM r),
+p AS (SELECT *, CASE WHEN k % 10 < 7 THEN 'train' WHEN k % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM k),
+f AS (SELECT DISTINCT CASE WHEN coalesce(file_name, '') <> '' THEN file_name ELSE image_id || CASE WHEN k % 3 = 0 THEN '.PNG' ELSE '.jpg' END END AS file FROM k WHERE k % 11 > 0),
+w AS (SELECT *, nullif(file_name, '') AS want FROM p),
+o AS (SELECT file, regexp_extract(file, '^(.*)\\.[^.]*$', 1) AS stem, list_position(['jpg', 'jpeg', 'png', 'bmp', 'webp'], lower(regexp_extract(file, '([^.]*)$', 1))) AS rank FROM f),
+i AS (SELECT stem AS image_id, arg_min(file, (rank, file)) AS own FROM o WHERE rank > 0 GROUP BY 1),
+j AS (SELECT split, w.image_id, CASE WHEN want IS NOT NULL THEN f.file ELSE own END AS file FROM w LEFT JOIN f ON want = f.file LEFT JOIN i ON w.image_id = i.image_id)
+SELECT split, image_id, file, image_id || '.' || regexp_extract(file, '([^.]*)$', 1) AS name FROM j
+"""
+
+
+@query("export_images", _EXPORT_SQL)
+def export_images(spark: SparkSession, d: str) -> DataFrame:
+    """Where the image of every record of a tree goes, or that it is missing; splits and the files there are by a rule on a digest of the id."""
+    rows = table(spark, d, "manifest").select("image_id", "file_name").distinct()
+    k = F.conv(F.substring(F.md5("image_id"), 1, 4), 16, 10).cast("int")
+    here = rows.where(k % 11 > 0).select(F.when(F.coalesce("file_name", F.lit("")) != "", F.col("file_name")).otherwise(F.concat("image_id", F.when(k % 3 == 0, ".PNG").otherwise(".jpg"))).alias("file"))
+    return files.image_plan(rows.withColumn("split", F.when(k % 10 < 7, "train").when(k % 10 < 8, "val").otherwise("test")), here)
+
+
+# Labels are the manifest's own texts, some under ids that name nothing; a reader mistakes the first 1 or 0 of every third.
+_LABELLED_SQL = (
+    _DETECTED_SQL
+    + """, rec AS (SELECT DISTINCT image_id, boxes, file_name FROM manifest WHERE image_id IS NOT NULL),
+ln AS (SELECT DISTINCT image_id, box_index, upper(trim(b.text)) AS truth FROM (SELECT image_id, box_index, boxes[box_index + 1] AS b FROM i) WHERE trim(b.text) <> ''),
+lb AS (SELECT CASE WHEN h = 0 THEN 'no-' || image_id || '#' || box_index WHEN h = 1 THEN image_id || '#' || (box_index + 50) WHEN h = 2 THEN image_id || '#x' ELSE image_id || '#' || box_index END AS crop_id, truth FROM (SELECT *, ('0x' || md5(truth || image_id)[1:4])::INT % 40 AS h FROM ln)),
+lq AS (SELECT crop_id, truth, regexp_extract(crop_id, '^(.*)#[^#]*$', 1) AS image_id, try_cast(regexp_extract(crop_id, '#([0-9]+)$', 1) AS INT) AS box_index FROM lb),
+lj AS (SELECT lq.*, rec.file_name, boxes[lq.box_index + 1] AS box, CASE WHEN rec.image_id IS NULL THEN 'no_record' WHEN coalesce(rec.file_name, '') = '' THEN 'no_file_name' WHEN lq.box_index IS NULL OR lq.box_index >= len(boxes) THEN 'no_such_box' END AS reason FROM lq LEFT JOIN rec USING (image_id))
+"""
+)
+
+
+def labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plates, skipped, labels) of labels made from the manifest's texts."""
+    rows = table(spark, d, "manifest").where("image_id IS NOT NULL")
+    boxes = evaluate.truth_boxes(rows.select("image_id", "width", "boxes").distinct()).where("trim(text) <> ''").select("image_id", "box_index", F.upper(F.trim("text")).alias("text")).distinct()
+    h = F.conv(F.substring(F.md5(F.concat("text", "image_id")), 1, 4), 16, 10).cast("int") % 40
+    number = F.when(h == 1, (F.col("box_index") + 50).cast("string")).when(h == 2, "x").otherwise(F.col("box_index").cast("string"))
+    labels_ = boxes.select(F.concat(F.when(h == 0, "no-").otherwise(""), "image_id", F.lit("#"), number).alias("crop_id"), "text")
+    return (*evaluate.labelled_plates(labels_, rows.select("image_id", "boxes", "file_name").distinct()), labels_)
+
+
+@query("labels_skipped", _LABELLED_SQL + "SELECT crop_id, reason FROM lj WHERE reason IS NOT NULL")
+def labels_skipped(spark: SparkSession, d: str) -> DataFrame:
+    return labelled(spark, d)[1]
+
+
+@query(
+    "end_to_end",
+    _LABELLED_SQL
+    + """, bw AS (SELECT o.*, row_number() OVER (PARTITION BY image_id, box_index ORDER BY overlap DESC, det_index DESC, confidence DESC) AS r FROM o WHERE overlap >= 0.5),
+bb AS (SELECT * FROM bw WHERE r = 1),
+rd AS (SELECT image_id, box_index AS det_index, min(truth) AS t FROM ln GROUP BY ALL), rt AS (SELECT image_id, det_index, CASE WHEN length(t) % 3 = 0 THEN replace(replace(t, '1', 'I'), '0', 'O') WHEN length(t) % 7 = 0 THEN '' ELSE t END AS text FROM rd),
+ej AS (SELECT lj.crop_id, lj.truth, bb.det_index, bb.confidence AS detection_confidence, CASE WHEN bb.det_index IS NOT NULL THEN coalesce(rt.text, '') END AS raw_text FROM lj LEFT JOIN bb ON lj.image_id = bb.image_id AND lj.box_index = bb.box_index LEFT JOIN rt ON rt.image_id = lj.image_id AND rt.det_index = bb.det_index WHERE reason IS NULL),
+raws AS (SELECT DISTINCT raw_text AS raw FROM ej),"""
+    + _PARSE_SQL.rstrip()
+    + """, ef AS (SELECT ej.*, CASE WHEN raw_text <> '' THEN parsed.text END AS f FROM ej LEFT JOIN parsed ON raw = raw_text)
+SELECT crop_id, truth, CASE WHEN det_index IS NULL THEN 'detection_miss' WHEN f IS NULL THEN 'grammar_rejected' WHEN f = truth THEN 'correct' WHEN raw_text = truth THEN 'grammar_corrupted' ELSE 'ocr_error' END AS outcome,
+  raw_text, CASE WHEN det_index IS NOT NULL THEN coalesce(f, '') END AS final_text, detection_confidence FROM ef""",
+)
+def end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """What became of every labelled plate, with detections and readings made by rules from the truth."""
+    plates, _, _ = labelled(spark, d)
+    truth, detections = evaluation_tables(spark, d)
+    own = truth.where("trim(text) <> ''").groupBy("image_id", F.col("box_index").alias("det_index")).agg(F.min(F.upper(F.trim("text"))).alias("t"))
+    n = F.length("t")
+    texts = own.select("image_id", "det_index", F.when(n % 3 == 0, F.translate("t", "10", "IO")).when(n % 7 == 0, "").otherwise(F.col("t")).alias("text"))
+    return evaluate.end_to_end(plates, detections, texts)
+
+
+def whole_run(spark: SparkSession, d: str) -> pipeline.Run:
+    """All recorded detections followed anew and read as the log read their track at that frame or near it; frames are a second apart."""
+    rows = table(spark, d, "track_history").groupBy("source", "frame", "det_index").agg(F.min(F.struct("x1", "y1", "x2", "y2")).alias("b")).select("source", "frame", "det_index", "b.*").where("frame >= 0")
+    said = table(spark, d, "plate_events").where("source IS NOT NULL AND frame IS NOT NULL").groupBy("source", "frame").agg(F.min(F.struct("plate", "confidence")).alias("p"))
+    texts = rows.select("source", "frame", "det_index").join(said, ["source", "frame"]).select("source", "frame", "det_index", F.col("p.plate").alias("text"), F.col("p.confidence").alias("confidence"))
+    frames = rows.where("source IS NOT NULL").groupBy("source").agg(F.max("frame").alias("n")).select("source", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("frame"))
+    return pipeline.full_run(rows, texts, frames.withColumn("ts_us", F.col("frame").cast("long") * 1_000_000))
+
+
+@query("run_log")
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    return whole_run(spark, d).log
+
+
+@query("run_counts")
+def run_counts(spark: SparkSession, d: str) -> DataFrame:
+    return whole_run(spark, d).counts
+
+
+_RESUME_SQL = (
+    _SIGHTINGS_SQL
+    + """, c AS (SELECT quantile_disc(ts_us, 0.5) AS mid FROM s), n AS (SELECT s.* FROM s, c WHERE ts_us > mid), j AS (SELECT plate, max(ts_us) AS last_us FROM s, c WHERE ts_us <= mid GROUP BY plate),
+w AS (SELECT n.*, lag(n.ts_us) OVER (PARTITION BY plate ORDER BY n.ts_us, n.source, n.track_id NULLS FIRST, n.frame NULLS FIRST) AS prev, last_us FROM n LEFT JOIN j USING (plate))
+SELECT plate, source, ts_us, track_id, frame, coalesce(ts_us - coalesce(prev, last_us) >= 300000000, true) AS accepted FROM w"""
+)
+
+
+@query("cooldown_resumed", _RESUME_SQL)
+def cooldown_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Cooldown of the later half of all sightings, going on from the earlier half."""
+    rows = runtime.Workspace(spark, "resumed").cut(sightings(spark, d), "sightings")
+    mid = rows.agg(F.percentile("ts_us", 0.5)).first()[0]
+    ranked = rows.agg(F.count("*").alias("n")).first().n
+    if not ranked:
+        return rows.withColumn("accepted", F.lit(True))
+    mid = rows.where(F.col("ts_us") <= mid).agg(F.max("ts_us")).first()[0]
+    seen = rows.where(F.col("ts_us") <= mid).groupBy("plate").agg(F.max("ts_us").alias("last_us"))
+    return cooldown.continued(rows.where(F.col("ts_us") > mid), seen, "plate", "ts_us", ["source", "track_id", "frame"])
+
+
+_CLASS_SQL = """
+WITH i AS (SELECT DISTINCT image_id, dhash, contrast <= 4 AS blank, coalesce(nullif(region, 'XX'), '-') AS region FROM image_hashes WHERE image_id IS NOT NULL AND dhash IS NOT NULL AND contrast IS NOT NULL),
+c AS (SELECT dhash, blank, region, count(*) AS n, min(image_id) AS class_id FROM i GROUP BY ALL),
+l AS (SELECT a.dhash, a.blank, a.region, sum(b.n)::BIGINT - 1 AS links FROM c a JOIN c b ON a.blank = b.blank
+  WHERE a.dhash = b.dhash OR (NOT a.blank AND bit_count(xor(a.dhash, b.dhash)) <= CASE WHEN a.region <> '-' AND b.region <> '-' AND a.region <> b.region THEN 2 ELSE 5 END) GROUP BY ALL)
+SELECT image_id, class_id, links FROM i JOIN c USING (dhash, blank, region) JOIN l USING (dhash, blank, region)
+"""
+
+
+@query("near_dup_classes", _CLASS_SQL)
+def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every picture with its class of equal looks and the number of pictures near it, without pairs."""
+    return duplicates.duplicate_classes(table(spark, d, "image_hashes"))

@@ -92,7 +92,7 @@ def build_dataset(spark: SparkSession, raw_dir: str, out_dir: str, sources: list
     plan = splits.grouped_split(records, ratios, seed)
     splits.verify(records, plan, ratios)
     records = splits.assign(records, plan)
-    files.write_tree(records, tree)
+    files.write_tree(records, tree, image_root=raw_dir)
     return Dataset(records, manifest, tree, stats.dataset_stats(records), clusters)
 
 
@@ -120,6 +120,20 @@ def inspect_tree(spark: SparkSession, root: str) -> dict[str, object]:
 PROVENANCE = ("dataset", "training", "resolved_optimizer", "checkpoint", "metrics", "evaluation", "environment", "code", "timestamps", "notes")
 
 
+def provenance(facts: dict[str, object], paths: dict[str, str], records: DataFrame | None = None, metrics: dict[str, object] | None = None, **parts: object) -> dict[str, object]:
+    """The parts of a provenance record from what was measured: ``facts`` of ``inspect_tree``, paths, and metrics (validation, test, test_by_region; those not given are null).
+
+    ``records`` (with region) add the number of images of each region.
+    """
+    known = ("validation", "test", "test_by_region")
+    if unknown := set(metrics or ()) - set(known):
+        raise ValueError(f"unknown metrics: {', '.join(sorted(unknown))}")
+    dataset: dict[str, object] = {"paths": paths, "split": facts["labels"], "images": sum(facts["labels"].values()), "annotations": facts["annotations"], "export_sha256": facts["export_sha256"]}
+    if records is not None:
+        dataset["regions"] = {r.region: r.images for r in records.groupBy("region").agg(F.count("*").alias("images")).orderBy("region").collect()}  # a handful of codes
+    return {**parts, "dataset": dataset, "metrics": {k: (metrics or {}).get(k) for k in known}}
+
+
 def write_provenance(path: str, **parts: object) -> dict[str, object]:
     """Write what was measured in a run; parts not given are null, other names are an error."""
     if unknown := set(parts) - set(PROVENANCE):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import shutil
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.geometry import clipped
-from sightline.sources.labels import repeated_ids
+from sightline.sources.labels import IMAGE_TYPES, repeated_ids
 
 # Columns of the log with their headers and widths, and the sheet's name.
 COLUMNS = (
@@ -52,31 +54,106 @@ def label_tree(records: DataFrame) -> DataFrame:
     return records.select("split", F.concat("image_id", F.lit(".txt")).alias("name"), label_body(F.col("boxes")).alias("body"))
 
 
-def write_tree(records: DataFrame, root: str, names: tuple[str, ...] = ("license_plate",)) -> None:
-    """Write label files as ``labels/<split>/<name>`` under a folder that all executors share, from the executors, and ``data.yaml`` beside them.
+def image_plan(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Where the image of every record goes: split, image_id, file (as found, null if missing) and name (its place in the split's folder).
 
-    A file is written under another name and renamed, so a task that runs
-    again leaves the same files.
+    The image is the record's ``file_name``, or if that is null or empty, the file
+    named by its id with an image type (the first in the order of IMAGE_TYPES).
     """
-
-    def put(rows) -> None:
+    have = files.select("file").where("file IS NOT NULL").distinct()
+    named = F.coalesce("file_name", F.lit("")) != ""
+    kind = F.lower(F.substring_index("file", ".", -1))
+    rank = F.array_position(F.array(*map(F.lit, IMAGE_TYPES)), kind)
+    stem = F.expr("substr(file, 1, length(file) - length(substring_index(file, '.', -1)) - 1)")
+    by_id = have.where(rank > 0).select(stem.alias("image_id"), "file", rank.alias("rank")).groupBy("image_id").agg(F.min_by("file", F.struct("rank", "file")).alias("own"))
+    rows = records.select("split", "image_id", F.when(named, F.col("file_name")).alias("want"))
+    rows = rows.join(have.withColumnRenamed("file", "there"), F.col("want") == F.col("there"), "left").join(by_id, "image_id", "left")
+    file = F.when(F.col("want").isNotNull(), F.col("there")).otherwise(F.col("own"))
+    return rows.select("split", "image_id", file.alias("file"), F.concat("image_id", F.lit("."), F.substring_index(file, ".", -1)).alias("name"))
+
+
+def _open(uri: str):
+    """(file system, path) of an address; a bare path is a local one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
+
+
+def write_tree(records: DataFrame, root: str, names: tuple[str, ...] = ("license_plate",), image_root: str | None = None, images: DataFrame | None = None, link: bool = True, allow_missing: bool = False) -> DataFrame | None:
+    """Write ``labels/<split>/<id>.txt`` and, with ``image_root``, ``images/<split>/<id>.<type>`` below ``root``, from the executors, and ``data.yaml`` beside them.
+
+    ``root`` and ``image_root`` are folders that all executors share, by path
+    or address; executors that don't see the driver's mark in ``root`` are an
+    error.  ``images`` lists the files (file) below ``image_root``; if it isn't
+    given they are looked up.  On a local file system images are linked, by
+    relative paths, so that the tree can be moved, elsewhere or without
+    ``link`` copied.  A missing image is an error before anything is written; with
+    ``allow_missing`` its label is still written.  Files are written under
+    another name and renamed, so a task that runs again leaves the same tree.
+    Gives the missing ones (image_id), if images were asked for.
+    """
+    plan = None
+    if image_root is not None:
+        if images is None:
+            from sightline.sources.labels import image_files
+
+            images = image_files(records.sparkSession, image_root).select("file")
+        plan = image_plan(records, images)
+        missing = plan.where("file IS NULL").select("image_id")
+        if not allow_missing:
+            for r in missing.orderBy("image_id").limit(1).collect():
+                raise FileNotFoundError(f"no image of {r.image_id!r} under {image_root}")
+    fs, at = _open(root)
+    mark = f"{at}/.{uuid.uuid4().hex}"
+    for split in ("train", "val", "test"):
+        for kind in ("labels", "images"):
+            fs.create_dir(f"{at}/{kind}/{split}", recursive=True)
+    fs.open_output_stream(mark).close()
+
+    def shared():
+        own, here = _open(root)
+        if own.get_file_info(mark).type.name == "NotFound":
+            raise OSError(f"{root} isn't shared by all executors")
+        return own, here
+
+    def put_labels(rows) -> None:
+        own, here = shared()
         for r in rows:
-            folder = os.path.join(root, "labels", r.split)
-            os.makedirs(folder, exist_ok=True)
-            tmp = os.path.join(folder, f".{r.name}.{os.getpid()}")
-            with open(tmp, "w", encoding="utf-8") as f:
-                f.write(r.body)
-            os.replace(tmp, os.path.join(folder, r.name))
+            tmp = f"{here}/labels/{r.split}/.{r.name}.{uuid.uuid4().hex}"
+            with own.open_output_stream(tmp) as f:
+                f.write(r.body.encode())
+            own.move(tmp, f"{here}/labels/{r.split}/{r.name}")
+
+    def put_images(rows) -> None:
+        own, here = shared()
+        there, source = _open(image_root)
+        for r in rows:
+            tmp, end = f"{here}/images/{r.split}/.{r.name}.{uuid.uuid4().hex}", f"{here}/images/{r.split}/{r.name}"
+            if link and own.type_name == there.type_name == "local":
+                os.symlink(os.path.relpath(f"{source}/{r.file}", os.path.dirname(end)), tmp)
+                os.replace(tmp, end)
+            else:
+                with there.open_input_stream(f"{source}/{r.file}") as a, own.open_output_stream(tmp) as b:
+                    shutil.copyfileobj(a, b, 1 << 20)
+                own.move(tmp, end)
 
-    for split in ("train", "val", "test"):
-        os.makedirs(os.path.join(root, "labels", split), exist_ok=True)
-    label_tree(records).foreachPartition(put)
-    write_data_yaml(root, os.path.join(root, "data.yaml"), names)
+    try:
+        label_tree(records).foreachPartition(put_labels)
+        if plan is not None:
+            plan.where("file IS NOT NULL").foreachPartition(put_images)
+    finally:
+        fs.delete_file(mark)
+    tmp = f"{at}/.data.yaml.{uuid.uuid4().hex}"
+    with fs.open_output_stream(tmp) as f:
+        f.write(data_yaml(root, names).encode())
+    fs.move(tmp, f"{at}/data.yaml")
+    return missing if plan is not None else None
 
 
 def data_yaml(root: str, names: tuple[str, ...]) -> str:
     listed = "".join(f"  {i}: {n}\n" for i, n in enumerate(names))
-    return f"path: {os.path.abspath(root)}\ntrain: images/train\nval: images/val\ntest: images/test\n\nnames:\n{listed}"
+    place = root if "://" in root else os.path.abspath(root)
+    return f"path: {place}\ntrain: images/train\nval: images/val\ntest: images/test\n\nnames:\n{listed}"
 
 
 def write_data_yaml(root: str, path: str, names: tuple[str, ...], keep_original: bool = False) -> None:

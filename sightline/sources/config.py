@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import fields
+from dataclasses import dataclass, field, fields
 
 from sightline.operators.tracker import Settings
 from sightline.plans.pipeline import Options
@@ -32,6 +32,39 @@ def read_options(path: str) -> Options:
     return out
 
 
+@dataclass(frozen=True)
+class Training:
+    """What a training run that reads an exported tree is told; ``extra`` goes through to it as it is."""
+
+    model: str = "yolov8s.pt"
+    epochs: int = 100
+    batch: int = 16
+    imgsz: int = 640
+    close_mosaic: int = 10
+    flipud: float = 0.0
+    fliplr: float = 0.0
+    mosaic: float = 1.0
+    seed: int = 0
+    extra: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        wrong = [n for n in ("epochs", "batch") if getattr(self, n) < 1] + [n for n in ("flipud", "fliplr", "mosaic") if not 0 <= getattr(self, n) <= 1]
+        if self.imgsz < 32 or self.imgsz % 32:
+            wrong.append("imgsz (a multiple of 32)")
+        if self.close_mosaic > self.epochs:
+            wrong.append("close_mosaic (more than epochs)")
+        if wrong:
+            raise ValueError(f"settings out of range: {', '.join(wrong)}")
+
+
+def read_training(path: str) -> Training:
+    """Training settings of a YAML file; unknown names and values out of range are errors."""
+    value = _load(path)
+    if unknown := set(value) - {f.name for f in fields(Training)}:
+        raise ValueError(f"{path}: unknown settings {', '.join(sorted(map(str, unknown)))}; what is meant for the trainer itself goes under extra")
+    return Training(**value)
+
+
 def dataset_problems(path: str) -> list[str]:
     """What is missing in a dataset description: its keys path, train, val and names, and the folders it names."""
     if not os.path.exists(path):

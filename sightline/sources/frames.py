@@ -8,6 +8,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.operators.runs import numbered
+
 # File types of stills.
 STILL_TYPES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
 
@@ -42,12 +44,10 @@ def open_source(spec: str | int, is_dir: bool = False) -> FrameSource:
 
 def stills(spark: SparkSession, folder: str) -> DataFrame:
     """Images of a folder as frames: frame (by path, also for files that can't be decoded), source, width, height, and the image; undecodable files are left out."""
-    from pyspark.sql import Window as W
-
     files = spark.read.format("image").option("dropInvalid", "false").load(folder)
     rows = files.select(F.col("image.origin").alias("source"), "image").where(F.lower(F.regexp_extract("source", r"(\.[^.]*)$", 1)).isin(list(STILL_TYPES)))
     # Only names are ordered as a whole; the pictures stay where they are.
-    numbers = rows.select("source").withColumn("frame", F.row_number().over(W.orderBy("source")) - 1)
+    numbers = numbered(rows.select("source"), ["source"], "frame").withColumn("frame", F.col("frame").cast("int"))
     return rows.where("image.width > 0").join(numbers, "source").select("source", "frame", F.col("image.width").alias("width"), F.col("image.height").alias("height"), "image")
 
 

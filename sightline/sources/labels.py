@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +16,8 @@ from sightline.functions.identity import UPSTREAM_DIRS, clip_id
 
 # File types of images.
 IMAGE_TYPES = ("jpg", "jpeg", "png", "bmp", "webp")
+#: Bytes of an image file that are read for its size at first; the whole file only if they don't tell.
+HEADER_BYTES = 1 << 16
 BOX = "struct<cx: double, cy: double, w: double, h: double, text: string, region: string>"
 MANIFEST = f"image_id string, width int, height int, boxes array<{BOX}>, file_name string, split_group string, source string, meta map<string, string>"
 #: In files the group goes by its plain name.
@@ -80,12 +84,34 @@ def header_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+def _file_system(path: str):
+    """(file system, path there) of an address as Spark gives it."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    plain = re.sub("^file:/*", "/", path)
+    return (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def _size_at(path: str) -> tuple[int | None, int | None]:
+    """(width, height) of the image at an address, from as little of it as will do; nulls if it is none."""
+    own, at = _file_system(path)
+    with own.open_input_file(at) as f:
+        head = f.read(HEADER_BYTES)
+        size = header_size(head)
+        if size is None and head[:2] == b"\xff\xd8" and len(head) == HEADER_BYTES:
+            size = header_size(head + f.read())
+    return size or (None, None)
+
+
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """Images below ``folder``, by path: path, file (relative), stem, width, height; sizes are null where the header can't be read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = F.lit(spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/")
     plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    rows = files.select("path", "content", F.substring(plain, F.length(root) + 1, F.length(plain)).alias("file"))
+    # Without the content column the scan only lists the files.
+    rows = files.select("path", F.substring(plain, F.length(root) + 1, F.length(plain)).alias("file"))
     rows = rows.where(F.lower(F.substring_index("file", ".", -1)).isin(list(IMAGE_TYPES)))
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("file", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
@@ -93,8 +119,8 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            sizes = [header_size(x.as_py()) or (None, None) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int32())], names=["path", "file", "width", "height"])
+            sizes = [_size_at(x.as_py()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int32())], names=["path", "file", "width", "height"])
 
     stem = F.regexp_replace(F.regexp_extract("file", "([^/]*)$", 1), r"\.[^.]*$", "")
     return rows.mapInArrow(run, schema).withColumn("stem", stem)
@@ -102,14 +128,23 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_files(spark: SparkSession, folder: str) -> DataFrame:
     """Label files directly in ``folder``: stem and body."""
-    from urllib.parse import unquote
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-    stem = lambda name: F.regexp_replace(name, r"\.txt$", "").alias("stem")
-    read = files.select(stem(F.regexp_extract("path", "([^/]*)$", 1)), F.decode("content", "UTF-8").alias("body"))
-    # Readers skip empty files, which are labels without boxes; their names are in the listing that the driver holds anyway.
-    names = spark.createDataFrame([(unquote(f.rsplit("/", 1)[1]),) for f in files.inputFiles()], "name string").select(stem("name"))
-    return names.join(read, "stem", "left").select("stem", F.coalesce("body", F.lit("")).alias("body"))
+    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.txt$", "").alias("stem")
+    read = files.select(stem, F.decode("content", "UTF-8").alias("body"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+    # Readers skip empty files, which are labels without boxes; a task lists the folder for them.
+    def empty(batches):
+        import pyarrow as pa
+        from pyarrow.fs import FileSelector
+
+        for _ in batches:
+            own, place = _file_system(at)
+            names = [f.base_name[:-4] for f in own.get_file_info(FileSelector(place)) if f.base_name.endswith(".txt") and not f.size]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names), pa.string())], names=["stem", "body"])
+
+    return read.unionByName(spark.range(0, 1, 1, 1).mapInArrow(empty, "stem string, body string"))
 
 
 @dataclass
@@ -172,15 +207,35 @@ def export_tree(spark: SparkSession, root: str, source: str, region: str = "XX",
     return out
 
 
+def _manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of manifest files with ``path``, ``at`` (block and place, in the order of the file), ``r`` (the record) and ``error`` (null for good and blank lines)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).withColumn("place", F.monotonically_increasing_id())
+    known = F.from_json("value", "image_id string, width int, height int")
+    made, blank = F.from_json("value", _JSON), F.trim("value") == ""
+    bad_box = F.exists(F.coalesce(made["boxes"], F.array().cast(f"array<{BOX}>")), lambda b: ~valid_box(b))
+    small = (F.coalesce(known["width"], F.lit(0)) <= 0) | (F.coalesce(known["height"], F.lit(0)) <= 0)
+    why = F.when(blank, None).when(F.coalesce(known["image_id"], F.lit("")) == "", "malformed manifest line").when(small, "width and height must be positive").when(bad_box, "a box outside the image")
+    return lines.select("path", F.struct("block", "place").alias("at"), "value", made.alias("r"), why.alias("error"), blank.alias("blank"))
+
+
+def manifest_problems(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``line`` (from 1) and ``error`` of every line of manifest files that is no record; lines are numbered in files that have one only."""
+    lines = _manifest_lines(spark, path).select("path", "at", "error")
+    own = lines.join(lines.where("error IS NOT NULL").select("path").distinct(), "path", "left_semi")
+    return own.withColumn("line", F.row_number().over(W.partitionBy("path").orderBy("at"))).where("error IS NOT NULL").select("path", "line", "error")
+
+
 def read_manifest(spark: SparkSession, path: str, unique: bool = False) -> DataFrame:
-    """Manifest records of JSON lines; blank lines are skipped, a malformed line is an error, absent fields get their defaults.
+    """Manifest records of JSON lines; blank lines are skipped, a malformed line is an error that names its file, absent fields get their defaults.
 
-    With ``unique``, an id that comes twice is an error.
+    With ``unique``, all lines are looked at beforehand: a bad one is an error
+    with file and line, and so is an id that comes twice.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    made = F.from_json("value", _JSON)
-    broken = F.raise_error(F.concat(F.lit("malformed manifest line: "), F.substring("value", 1, 80)))
-    rows = lines.select(F.coalesce(F.when(F.from_json("value", "image_id string")["image_id"].isNull(), broken.cast(made_type(_JSON))), made).alias("r")).select("r.*").withColumnRenamed("group", "split_group")
+    if unique:
+        for r in manifest_problems(spark, path).orderBy("path", "line").limit(1).collect():
+            raise ValueError(f"{r.path}:{r.line}: {r.error}")
+    broken = F.raise_error(F.concat("path", F.lit(": "), F.col("error"), F.lit(": "), F.substring("value", 1, 80)))
+    rows = _manifest_lines(spark, path).where("NOT blank").select(F.coalesce(F.when(F.col("error").isNotNull(), broken.cast(made_type(_JSON))), F.col("r")).alias("r")).select("r.*").withColumnRenamed("group", "split_group")
     boxes = F.transform(F.coalesce("boxes", F.array().cast(f"array<{BOX}>")), lambda b: b.withField("region", F.coalesce(b["region"], F.lit("XX"))))
     rows = rows.withColumn("boxes", boxes).withColumn("meta", F.coalesce("meta", F.create_map().cast("map<string, string>")))
     if unique:

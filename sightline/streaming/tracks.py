@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sightline import runtime
 from sightline.functions import grammar
+from sightline.operators.cooldown import continued
 from sightline.operators.sessions import SessionTable
 from sightline.operators.tracker import Sequence, Settings
 from sightline.operators.vote import vote
@@ -91,22 +92,42 @@ def cooled(sightings: DataFrame, cooldown_us: int, ttl: str = "1 day") -> DataFr
     return rows.groupBy("plate").applyInPandasWithState(step, "plate string, ts_us long, accepted boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+LOGGED = "plate string, display string, region string, confidence double, edits int, track_id long, frame long, source string, ts_us long, accepted boolean"
+
+
 class PlateLog:
     """A log of plates that takes finished tracks trigger by trigger.
 
     Every trigger's rows lie in a folder named by its number, written whole
     and replaced if the trigger runs again, so a restart adds nothing twice.
-    Beside them lies each plate's last sighting, suppressed ones included.
+    Beside them lies each plate's last sighting, suppressed ones included; one
+    that lies ``keep`` before all of a trigger's rows is forgotten.
+    ``compact`` gathers the rows of all triggers so far in one folder.
     """
 
-    def __init__(self, spark: SparkSession, path: str, options: Options = Options()):
+    def __init__(self, spark: SparkSession, path: str, options: Options = Options(), keep: str = "30 days"):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
+        self.keep_us = int(pd.Timedelta(keep).total_seconds() * 1_000_000)
+
+    def _numbers(self, kind: str) -> list[int]:
+        names = runtime.list_names(self.spark, f"{self.path}/done")
+        return sorted(int(n.split("-")[1]) for n in names if n.startswith(f"{kind}-") and n.split("-")[1].isdigit())
 
     def _before(self, batch: int) -> list[int]:
-        return sorted(int(n[8:]) for n in runtime.list_names(self.spark, f"{self.path}/done") if n.startswith("trigger-") and int(n[8:]) < batch)
+        return [b for b in self._numbers("trigger") if b < batch]
+
+    def _gathered(self) -> int:
+        """The last trigger that is gathered; -1 if none is."""
+        return max(self._numbers("upto"), default=-1)
 
     def __call__(self, tracks: DataFrame, batch: int) -> None:
         """The function for ``foreachBatch``."""
+        if batch <= self._gathered():
+            return
+        with runtime.scope():
+            self._take(tracks, batch)
+
+    def _take(self, tracks: DataFrame, batch: int) -> None:
         keys = ["source", "track_id"]
         reads = tracks.select(*keys, F.explode("texts").alias("t")).select(*keys, "t.text", "t.confidence")
         voted = vote(reads, keys, min_reads=self.options.min_reads).select(*keys, F.col("text").alias("voted"), F.col("confidence").alias("vote_confidence"))
@@ -117,16 +138,14 @@ class PlateLog:
             F.col("match.edits").alias("edits"), "track_id", F.col("first_frame").alias("frame"), "source", "ts_us",
         )
         seen = self._last(batch)
-        old = seen.select("plate", F.col("last_us").alias("ts_us")).withColumn("old", F.lit(True))
-        from sightline.operators.cooldown import cooldown
-
-        both = rows.withColumn("old", F.lit(False)).unionByName(old.join(rows.select("plate").distinct(), "plate", "left_semi"), allowMissingColumns=True)
-        # A stored sighting comes before new ones of its instant.
-        kept = cooldown(both.withColumn("fresh", ~F.col("old")), "plate", "ts_us", ["fresh", "source", "track_id"], self.options.cooldown_us)
-        kept = kept.where("NOT old").drop("old", "fresh", "sighting")
-        kept.write.mode("overwrite").parquet(f"{self.path}/rows/trigger-{batch:012d}")
-        written = self.spark.read.schema(kept.schema).parquet(f"{self.path}/rows/trigger-{batch:012d}")
+        kept = continued(rows, seen, "plate", "ts_us", ["source", "track_id"], self.options.cooldown_us)
+        at = f"{self.path}/rows/trigger-{batch:012d}"
+        kept.write.mode("overwrite").parquet(at)
+        written = self.spark.read.schema(kept.schema).parquet(at)
+        first = written.agg(F.min("ts_us")).first()[0]
         now = seen.unionByName(written.select("plate", F.col("ts_us").alias("last_us"))).groupBy("plate").agg(F.max("last_us").alias("last_us"))
+        if first is not None:
+            now = now.where(F.col("last_us") >= first - self.keep_us)
         now.write.mode("overwrite").parquet(f"{self.path}/seen/trigger-{batch:012d}")
         runtime.delete(self.spark, f"{self.path}/done/trigger-{batch:012d}")
         runtime.write_json(self.spark, f"{self.path}/done/trigger-{batch:012d}", {"trigger": batch})
@@ -139,13 +158,33 @@ class PlateLog:
             return self.spark.createDataFrame([], "plate string, last_us long")
         return self.spark.read.schema("plate string, last_us long").parquet(f"{self.path}/seen/trigger-{done[-1]:012d}")
 
+    def _folders(self) -> list[str]:
+        upto = self._gathered()
+        own = [f"{self.path}/rows/upto-{upto:012d}"] if upto >= 0 else []
+        return own + [f"{self.path}/rows/trigger-{b:012d}" for b in self._numbers("trigger") if b > upto]
+
+    def compact(self) -> None:
+        """Gather what all finished triggers wrote; the last trigger's number stays, as do the last sightings."""
+        done = self._before(1 << 62)
+        if len(self._folders()) < 2:
+            return
+        before, at = self._gathered(), f"{self.path}/rows/upto-{done[-1]:012d}"
+        self.spark.read.schema(LOGGED).parquet(*self._folders()).hint("rebalance").write.mode("overwrite").parquet(at)
+        runtime.write_json(self.spark, f"{self.path}/done/upto-{done[-1]:012d}", {"trigger": done[-1]})
+        for b in done:
+            runtime.delete(self.spark, f"{self.path}/rows/trigger-{b:012d}")
+            if b != done[-1]:
+                runtime.delete(self.spark, f"{self.path}/done/trigger-{b:012d}")
+        if before >= 0:
+            runtime.delete(self.spark, f"{self.path}/rows/upto-{before:012d}")
+            runtime.delete(self.spark, f"{self.path}/done/upto-{before:012d}")
+
     def rows(self) -> DataFrame:
         """The log as far as triggers are done: accepted rows."""
-        done = self._before(1 << 62)
-        schema = "plate string, display string, region string, confidence double, edits int, track_id long, frame long, source string, ts_us long, accepted boolean"
-        if not done:
-            return self.spark.createDataFrame([], schema).drop("accepted")
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/rows/trigger-{b:012d}" for b in done)).where("accepted").drop("accepted")
+        folders = self._folders()
+        if not folders:
+            return self.spark.createDataFrame([], LOGGED).drop("accepted")
+        return self.spark.read.schema(LOGGED).parquet(*folders).where("accepted").drop("accepted")
 
 
 def stream_log(frames: DataFrame, log: PlateLog, checkpoint: str, idle: str = "10 minutes"):

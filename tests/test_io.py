@@ -173,3 +173,47 @@ def test_lookup_of_hot_keys_and_by_broadcast(spark, monkeypatch):
         monkeypatch.setattr(runtime, "BROADCAST_ROWS", limit)
         assert runtime.lookup(rows, small, ["k"]).count() == 51
         assert runtime.lookup(rows, small, ["k"], how="left").count() == 53
+
+
+def test_manifest_problems_name_file_and_line(spark, tmp_path):
+    good = '{"image_id":"a","width":4,"height":3,"boxes":[]}'
+    (tmp_path / "m1").write_text("\n".join([good, "", "not json", good.replace("4", "0"), '{"width":1,"height":1}', good.replace("[]", '[{"cx":0.5,"cy":0.5,"w":3,"h":0.1}]')]) + "\n")
+    (tmp_path / "m2").write_text(good + "\n")
+    got = [(r.path.rsplit("/", 1)[1], r.line, r.error) for r in labels.manifest_problems(spark, str(tmp_path)).orderBy("line").collect()]
+    assert got == [("m1", 3, "malformed manifest line"), ("m1", 4, "width and height must be positive"), ("m1", 5, "malformed manifest line"), ("m1", 6, "a box outside the image")]
+    with pytest.raises(ValueError, match="m1:3: malformed"):
+        labels.read_manifest(spark, str(tmp_path), unique=True)
+    assert labels.manifest_problems(spark, str(tmp_path / "m2")).count() == 0
+
+
+def test_tree_with_its_images(spark, tmp_path):
+    raw = tmp_path / "raw" / "x"
+    raw.mkdir(parents=True)
+    for n in ("one.png", "b.JPG", "b.png"):
+        (raw / n).write_bytes(n.encode())
+    rows = [("a", 10, 20, [], "x/one.png", None, None, {}, "train"), ("x/b", 10, 20, [], None, None, None, {}, "val"), ("gone", 1, 1, [], "x/none.png", None, None, {}, "test")]
+    df = spark.createDataFrame(rows, MANIFEST + ", split string")
+    have = spark.createDataFrame([("x/one.png",), ("x/b.JPG",), ("x/b.png",), (None,), ("x/one.png",)], "file string")
+    assert {(r.image_id, r.file, r.name) for r in files.image_plan(df, have).collect()} == {("a", "x/one.png", "a.png"), ("x/b", "x/b.JPG", "x/b.JPG"), ("gone", None, None)}
+    df = df.withColumn("image_id", F.regexp_replace("image_id", "x/", ""))
+    with pytest.raises(FileNotFoundError, match="'b'"):
+        files.write_tree(df, str(tmp_path / "t"), image_root=str(tmp_path / "raw"), images=have)
+    assert not (tmp_path / "t").exists()
+    named = df.withColumn("file_name", F.coalesce("file_name", F.lit("x/b.png")))
+    for link in (True, False):
+        out = tmp_path / f"t{link}"
+        missing = files.write_tree(named, str(out), image_root=str(tmp_path / "raw"), images=have, link=link, allow_missing=True)
+        assert [r.image_id for r in missing.collect()] == ["gone"]
+        assert (out / "images/train/a.png").read_bytes() == b"one.png" and (out / "images/val/b.png").is_symlink() == link
+        assert (out / "labels/test/gone.txt").exists() and not list((out / "images/test").iterdir())
+        assert not [p for p in out.rglob(".*")]
+
+
+def test_sizes_from_headers_only(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (48).to_bytes(4, "big") + b"rest" * 99
+    frame = b"\xff\xc0\0\x11\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + b"\0" * 20
+    far = b"\xff\xd8" + (b"\xff\xe1" + (65000).to_bytes(2, "big") + b"x" * 64998) * 3 + frame  # beyond what is read at first
+    for n, body in (("p q.png", png), ("far.jpg", far), ("no.jpg", b"text"), ("empty.png", b"")):
+        (tmp_path / n).write_bytes(body)
+    got = {r.file: (r.width, r.height, r.stem) for r in labels.image_files(spark, str(tmp_path)).collect()}
+    assert got["p q.png"] == (640, 48, "p q") and got["far.jpg"] == (40, 30, "far") and got["no.jpg"][:2] == (None, None)

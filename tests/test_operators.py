@@ -334,3 +334,50 @@ def test_tracks(spark):
     assert tracker.follow(spark.createDataFrame([], DET)).count() == 0
     h = spark.createDataFrame([("s", 1, 5, 0, 0.9), ("s", 1, 3, 1, 0.9), ("s", 1, 4, 0, float("nan")), ("s", None, 1, 0, 1.0)], "source string, track_id int, frame int, det_index int, confidence double")
     assert [(r.frame, r.det_index) for r in tracker.best_sightings(h).collect()] == [(3, 1)]
+
+
+def test_labels_that_name_nothing_are_skipped(spark):
+    box = (0.5, 0.5, 0.2, 0.1, "T", "IN")
+    records = spark.createDataFrame([("a#b", [box, box], "f.png", "x"), ("c", [box], None, "x"), ("d", [], "d.png", "x"), ("e", None, "e.png", "x"), (None, [box], "n.png", "x")], "image_id string, boxes array<struct<cx: double, cy: double, w: double, h: double, text: string, region: string>>, file_name string, truth string")
+    rows = [("a#b#1", " ab1 "), ("a#b#2", "X"), ("a#b#z", "X"), ("c#0", "X"), ("d#0", "X"), ("e#0", "X"), ("gone#0", "X"), ("bare", "X"), (None, "X"), ("a#b#0", " ")]
+    labels = spark.createDataFrame(rows, "crop_id string, text string")
+    plates, skipped = evaluate.labelled_plates(labels, records)
+    assert [(r.crop_id, r.truth, r.image_id, r.box_index) for r in plates.collect()] == [("a#b#1", "AB1", "a#b", 1)]
+    assert {r.crop_id: r.reason for r in skipped.collect()} == {"a#b#2": "no_such_box", "a#b#z": "no_such_box", "c#0": "no_file_name", "d#0": "no_such_box", "e#0": "no_such_box", "gone#0": "no_record", "bare": "no_record"}
+    plates, skipped = evaluate.labelled_plates(labels, records, spark.createDataFrame([("d.png",)], "file string"))
+    assert plates.count() == 0 and skipped.where("reason = 'image_missing'").count() == 1
+
+
+def test_numbers_along_an_order(spark):
+    from sightline.operators.runs import numbered
+
+    rows = [(f"k{(i * 7919) % 1000:04d}",) for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "k string").repartition(5), ["k"], "n").orderBy("k").collect()
+    assert [r.n for r in got] == list(range(1000))
+    assert numbered(spark.createDataFrame([], "k string"), ["k"], "n").count() == 0
+
+
+def test_medians_of_several_columns_refine_their_range(spark, monkeypatch):
+    from sightline.operators.stats import exact_medians
+
+    r = random.Random(3)
+    rows = [(r.choice([r.random(), 5.0, None, float("nan")]), float(i)) for i in range(4001)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    kept = sorted(a for a, _ in rows if a is not None and a == a)
+    want = (kept[(len(kept) - 1) // 2] + kept[len(kept) // 2]) / 2
+    monkeypatch.setattr("sightline.operators.stats.RANKED", 20)
+    assert exact_medians(df, "a", "b") == (want, 2000.0)
+    assert exact_medians(df.limit(0), "a", "b") == (None, None)
+
+
+def test_components_finish_in_one_task_or_not_alike(spark, monkeypatch):
+    from sightline import runtime
+    from sightline.operators.components import components, named_by_smallest
+
+    edges = spark.createDataFrame([(f"a{i}", f"a{i + 1}") for i in range(40)] + [("b", "c"), ("c", "b"), ("d", "d"), (None, "x")], "x string, y string")
+    got = []
+    for most in (500_000, -1):
+        monkeypatch.setattr("sightline.operators.components.TASK_EDGES", most)
+        space = runtime.Workspace(spark, "t")
+        got.append({tuple(r) for r in named_by_smallest(space, components(space, edges)).collect()})
+    assert got[0] == got[1] == {(f"a{i}", "a0") for i in range(41)} | {("b", "b"), ("c", "b")}

@@ -124,3 +124,35 @@ def test_stream_cooldown_and_sessions(spark, tmp_path):
     one = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")).withColumn("ts_us", F.unix_micros("ts"))
     want = sessionize(one, ["plate"])
     assert sorted(map(tuple, store.sessions(want.schema).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_full_run_counts_and_goes_on_from_a_journal(spark):
+    det, texts, times = tables(spark, passes=(0, 40))
+    done = pipeline.full_run(det, texts, times)
+    c = done.counts.first().asDict()
+    live = c["ocr_calls"]  # confirmed tracks in every frame that they are alive in
+    assert (c["frames"], c["detections"], c["tracks_completed"], c["suppressed"], c["logged"]) == (80, 20, 2, 1, 1) and live > 10
+    short = pipeline.full_run(det, texts, times, max_frames=40)
+    assert short.counts.first().frames == 40 and short.counts.first().tracks_completed == 1
+    at = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+    journal = spark.createDataFrame([("MH12AB1234", at + dt.timedelta(seconds=5), 0), ("MH12AB1234", at, 1)], "plate string, ts timestamp, line long")
+    resumed = pipeline.full_run(det, texts, times, journal=journal)
+    assert resumed.log.count() == 0 and resumed.stats.first().suppressed == 2
+    old = journal.withColumn("ts", F.lit(at - dt.timedelta(days=1)))
+    assert pipeline.full_run(det, texts, times, journal=old).log.count() == 1
+
+
+def test_log_gathers_and_forgets(spark, tmp_path):
+    log = streaming.PlateLog(spark, str(tmp_path / "log"), pipeline.Options(min_reads=1), keep="1 hour")
+    track = lambda i, s, text: ("cam", i, 1, 9, s * 1_000_000, 3, [(text, 0.9)])
+    take = lambda n, *rows: log(spark.createDataFrame(list(rows), streaming.READS), n)
+    take(0, track(1, 0, "MH12AB1234"), track(2, 10, "PO2427W"))
+    take(1, track(3, 100, "MH12AB1234"))
+    log.compact()
+    take(1, track(9, 5000, "MH12AB1234"))  # a trigger that was gathered runs again
+    take(2, track(4, 200, "MH12AB1234"), track(5, 20_000, "PO2427W"))
+    assert sorted((r.plate, r.track_id) for r in log.rows().collect()) == [("MH12AB1234", 1), ("PO2427W", 2), ("PO2427W", 5)]
+    take(3, track(6, 30_000, "PO2427W"))
+    assert [r.plate for r in log._last(4).collect()] == ["PO2427W"]  # the other was last seen long before
+    log.compact()
+    assert log.rows().count() == 4 and log._folders() == [f"{tmp_path}/log/rows/upto-{3:012d}"]
