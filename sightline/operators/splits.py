@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -24,9 +25,13 @@ def normalize_ratios(ratios: dict[str, float]) -> dict[str, float]:
     return {k: v / sum(ratios.values()) for k, v in ratios.items()}
 
 
-def rank(text: str, seed: int) -> int:
-    """A stable pseudorandom rank: the 64-bit BLAKE2b digest of seed and text."""
-    return int.from_bytes(hashlib.blake2b(f"{seed}:{text}".encode(), digest_size=8).digest(), "big")
+#: What ranks are taken from; the first is the default.
+DIGESTS = {"blake2b": lambda b: hashlib.blake2b(b, digest_size=8).digest(), "md5": lambda b: hashlib.md5(b).digest()[:8]}
+
+
+def rank(text: str, seed: int, digest: str = "blake2b") -> int:
+    """A stable pseudorandom rank: 64 bits of a digest of seed and text."""
+    return int.from_bytes(DIGESTS[digest](f"{seed}:{text}".encode()), "big")
 
 
 def owned_groups(records: DataFrame, group: str = "group_key", region: str = "region") -> DataFrame:
@@ -35,7 +40,7 @@ def owned_groups(records: DataFrame, group: str = "group_key", region: str = "re
     return sizes.groupBy("group_key").agg(F.min(F.struct("region", "size")).alias("o")).select("group_key", "o.region", "o.size")
 
 
-def grouped_split(records: DataFrame, ratios: dict[str, float] | None = None, seed: int = 0, group: str = "group_key", region: str = "region") -> DataFrame:
+def grouped_split(records: DataFrame, ratios: dict[str, float] | None = None, seed: int = 0, group: str = "group_key", region: str = "region", digest: str = "blake2b") -> DataFrame:
     """``group_key`` and ``split``: every group in one split, shares met within each region.
 
     Within a region groups are placed largest first (equal sizes by rank),
@@ -54,19 +59,24 @@ def grouped_split(records: DataFrame, ratios: dict[str, float] | None = None, se
 
     def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(rank=[f"{rank(g, seed):016x}" for g in f["group_key"]])
+            yield f.assign(rank=[f"{rank(g, seed, digest):016x}" for g in f["group_key"]])
+
+    names, parts = list(shares), np.array(list(shares.values()))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, missing = None, {}
+        here, goal, filled = None, parts, np.zeros(len(parts))
         for f in frames:
-            out = []
-            for g, r, n, total in zip(f["group_key"], f["region"], f["size"], f["total"]):
-                if r != at:
-                    at, placed = r, dict.fromkeys(shares, 0)
-                best = max(shares, key=lambda s: (shares[s] * total - placed[s], -rank(f"{g}:{s}", seed)))
-                placed[best] += n
-                out.append(best)
-            yield pd.DataFrame({"group_key": f["group_key"], "split": out})
+            chosen = []
+            for row in f.itertuples():
+                if row.region != here:
+                    here, goal, filled = row.region, parts * row.total, np.zeros(len(parts))
+                gap = goal - filled
+                open_ = np.flatnonzero(gap == gap.max())
+                if len(open_) > 1:  # ranks are only asked for where splits tie
+                    open_ = sorted(open_, key=lambda i: rank(f"{row.group_key}:{names[i]}", seed, digest))
+                filled[open_[0]] += row.size
+                chosen.append(names[open_[0]])
+            yield pd.DataFrame({"group_key": f["group_key"], "split": chosen})
 
     rows = groups.mapInPandas(ranked, "group_key string, region string, size long, total long, rank string")
     rows = rows.repartition("region").sortWithinPartitions("region", F.desc("size"), "rank", "group_key")

@@ -298,6 +298,65 @@ def split_problems(spark: SparkSession, d: str) -> DataFrame:
     return splits.coverage(rows, splits.grouped_split(rows))
 
 
+# The same split from ranks that the SQL can make too.
+_SHARES = splits.normalize_ratios(splits.RATIOS)
+_CHOICE = "list_sort([" + ", ".join(f"{{'gap': {c} - {_SHARES[n]!r}::DOUBLE * total, 'rank': md5('0:' || t.group_key || ':{n}')[1:16], 'split': '{n}'}}" for n, c in zip(splits.SPLITS, "abc")) + "])[1].split"
+_SPLIT_SQL = (
+    _KEYED_SQL.replace("WITH b", "WITH RECURSIVE b", 1)
+    + _REGION_SQL
+    + f""", h AS (SELECT group_key, region, count(*) AS size FROM i GROUP BY ALL), g AS (SELECT group_key, min(region) AS region, arg_min(size, region) AS size FROM h WHERE group_key IS NOT NULL GROUP BY group_key),
+t AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY size DESC, md5('0:' || group_key)[1:16], group_key) AS n, sum(size) OVER (PARTITION BY region)::BIGINT AS total FROM g),
+f AS (SELECT DISTINCT region, 0::BIGINT AS n, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, NULL::VARCHAR AS group_key, NULL::VARCHAR AS split FROM t
+  UNION ALL SELECT region, n, a + CASE WHEN split = 'train' THEN size ELSE 0 END, b + CASE WHEN split = 'val' THEN size ELSE 0 END, c + CASE WHEN split = 'test' THEN size ELSE 0 END, group_key, split
+  FROM (SELECT t.region, t.n, a, b, c, size, t.group_key, {_CHOICE} AS split FROM f JOIN t ON t.region = f.region AND t.n = f.n + 1)),
+s AS (SELECT group_key, split FROM f WHERE n > 0)
+"""
+)
+
+
+def _md5_split(rows: DataFrame) -> DataFrame:
+    return splits.grouped_split(rows, digest="md5")
+
+
+@query("grouped_split_md5", _SPLIT_SQL + "SELECT * FROM s")
+def grouped_split_md5(spark: SparkSession, d: str) -> DataFrame:
+    return _md5_split(manifest(spark, d))
+
+
+@query("split_counts_md5", _SPLIT_SQL + ", o AS (SELECT unnest(['train', 'val', 'test']) AS split) SELECT split, count(group_key) AS images FROM o LEFT JOIN (SELECT m.group_key, s.split FROM m JOIN s USING (group_key)) USING (split) GROUP BY split")
+def split_counts_md5(spark: SparkSession, d: str) -> DataFrame:
+    rows = manifest(spark, d)
+    return splits.split_counts(splits.assign(rows, _md5_split(rows)))
+
+
+@query(
+    "split_problems_damaged",
+    _KEYED_SQL
+    + ", k2 AS (SELECT DISTINCT group_key FROM m WHERE group_key IS NOT NULL) SELECT 'unassigned' AS problem, group_key AS name FROM k2 WHERE ('0x' || md5(group_key)[1:4])::INT % 20 = 0 UNION ALL SELECT 'stale', 'gone:' || group_key FROM k2 WHERE ('0x' || md5(group_key)[1:4])::INT % 20 = 1",
+)
+def split_problems_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """What the check of a split finds when a twentieth of its groups is lost and as many name groups that aren't there."""
+    rows = manifest(spark, d)
+    plan = _md5_split(rows)
+    k = F.conv(F.substring(F.md5("group_key"), 1, 4), 16, 10).cast("int") % 20
+    extra = plan.where(k == 1).select(F.concat(F.lit("gone:"), "group_key").alias("group_key"), "split")
+    return splits.coverage(rows, plan.where(k != 0).unionByName(extra))
+
+
+@query(
+    "tree_fingerprint_md5",
+    _SPLIT_SQL
+    + """, z AS (SELECT split, image_id, coalesce(list_aggregate([printf('0 %.6f %.6f %.6f %.6f' || chr(10), v.cx, v.cy, v.w, v.h) FOR v IN boxes], 'string_agg', ''), '') AS body FROM m JOIN s USING (group_key)),
+w AS (SELECT split, image_id || '.txt' AS name, min(body) AS body FROM z GROUP BY ALL)
+SELECT sha256(string_agg(split || '/' || name || body, '' ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, name)) AS sha256 FROM w""",
+)
+def tree_fingerprint_md5(spark: SparkSession, d: str) -> DataFrame:
+    rows = manifest(spark, d).where("image_id IS NOT NULL")
+    tree = splits.assign(rows, _md5_split(rows)).where("split IS NOT NULL").select("split", F.concat("image_id", F.lit(".txt")).alias("name"), files.label_body(F.col("boxes"), clip=False).alias("body"))
+    tree = tree.groupBy("split", "name").agg(F.min("body").alias("body"))
+    return spark.createDataFrame([(stats.export_fingerprint(tree),)], "sha256 string")
+
+
 @query(
     "label_lines",
     """WITH x AS (SELECT DISTINCT image_id, boxes FROM manifest) SELECT image_id, coalesce(list_aggregate([printf('0 %.6f %.6f %.6f %.6f' || chr(10), b.cx, b.cy, b.w, b.h) FOR b IN boxes], 'string_agg', ''), '') AS body FROM x""",
@@ -667,12 +726,15 @@ def end_to_end(spark: SparkSession, d: str) -> DataFrame:
 
 
 def whole_run(spark: SparkSession, d: str) -> pipeline.Run:
-    """All recorded detections followed anew and read as the log read their track at that frame or near it; frames are a second apart."""
+    """All recorded detections followed anew, each read as its recorded track was logged; frames are a second apart."""
     rows = table(spark, d, "track_history").groupBy("source", "frame", "det_index").agg(F.min(F.struct("x1", "y1", "x2", "y2")).alias("b")).select("source", "frame", "det_index", "b.*").where("frame >= 0")
-    said = table(spark, d, "plate_events").where("source IS NOT NULL AND frame IS NOT NULL").groupBy("source", "frame").agg(F.min(F.struct("plate", "confidence")).alias("p"))
-    texts = rows.select("source", "frame", "det_index").join(said, ["source", "frame"]).select("source", "frame", "det_index", F.col("p.plate").alias("text"), F.col("p.confidence").alias("confidence"))
+    said = table(spark, d, "plate_events").where("source IS NOT NULL AND track_id IS NOT NULL AND plate <> ''").groupBy("source", "track_id").agg(F.min("plate").alias("text"))
+    of_track = table(spark, d, "track_history").where("track_id IS NOT NULL").groupBy("source", "frame", "det_index").agg(F.min("track_id").alias("track_id"))
+    texts = of_track.join(said, ["source", "track_id"]).select("source", "frame", "det_index", "text", F.lit(0.9).alias("confidence"))
     frames = rows.where("source IS NOT NULL").groupBy("source").agg(F.max("frame").alias("n")).select("source", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("frame"))
-    return pipeline.full_run(rows, texts, frames.withColumn("ts_us", F.col("frame").cast("long") * 1_000_000))
+    # The recorded boxes hardly overlap from frame to frame, so that one hit and one reading have to do.
+    options = pipeline.Options(tracking=tracker.Settings(max_age=2, min_hits=1), min_reads=1)
+    return pipeline.full_run(rows, texts, frames.withColumn("ts_us", F.col("frame").cast("long") * 1_000_000), options)
 
 
 @query("run_log")
