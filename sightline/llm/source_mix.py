@@ -86,19 +86,31 @@ class Mix:
         return self.slots.select("shard", "slot", "source", "epoch", "block").join(self.pieces, ["source", "block"]).drop("block")
 
     def tokens(self, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-        """The mixture itself: shard, slot, and the token numbers of its pieces, each with the doc_id it comes from."""
-        schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("first_token", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        """The mixture itself: shard, slot, and the token numbers of its pieces, each with the doc_id it comes from.
+
+        Every document is encoded once and cut at its blocks' edges; the pieces
+        then meet their slots by block, however often those repeat them.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encode = encoder(vocabulary).encode_ordinary
             for b in batches:
-                x = b.to_pydict()
-                ids = [encode(t)[a : a + n] for t, a, n in zip(x["text"], x["first_token"], x["tokens"])]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(ids, schema.field(4).type)], schema=schema)
-
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-        rows = self.documents().join(texts, "doc_id").select("shard", "slot", "doc_id", "first_token", "tokens", "text")
-        return rows.mapInArrow(run, "shard long, slot long, doc_id long, first_token long, ids array<int>")
+                out: list[list] = [[], [], [], [], []]
+                for doc, text, source, pieces in zip(*(c.to_pylist() for c in b.columns)):
+                    ids = encode(text)
+                    for p in pieces:
+                        for column, v in zip(out, (source, p["block"], doc, p["first_token"], ids[p["first_token"] : p["first_token"] + p["tokens"]])):
+                            column.append(v)
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["source", "block", "doc_id", "first_token", "ids"])
+
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").alias("_of")).where("text IS NOT NULL").dropDuplicates(["doc_id", "_of"])
+        # A document's pieces: as many as it has blocks.
+        own = self.pieces.groupBy("doc_id", "source").agg(F.collect_list(F.struct("block", "first_token", "tokens")).alias("pieces"))
+        cut = own.join(texts, (own["doc_id"] == texts["doc_id"]) & (own["source"] == texts["_of"])).select(own["doc_id"], "text", "source", "pieces")
+        made = cut.mapInArrow(run, "source string, block long, doc_id long, first_token long, ids array<int>")
+        # The planner sizes the slots by the few draws they come from.
+        return self.slots.select("shard", "slot", "source", "block").join(made.hint("merge"), ["source", "block"]).select("shard", "slot", "doc_id", "first_token", "ids")
 
 
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = 5) -> Mix:
