@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import identity
 from sightline.llm import balanced_sample, cross_split, entity_splits, frozen_sample, leak_search, match_groups, residue, source_mix, top_n
+from sightline.plans.core_queries import CLIP_SQL, SUFFIX_SQL
 from sightline.runtime import Workspace, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,11 +147,11 @@ def entity_table(spark: SparkSession, d: str) -> entity_splits.EntitySplits:
     return store
 
 
-_P6_SQL = r"""
+_P6_SQL = f"""
 WITH RECURSIVE m AS (SELECT DISTINCT image_id, split_group FROM manifest WHERE image_id IS NOT NULL),
-s AS (SELECT m.*, id_prefix, regexp_replace(regexp_extract(image_id[length(id_prefix) + 1:], '^(?:train|valid|val|test)-(.+)$', 1), '(?i)_(?:jpe?g|png|bmp|webp|tiff?)\.rf\.[0-9a-f]{32}$', '') AS base
+s AS (SELECT m.*, id_prefix, regexp_replace(regexp_extract(image_id[length(id_prefix) + 1:], '^(?:train|valid|val|test)-(.+)$', 1), '{SUFFIX_SQL}', '') AS base
       FROM m LEFT JOIN (SELECT DISTINCT id_prefix FROM roboflow_sources) p ON starts_with(image_id, id_prefix) AND regexp_matches(image_id[length(id_prefix) + 1:], '^(?:train|valid|val|test)-.+$')),
-k AS (SELECT *, coalesce(nullif(regexp_extract(base, '(?i)^(.+?)[-_](?:mp4|avi|mov|mkv|webm)[-_]t[-_]\d+$', 1), ''), nullif(regexp_extract(base, '(?i)^(.*\bvideo\d+)_\d+$', 1), ''), nullif(regexp_extract(base, '(?i)^(.+?)[-_]?frame[-_]?\d+$', 1), '')) AS clip FROM s),
+k AS (SELECT *, {CLIP_SQL} AS clip FROM s),
 n AS (SELECT image_id, 'g|' || split_group AS node FROM k WHERE split_group IS NOT NULL UNION SELECT image_id, 'c|' || id_prefix || '|' || clip FROM k WHERE clip IS NOT NULL),
 e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM n a JOIN n b USING (image_id)),
 r AS (SELECT DISTINCT node, node AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),

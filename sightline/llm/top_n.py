@@ -22,7 +22,7 @@ def top_n(df: DataFrame, keys: list[str], score: str, ties: list[str], n: int =
     rows.
 
     Scores are cut into ranges by quantiles of all rows, so that equal scores
-    share a band.  From the top, each band drops the groups already filled,
+    share a band, and written once by range.  From the top, each band drops the groups already filled,
     removes repeats (combined before the shuffle), and ranks what is left, of
     which each task passes on at most ``2n - 1`` items per group: a group of
     any size never meets in one task.
@@ -42,21 +42,18 @@ def top_n(df: DataFrame, keys: list[str], score: str, ties: list[str], n: int =
     stats = rows.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.struct(*k)).alias("groups"), F.percentile_approx("s", [i / grid for i in range(1, grid)], 2000).alias("q")).first()
     # The first band holds about twice what the groups need, each next one four times as much.
     edges, share = [], 2 * n * stats.groups / max(1, stats.rows)
-    while stats.rows and share < 1 and len(edges) < bands - 1:
+    while stats.rows and len(edges) < bands - 1 and (share < 1 or not edges):
         edges.append(stats.q[min(grid - 2, max(0, round((1 - share) * grid) - 1))])
         share *= 4
     edges = sorted(set(edges), reverse=True)
     space, picked = runtime.Workspace(spark, "top"), []
     order = [F.desc("s"), *(F.asc_nulls_first(c) for c in t)]
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    upper = None
-    for lower in [*edges, None]:
-        band = rows
-        if lower is not None:
-            band = band.where(F.col("s") >= lower)
-        if upper is not None:
-            band = band.where(F.col("s") < upper)
-        upper = lower
+    # Bands are counted from the top; each is a folder of its own, so that the table is cut into ranges once.
+    number = reduce(lambda n, e: n + F.when(F.col("s") < e, 1).otherwise(0), edges, F.lit(0))
+    rows = space.cut(rows.withColumn("band", number), "bands", ["band"])
+    for i in range(len(edges) + 1):
+        band = rows.where(F.col("band") == i).drop("band")
         if picked:
             taken = reduce(DataFrame.unionByName, picked)
             have = taken.groupBy(*k).agg(F.count("*").alias("have"))
