@@ -183,6 +183,14 @@ def crop_key(crop_id: Column) -> tuple[Column, Column]:
     return F.substring(crop_id, F.lit(1), F.length(crop_id) - F.length(tail) - 1), index
 
 
+def check_aligned(truth: DataFrame, predictions: DataFrame) -> None:
+    """Raise unless both tables are of the same images (image_id), as a comparison of one with the other needs."""
+    a, b = truth.select("image_id").where("image_id IS NOT NULL").distinct(), predictions.select("image_id").where("image_id IS NOT NULL").distinct()
+    lone = {"truth": a.join(b, "image_id", "left_anti").count(), "predictions": b.join(a, "image_id", "left_anti").count()}
+    if any(lone.values()):
+        raise ValueError(f"images of one side only: {lone['truth']} of the truth, {lone['predictions']} of the predictions")
+
+
 def labelled_crops(crops: DataFrame, labels: DataFrame) -> DataFrame:
     """Crops with their label: crop_id and text of ``labels``, trimmed, in upper case, blanks dropped."""
     text = F.upper(F.trim("text"))

@@ -781,3 +781,48 @@ SELECT image_id, class_id, links FROM i JOIN c USING (dhash, blank, region) JOIN
 def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every picture with its class of equal looks and the number of pictures near it, without pairs."""
     return duplicates.duplicate_classes(table(spark, d, "image_hashes"))
+
+
+@query("end_to_end_missed", SQL["end_to_end"].replace("detection_confidence FROM ef", "detection_confidence FROM ef WHERE det_index IS NULL ORDER BY crop_id LIMIT 10"))
+def end_to_end_missed(spark: SparkSession, d: str) -> DataFrame:
+    """The first plates that no detection covers."""
+    return evaluate.failures(end_to_end(spark, d), text.MISSED)
+
+
+@query(
+    "vote_detail",
+    _VOTE_SQL
+    + """, x AS (SELECT source, track_id, pos, round(CASE WHEN total > 0 THEN CAST(w AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0 END, 3) AS a FROM q WHERE k = 1),
+y AS (SELECT source, track_id, list(a ORDER BY pos) AS per_character, arg_min(pos, (a, pos)) - 1 AS weakest FROM x GROUP BY ALL)
+SELECT source, track_id, CAST(round(CAST(round(agreement * lc / ln, 9) AS DECIMAL(12, 9)), 3) AS DOUBLE) AS confidence, round(agreement, 3) >= 1 AS unanimous, CASE WHEN round(agreement, 3) < 1 THEN weakest END AS weakest_position, per_character
+FROM v JOIN b USING (source, track_id) JOIN y USING (source, track_id) WHERE b.k = 1""",
+)
+def vote_detail(spark: SparkSession, d: str) -> DataFrame:
+    """How sure each vote is, as a whole and at each character."""
+    return vote.vote(plate_reads(spark, d), ["source", "track_id"]).select("source", "track_id", "confidence", "unanimous", F.col("weakest_position").cast("long").alias("weakest_position"), "per_character")
+
+
+@query("plate_hints", "SELECT DISTINCT display, nullif(regexp_extract(upper(display), '^\\s*([A-ZÄÖÜ]{1,3})\\s*[-–—.\\s]\\s*[A-Z]', 1), '') AS hint FROM plate_events WHERE display IS NOT NULL")
+def plate_hints(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "plate_events").where("display IS NOT NULL").select("display", text.district_hint(F.col("display")).alias("hint")).distinct()
+
+
+@query("attribution", "SELECT source_tag, licence, url, NOT regexp_matches(upper(licence), '\\b(ND|NC)\\b') AS redistributable FROM roboflow_sources")
+def attribution(spark: SparkSession, d: str) -> DataFrame:
+    from sightline.plans.dataset import attribution
+
+    return attribution(table(spark, d, "roboflow_sources"))
+
+
+@query(
+    "label_errors",
+    """WITH x AS (SELECT DISTINCT image_id, boxes FROM manifest WHERE image_id IS NOT NULL AND len(boxes) > 0), k AS (SELECT *, ('0x' || md5(image_id)[1:4])::INT % 6 AS k, len(boxes) AS n FROM x)
+SELECT image_id, n, CASE k WHEN 0 THEN 'line 2: expected 5 fields, got 3' WHEN 1 THEN 'line 2: not a number' WHEN 2 THEN 'line 2: box outside the image' END AS error, CASE WHEN k = 3 THEN 1 ELSE 0 END AS dropped, n + CASE WHEN k >= 4 THEN 1 ELSE 0 END AS boxes FROM k""",
+)
+def label_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Label files with a second line by a rule: too short, no number, no size, of another class, good, good and longer; before it a blank one counts."""
+    rows = table(spark, d, "manifest").where("image_id IS NOT NULL AND size(boxes) > 0").select("image_id", "boxes").distinct()
+    k = F.conv(F.substring(F.md5("image_id"), 1, 4), 16, 10).cast("int") % 6
+    line = F.when(k == 0, "0 0.5 0.5").when(k == 1, "0 a 0.5 0.1 0.1").when(k == 2, "0 0.5 0.5 0 0.1").when(k == 3, "7 0.5 0.5 0.1 0.1").when(k == 4, "0 0.5 0.5 0.1 0.1").otherwise("0  0.5 0.5\t0.1 0.1 0.9")
+    parsed = rows.select("image_id", F.size("boxes").alias("n"), labels.parse_label(F.concat(F.lit("\n"), line, F.lit("\r\n"), files.label_body(F.col("boxes"))), keep=(0,)).alias("p"))
+    return parsed.select("image_id", "n", "p.error", "p.dropped", F.size("p.boxes").alias("boxes"))

@@ -75,19 +75,23 @@ class Run:
     counts: DataFrame
 
 
-def full_run(detections: DataFrame, texts: DataFrame, frames: DataFrame, options: Options = Options(), max_frames: int | None = None, journal: DataFrame | None = None) -> Run:
+def full_run(detections: DataFrame, texts: DataFrame, frames: DataFrame, options: Options = Options(), max_frames: int | None = None, journal: DataFrame | None = None, stop: DataFrame | None = None) -> Run:
     """From detections, a reader's texts, and frame times to the log.
 
     ``texts`` has source, frame, det_index, text and confidence: what the
     reader says of a detection; ``frames`` has source, frame and ts_us, frames
     numbered from 0.  A track is dated by the frame in which it ended, or the
     last one.  With ``max_frames``, a source's frames from that number on are
-    as if they had never been.  A reader is called for every confirmed track
+    as if they had never been; with ``stop`` (source, frame), those after a
+    source's frame there.  A reader is called for every confirmed track
     alive in a frame that is read; where the frame doesn't show it there is no
     detection to have a text.
     """
     if max_frames is not None:
         detections, texts, frames = (df.where(F.col("frame") < max_frames) for df in (detections, texts, frames))
+    if stop is not None:
+        ends = stop.groupBy("source").agg(F.min("frame").alias("_stop"))
+        detections, texts, frames = (runtime.lookup(df, ends, ["source"], "left").where("_stop IS NULL OR frame <= _stop").drop("_stop") for df in (detections, texts, frames))
     space = runtime.Workspace(detections.sparkSession, "run")
     live = space.cut(tracker.follow(detections, options.tracking, frames.groupBy("source").agg((F.max("frame") + 1).alias("frames"))), "live")
     requests = tracker.reading_requests(live, options.ocr_every)

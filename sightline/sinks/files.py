@@ -180,6 +180,30 @@ def journal_lines(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*(cell(n, c) for n, c in fields)), {"ignoreNullFields": "false"}).alias("line"))
 
 
+def append_journal(events: DataFrame, path: str) -> int:
+    """Append events to a journal file, in order of time, plate and track; the lines are on the disk when this returns.  Gives their number.
+
+    A journal is one sequence, so its lines stream through the driver, one
+    partition at a time.  A torn last line of an interrupted run is ended first.
+    """
+    fs, at = _open(path)
+    rows = events.orderBy("ts", "plate", "source", "track_id")
+    info, n = fs.get_file_info(at), 0
+    torn = False
+    if info.is_file and info.size:
+        with fs.open_input_file(at) as f:
+            f.seek(info.size - 1)
+            torn = f.read(1) != b"\n"
+    with fs.open_append_stream(at) as f:
+        if torn:
+            f.write(b"\n")
+        for r in journal_lines(rows).toLocalIterator():
+            f.write(r.line.encode() + b"\n")
+            n += 1
+        f.flush()
+    return n
+
+
 def log_rows(events: DataFrame) -> DataFrame:
     """The ten columns of the log in their order; columns that events lack are null."""
     return events.select(*((F.col(c) if c in events.columns else F.lit(None)).alias(c) for c, _, _ in COLUMNS))

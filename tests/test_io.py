@@ -217,3 +217,17 @@ def test_sizes_from_headers_only(spark, tmp_path):
         (tmp_path / n).write_bytes(body)
     got = {r.file: (r.width, r.height, r.stem) for r in labels.image_files(spark, str(tmp_path)).collect()}
     assert got["p q.png"] == (640, 48, "p q") and got["far.jpg"] == (40, 30, "far") and got["no.jpg"][:2] == (None, None)
+
+
+def test_journal_is_appended_to(spark, tmp_path):
+    from sightline.sources.journal import read_journal
+
+    at = str(tmp_path / "log.jsonl")
+    rows = spark.sql("SELECT 'B' AS plate, timestamp'2024-01-02' AS ts, 'B' AS display, 'IN' AS region, 0.5D AS confidence, 0 AS edits, 2 AS track_id, 1 AS frame, 's' AS source, CAST(NULL AS STRING) AS crop_path UNION ALL SELECT 'A', timestamp'2024-01-01', 'A', 'DE', 0.5D, 0, 1, 1, 's', 'c'")
+    assert files.append_journal(rows, at) == 2
+    with open(at, "a") as f:
+        f.write('{"plate": "torn')
+    assert [r.plate for r in read_journal(spark, at).orderBy("line").collect()] == ["A", "B"]
+    (tmp_path / "log.jsonl").write_text("\n".join((tmp_path / "log.jsonl").read_text().splitlines()[:2]))  # the last line's end is lost
+    assert files.append_journal(rows.where("plate = 'B'"), at) == 1
+    assert [r.plate for r in read_journal(spark, at).orderBy("line").collect()] == ["A", "B", "B"]

@@ -381,3 +381,15 @@ def test_components_finish_in_one_task_or_not_alike(spark, monkeypatch):
         space = runtime.Workspace(spark, "t")
         got.append({tuple(r) for r in named_by_smallest(space, components(space, edges)).collect()})
     assert got[0] == got[1] == {(f"a{i}", "a0") for i in range(41)} | {("b", "b"), ("c", "b")}
+
+
+def test_first_result_and_alignment(spark):
+    from sightline.functions.text import first_result
+
+    rows = [('[{"rec_text": "AB1", "rec_score": 0.5}, {"rec_text": "X"}]',), ('[{"rec_text": null, "rec_score": "high"}]',), ("[]",), ("no json",), (None,)]
+    got = spark.createDataFrame(rows, "r string").select(*first_result(F.col("r"))).collect()
+    assert [tuple(r) for r in got] == [("AB1", 0.5)] + [("", 0.0)] * 4
+    a, b = spark.createDataFrame([("x",), ("y",), (None,)], "image_id string"), spark.createDataFrame([("y",), ("x",), ("x",)], "image_id string")
+    evaluate.check_aligned(a, b)
+    with pytest.raises(ValueError, match="1 of the truth, 0 of the predictions"):
+        evaluate.check_aligned(a, b.where("image_id = 'x'"))

@@ -134,6 +134,8 @@ def test_a_full_run_counts_and_goes_on_from_a_journal(spark):
     assert (c["frames"], c["detections"], c["tracks_completed"], c["suppressed"], c["logged"]) == (80, 20, 2, 1, 1) and live > 10
     short = pipeline.full_run(det, texts, times, max_frames=40)
     assert short.counts.first().frames == 40 and short.counts.first().tracks_completed == 1
+    stopped = pipeline.full_run(det, texts, times, stop=spark.createDataFrame([("cam", 39), ("other", 1)], "source string, frame int"))
+    assert stopped.counts.first() == short.counts.first()
     at = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
     journal = spark.createDataFrame([("MH12AB1234", at + dt.timedelta(seconds=5), 0), ("MH12AB1234", at, 1)], "plate string, ts timestamp, line long")
     resumed = pipeline.full_run(det, texts, times, journal=journal)
