@@ -166,6 +166,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return entity_table(spark, d).entities().select("entity_id", F.col("record_id").alias("image_id"))
 
 
+@query("p6_together", _P6_SQL.replace("SELECT entity_id, image_id FROM (", "SELECT entity_id, count(*) AS images, 1 AS splits FROM (") + " GROUP BY entity_id")
+def p6_together(spark: SparkSession, d: str) -> DataFrame:
+    """Each set of images that must stay together: its size, and in how many splits it lies."""
+    return entity_table(spark, d).entities().groupBy("entity_id").agg(F.count("*").alias("images"), F.count_distinct("split").cast("int").alias("splits"))
+
+
 @query("p6_splits")
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     """Every manifest image with its split, and the crops that go with it."""
