@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline import runtime
 from sightline.functions import geometry, grammar, identity, text
 from sightline.operators import cooldown, duplicates, evaluate, sampling, sessions, splits, stats, tracker, vote
-from sightline.plans import grammar_sql, pipeline
+from sightline.plans import grammar_sql, pipeline, tracker_sql
 from sightline.runtime import table
 from sightline.sinks import files
 from sightline.sources import labels
@@ -372,7 +372,13 @@ def label_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count("*").alias("records"), F.sum("n").alias("boxes"), F.sum(F.size("p.boxes")).alias("parsed"), F.count_if(F.col("p.error").isNotNull()).alias("errors"))
 
 
-@query("manifest_lines")
+@query(
+    "manifest_lines",
+    """WITH r AS (SELECT DISTINCT image_id, width, height, boxes, file_name, split_group, source, meta FROM manifest),
+j AS (SELECT *, '"boxes":[' || coalesce(array_to_string(['{' || array_to_string([x FOR x IN ['"cx":' || b.cx, '"cy":' || b.cy, '"h":' || b.h, '"region":' || to_json(nullif(b.region, 'XX'))::VARCHAR, '"text":' || to_json(b.text)::VARCHAR, '"w":' || b.w] IF x IS NOT NULL], ',') || '}' FOR b IN boxes], ','), '') || ']' AS bs,
+  CASE WHEN cardinality(meta) > 0 THEN '"meta":{' || array_to_string([to_json(e.key)::VARCHAR || ':' || coalesce(to_json(e.value)::VARCHAR, 'null') FOR e IN list_sort(map_entries(meta))], ',') || '}' END AS ms FROM r)
+SELECT DISTINCT image_id, '{' || array_to_string([x FOR x IN [bs, '"file_name":' || to_json(file_name)::VARCHAR, '"group":' || to_json(split_group)::VARCHAR, '"height":' || height, '"image_id":' || to_json(image_id)::VARCHAR, ms, '"source":' || to_json(source)::VARCHAR, '"width":' || width] IF x IS NOT NULL], ',') || '}' AS line FROM j""",
+)
 def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
     return files.manifest_json(table(spark, d, "manifest")).distinct()
 
@@ -633,7 +639,7 @@ def track_durations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tracks").where("last_frame IS NOT NULL").select("source", "track_id", (F.col("last_frame") - F.col("first_frame") + 1).alias("duration"))
 
 
-@query("tracked_detections")
+@query("tracked_detections", tracker_sql.TRACKS)
 def tracked_detections(spark: SparkSession, d: str) -> DataFrame:
     """All recorded detections followed anew: the tracks, with their spans and hits."""
     rows = table(spark, d, "track_history").groupBy("source", "frame", "det_index").agg(F.min(F.struct("x1", "y1", "x2", "y2")).alias("b")).select("source", "frame", "det_index", "b.*")
