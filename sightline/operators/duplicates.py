@@ -70,8 +70,10 @@ def duplicate_pairs(hashes: DataFrame, max_bits: int = MAX_BITS, across: int = M
     or contrast take no part; an image of several rows pairs by any of them,
     with the smallest distance.
 
-    Copies are expanded into pairs here.  Where that isn't wanted,
-    ``duplicate_clusters`` gives each image its cluster without them.
+    Copies are expanded into pairs here, for tables known to have few.  For
+    others ``duplicate_class_pairs`` and ``duplicate_classes`` say the same
+    without expanding them, and ``duplicate_clusters`` gives each image its
+    cluster.
     """
     rows = runtime.Workspace(hashes.sparkSession, "pairs").cut(_clean(hashes), "rows")
     a, b = rows.alias("a"), rows.alias("b")
@@ -109,6 +111,29 @@ def duplicate_classes(hashes: DataFrame, max_bits: int = MAX_BITS, across: int =
     return runtime.lookup(rows.select("image_id", "cls"), counted, ["cls"]).select("image_id", "class_id", "links")
 
 
+def duplicate_class_pairs(hashes: DataFrame, max_bits: int = MAX_BITS, across: int = MAX_BITS_ACROSS) -> DataFrame:
+    """``left_class``, ``right_class`` (smaller first), ``left_images``, ``right_images`` and ``distance`` of all pairs of classes whose pictures are near duplicates.
+
+    A class is one (hash, blank, region), written with bars between; its
+    pictures are near duplicates of each other, and ``duplicate_classes`` says
+    which they are.  Every near-duplicate pair of ``duplicate_pairs`` lies in a
+    class or between two classes of a row.
+    """
+    rows = _clean(hashes)
+    name = F.concat_ws("|", F.col("dhash").cast("string"), F.col("blank").cast("string"), F.coalesce("region", F.lit("-")))
+    classes = runtime.Workspace(hashes.sparkSession, "classes").cut(rows.groupBy("dhash", "blank", "region").agg(F.count("*").alias("n")).withColumn("cls", name), "classes")
+    a, b = classes.alias("a"), classes.alias("b")
+    both = [F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("m"), F.col("b.n").alias("n")]
+    equal = a.join(b, (F.col("a.dhash") == F.col("b.dhash")) & (F.col("a.blank") == F.col("b.blank"))).where("a.cls < b.cls").select(*both, F.lit(0).alias("bits"))  # classes of one hash: a few regions
+    open_ = classes.where("NOT blank").select("dhash").distinct()
+    near = near_hashes(open_, open_, max_bits).where("left_hash < right_hash").alias("p")
+    close = near.join(a, F.col("p.left_hash") == F.col("a.dhash")).join(b, F.col("p.right_hash") == F.col("b.dhash")).where("NOT a.blank AND NOT b.blank").where(_close(max_bits, across)).select(*both, "bits")
+    first = F.col("x") < F.col("y")
+    return equal.unionByName(close).select(
+        F.least("x", "y").alias("left_class"), F.greatest("x", "y").alias("right_class"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("left_images"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("right_images"), F.col("bits").alias("distance")
+    )
+
+
 def duplicate_clusters(hashes: DataFrame, max_bits: int = MAX_BITS, across: int = MAX_BITS_ACROSS) -> DataFrame:
     """``image_id`` and ``cluster_id`` (prefix and smallest image_id) of every picture with a near duplicate.
 

@@ -412,6 +412,18 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.duplicate_pairs(table(spark, d, "image_hashes"))
 
 
+@query(
+    "near_dup_class_pairs",
+    """WITH i AS (SELECT DISTINCT image_id, dhash, contrast <= 4 AS blank, coalesce(nullif(region, 'XX'), '-') AS region FROM image_hashes WHERE image_id IS NOT NULL AND dhash IS NOT NULL AND contrast IS NOT NULL),
+c AS (SELECT dhash, blank, region, dhash || '|' || blank || '|' || region AS cls, count(*) AS n FROM i GROUP BY ALL)
+SELECT a.cls AS left_class, b.cls AS right_class, a.n AS left_images, b.n AS right_images, bit_count(xor(a.dhash, b.dhash))::INT AS distance FROM c a JOIN c b ON a.cls < b.cls AND a.blank = b.blank
+  WHERE a.dhash = b.dhash OR (NOT a.blank AND bit_count(xor(a.dhash, b.dhash)) <= CASE WHEN a.region <> '-' AND b.region <> '-' AND a.region <> b.region THEN 2 ELSE 5 END)""",
+)
+def near_dup_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Near duplicates as pairs of classes of equal looks; copies aren't expanded."""
+    return duplicates.duplicate_class_pairs(table(spark, d, "image_hashes"))
+
+
 @query(
     "near_dup_clusters",
     _HASH_SQL.replace("WITH i", "WITH RECURSIVE i", 1)
